@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from quarrylode.llm.mixing import op9_mixing
+from quarrylode.llm.pii import op7_pii
 from quarrylode.llm.sharding import op8_sharding
+from quarrylode.llm.url_filter import op4_url_filter
 
-QUERIES = {f.__name__: f for f in (op8_sharding, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op4_url_filter, op7_pii, op8_sharding, op9_mixing)}
 ORACLES: dict[str, str] = {}
