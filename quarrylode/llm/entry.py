@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from quarrylode.llm.html_text import op1_html_text
 from quarrylode.llm.mixing import op9_mixing
 from quarrylode.llm.pii import op7_pii
 from quarrylode.llm.sharding import op8_sharding
+from quarrylode.llm.simhash import op2_simhash
+from quarrylode.llm.toxicity import op6_toxicity
 from quarrylode.llm.url_filter import op4_url_filter
 
-QUERIES = {f.__name__: f for f in (op4_url_filter, op7_pii, op8_sharding, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_simhash, op4_url_filter, op6_toxicity, op7_pii, op8_sharding, op9_mixing)}
 ORACLES: dict[str, str] = {}
