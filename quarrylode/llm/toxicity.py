@@ -73,7 +73,7 @@ class Model:
         Runs of tokens without features are one matrix, a power of the background's step.
         """
         step = np.exp(self.steps + np.array([0.0, self.bias]))
-        ahead, alpha, last = [], np.array([1.0, np.exp(self.steps[0, 1] - self.steps[0, 0] + self.bias)]), 0
+        ahead, alpha, last = [], np.array([1.0, np.exp(self.bias)]), 0
         for k, e in zip(at, emission, strict=True):
             if k > last:
                 alpha = alpha @ self.powers[min(k - last - 1, FORGOTTEN)] @ step
