@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylode import schemas
 from quarrylode.functions.normalize import strip
 
+SCRAPE_OR_BROKEN = T.StructType([*schemas.SCRAPE.fields, T.StructField("_corrupt_record", T.StringType())])
+
 
 def read_domains(spark: SparkSession, path: str) -> DataFrame:
     """Trimmed, non-empty domains of a CSV with a header."""
@@ -26,7 +29,7 @@ def read_match_inputs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_scrapes(spark: SparkSession, path: str) -> DataFrame:
     """Scrape results from a JSON array; broken records keep their text in _corrupt_record."""
-    return spark.read.schema(schemas.SCRAPE.add("_corrupt_record", "string")).json(path, multiLine=True)
+    return spark.read.schema(SCRAPE_OR_BROKEN).json(path, multiLine=True)
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
