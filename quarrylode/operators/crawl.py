@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylode.functions.extract import page_fields
 from quarrylode.functions.normalize import strip
 
 
@@ -104,3 +105,21 @@ def limited(df: DataFrame, n: int, order: str) -> DataFrame:
 def sampled(df: DataFrame, n: int = 50, seed: int = 0) -> DataFrame:
     """n rows drawn uniformly: a --sample as the feature."""
     return df.orderBy(F.rand(seed)).limit(n)
+
+
+def assemble(pages: DataFrame, current_year: int, most: int = 3) -> DataFrame:
+    """One scrape a domain from its pages (domain, url, rank, html), the first one being home.
+
+    Home decides names, description and logo. Further pages are read in order of rank only while
+    phones, e-mails or addresses are missing, and at most so many: they give the first phones and
+    addresses found, platforms not seen before, and more e-mails.
+    """
+    read = pages.select("domain", "url", "rank", *[c.alias(n) for n, c in page_fields(F.col("html"), current_year).items()])
+    flags = {f"_{c}": F.size(c) > 0 for c in ("phone_numbers", "emails", "addresses")}
+    read = pages_needed(read.withColumns(flags), "domain", "rank", tuple(flags), most).drop(*flags)
+    own = ("company_name", "short_description", "logo_url", "year_founded", "technologies", "industry_keywords")
+    home = read.groupBy("domain").agg(*[F.min_by(c, "rank").alias(c) for c in own], F.array_sort(F.collect_list(F.struct("rank", "url"))).alias("p"))
+    home = home.withColumn("pages_crawled", F.transform("p", lambda x: x["url"])).drop("p")
+    filled = first_filled(read, "domain", "rank", ("phone_numbers", "jsonld_phones", "addresses"))
+    out = home.join(filled, "domain").join(merged_emails(read, "domain", "rank"), "domain").join(first_socials(read, "domain", "rank"), "domain", "left")
+    return out.withColumn("success", F.lit(True))

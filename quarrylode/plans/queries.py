@@ -238,6 +238,13 @@ def url_candidates(spark, d):
     return P.first_success(tried).select("domain", "url")
 
 
+@query(f"with x as (select {S.url('url')} as domain, page_id, trim(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1)) as title from pages) select domain, arg_min(nullif(trim(regexp_replace(title, '(?i)\\s*[|–—-]\\s*(home|welcome|official|main).*$', '')), ''), page_id) as company_name, least(count(*), 4)::bigint as n_pages from x where domain is not null group by 1")
+def scrape_assembly(spark, d):
+    """Pages of a host as one crawl, in order of their ids; none of them has all contact data."""
+    found = t(spark, d, "pages").select(N.normalize_url(F.col("url")).alias("domain"), "url", F.col("page_id").alias("rank"), "html").filter("domain is not null")
+    return crawl.assemble(found, YEAR).select("domain", "company_name", big(F.size("pages_crawled")).alias("n_pages"))
+
+
 _ERROR = "case event_id % 9 when 0 then 'DNS resolution failed for x' when 1 then 'HTTP 404' when 2 then 'HTTP 503' when 3 then 'deadline exceeded' when 4 then 'request timeout' when 5 then 'connect ECONNREFUSED' when 6 then 'SSL certificate problem' when 7 then null else 'odd' end"
 
 
