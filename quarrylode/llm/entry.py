@@ -12,6 +12,7 @@ from quarrylode.llm.sharding import op8_sharding
 from quarrylode.llm.simhash import op2_simhash
 from quarrylode.llm.toxicity import op6_toxicity
 from quarrylode.llm.url_filter import op4_url_filter
+from quarrylode.llm.url_filter_sql import op4_sql
 
 QUERIES = {f.__name__: f for f in (op1_html_text, op2_simhash, op3_lm_score, op4_url_filter, op5_decontamination, op6_toxicity, op7_pii, op8_sharding, op9_mixing, op10_nearest)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_url_filter": op4_sql()}
