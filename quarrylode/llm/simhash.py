@@ -9,6 +9,7 @@ within distance 1 of either. Each fingerprint is filed under its own cell and th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,35 +24,49 @@ from quarrylode.llm.components import connected_components
 WORDS, SEED, SEGMENTS = 3, 42, 16
 #: Cells of more fingerprints are not paired up; the exact way in close_in_crowds() takes them.
 CROWD = 32
+#: Wide fingerprints: odd multipliers, and the bits of 256 in which near copies may differ. Texts
+#: whose five-word shingles have a similarity of 0.8 differ in about 30 with three-word shingles.
+SPREAD = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
+DIFFERENT = 45
+#: What decides there: words of a shingle, and the share of different shingles in common.
+SHINGLE, SIMILAR = 5, 0.8
 #: Hashes whose bits are counted at once.
 STEP = 1 << 15
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """SimHash of a text's word shingles (XXH64, seed 42) as a signed 64-bit number.
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """XXH64 (seed 42) of a text's word shingles, repeats included, A-Z lower-cased.
 
-    A-Z are lower-cased; fewer words than a shingle make one shingle; no word at all gives zero.
+    Fewer words than a shingle make one shingle; no word makes none.
     """
     import xxhash
 
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, np.uint64)
     joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        hashes = np.array([digest(joined, SEED)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
-        ends = np.cumsum(sizes) - 1
-        starts = (ends - sizes + 1)[: len(tokens) - words + 1].tolist()
-        hashes = np.fromiter([digest(joined[s:e], SEED) for s, e in zip(starts, ends[words - 1 :].tolist())], np.uint64, len(starts))
+        return np.array([digest(joined, SEED)], np.uint64)
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
+    ends = np.cumsum(sizes) - 1
+    starts = (ends - sizes + 1)[: len(tokens) - words + 1].tolist()
+    return np.fromiter([digest(joined[s:e], SEED) for s, e in zip(starts, ends[words - 1 :].tolist())], np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A signed 64-bit number whose bits are set in over half the hashes."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), STEP):
-        bits = np.unpackbits(hashes[k : k + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(np.ascontiguousarray(hashes[k : k + STEP]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """SimHash of a text's word shingles; zero for a text without words."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, doc_id: str, text: str, words: int = WORDS) -> DataFrame:
     """doc_id, fp (signed long), row by row."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("fp", T.LongType())])
@@ -120,19 +135,118 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(by_fp, rows["fp"] == F.col("_ql_fp")).select("doc_id", "fp", "component_id")
 
 
+def wide_fingerprint(text: str | None, words: int = WORDS) -> list[int]:
+    """Four fingerprints of 64 bits, from a text's shingle hashes multiplied by four odd numbers."""
+    h = shingle_hashes(text, words)
+    return [majority((h * m) ^ ((h * m) >> np.uint64(32))) for m in SPREAD] if len(h) else [0, 0, 0, 0]
+
+
+def wide_fingerprints(docs: DataFrame, doc_id: str, text: str, words: int = WORDS) -> DataFrame:
+    """doc_id, text_hash, w0 to w3 (signed longs), row by row."""
+    names = ["doc_id", "text_hash", *[f"w{i}" for i in range(4)]]
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *[T.StructField(n, T.LongType()) for n in names[1:]]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([wide_fingerprint(t.as_py(), words) for t in b.column(2)], np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(found[:, i]) for i in range(4)]], names)
+
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).mapInArrow(run, schema)
+
+
+def shingle_set(text: Column) -> Column:
+    """The different five-word shingles of each text, hashed."""
+
+    @F.arrow_udf("array<long>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingle_hashes(t.as_py(), SHINGLE)).view(np.int64) for t in texts], pa.list_(pa.int64()))
+
+    return run(text)
+
+
+def _pieces(pairs: int) -> list[Column]:
+    """Cells of all pieces of a wide fingerprint: bit counts (0 to 2) of its pairs of bits.
+
+    A piece of so many pairs of bits is cut from the 256 bits; its number is above the counts.
+    """
+    out, bits = [], 2 * pairs
+    odd = F.lit(0x5555555555555555)
+    for k in range(256 // bits):
+        word, shift = divmod(k * bits, 64)
+        piece = F.shiftrightunsigned(F.col(f"w{word}"), shift)
+        if shift + bits > 64:
+            piece = piece.bitwiseOR(F.shiftleft(F.col(f"w{word + 1}"), 64 - shift))
+        piece = piece.bitwiseAND(F.lit((1 << bits) - 1))
+        counts = piece.bitwiseAND(odd) + F.shiftrightunsigned(piece, 1).bitwiseAND(odd)
+        near = [counts]
+        for i in range(pairs):
+            count, step = F.shiftrightunsigned(counts, 2 * i).bitwiseAND(F.lit(3)), F.lit(1 << (2 * i))
+            near += [F.when(count < 2, counts + step), F.when(count > 0, counts - step)]
+        out.append(F.transform(F.array_compact(F.array(*near)), _numbered(k)))
+    return out
+
+
+def _numbered(k: int):
+    return lambda c: c.bitwiseOR(F.lit(k << 56))
+
+
+def alike(classes: DataFrame) -> DataFrame:
+    """(a, b): links of wide fingerprints (id, w0 to w3; distinct) that differ in DIFFERENT bits
+    or fewer of 256.
+
+    Each piece of a fingerprint is filed under its cell and those one step away, so that pieces
+    within 2 bits meet. In a cell every fingerprint is compared with the one before it and with
+    the first, never all with all; longer pieces keep cells small where there are more of them.
+    """
+    n = max(classes.count(), 1)
+    pairs = min(27, max(18, math.ceil(18 + math.log(n / 250_000))))
+    filed = classes.select("id", F.explode(F.concat(*_pieces(pairs))).alias("cell"))
+    order = Window.partitionBy("cell").orderBy("id")
+    met = filed.select("id", F.lag("id").over(order).alias("before"), F.first("id").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first")).filter("before is not null and before <> id")
+    found = written(met.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("before", "first"))).alias("b")).filter("a <> b").distinct())
+    left = classes.select(F.col("id").alias("a"), *[F.col(f"w{i}").alias(f"a{i}") for i in range(4)])
+    right = classes.select(F.col("id").alias("b"), *[F.col(f"w{i}").alias(f"b{i}") for i in range(4)])
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(4)), F.lit(0))
+    return found.join(left, "a").join(right, "b").filter(apart <= DIFFERENT).select("a", "b")
+
+
+def verified(links: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of classes whose texts share SIMILAR or more of their five-word shingles.
+
+    Only the texts of linked classes are read for it, one for each class.
+    """
+    linked = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "text_hash"), "id")
+    sets = texts.join(linked, "text_hash").dropDuplicates(["id"]).select("id", shingle_set(F.col("text")).alias("s"))
+    sets = written(sets)
+    both = links.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(common >= SIMILAR * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def alike_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """doc_id, component_id for every row: groups of texts linked by a similarity of 0.8 or more of
+    their different five-word shingles. Wide fingerprints find the links, the shingles verify them.
+    Nulls and repeated rows as in near_duplicates()."""
+    rows = written(wide_fingerprints(docs, doc_id, text, words).withColumn("id", F.xxhash64("w0", "w1", "w2", "w3")))
+    classes = written(rows.groupBy("id").agg(F.min("doc_id").alias("low"), F.min("text_hash").alias("text_hash"), *[F.first(f"w{i}").alias(f"w{i}") for i in range(4)]))
+    texts = docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    roots = connected_components(verified(written(alike(classes)), classes, texts))
+    named = classes.join(roots, classes["id"] == roots["node"], "left").select("id", "low", F.coalesce("root", "id").alias("root"))
+    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    by_id = named.join(lows, "root").select(F.col("id").alias("_ql_key"), "component_id")
+    return rows.join(by_id, rows["id"] == F.col("_ql_key")).select("doc_id", "component_id")
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest id stays.
+    """docs without near copies: of each group of alike_groups() the row with the smallest id.
 
-    A row with a null id stays only if all ids of its component are null. Rows that share an id
-    count as one document: one of them stays if any does.
+    A row with a null id stays only if all ids of its group are null. Rows that share an id count
+    as one document: one of them stays if any does.
     """
-    found = near_duplicates(docs, doc_id, text, words)
-    kept = written(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").count())
-    ids = kept.groupBy("doc_id").agg(F.sum("count").alias("n")).withColumnRenamed("doc_id", "_ql_id")
-    joined = docs.join(ids.select("_ql_id"), docs[doc_id].eqNullSafe(F.col("_ql_id")), "left_semi")
-    if ids.filter("n > 1").isEmpty():
-        return joined
-    return joined.dropDuplicates([doc_id])
+    found = alike_groups(docs, doc_id, text, words)
+    kept = written(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("doc_id", "_ql_id"))
+    joined = docs.join(kept.select("_ql_id"), docs[doc_id].eqNullSafe(F.col("_ql_id")), "left_semi")
+    return joined if kept.filter("n > 1").isEmpty() else joined.dropDuplicates([doc_id])
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -144,7 +144,29 @@ def test_fingerprints_and_components(some):
     assert all(rows[k]["fp"] % (1 << 64) == fp for k, fp in fps.items())
     root = plain_components(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
     assert {k: r["component_id"] for k, r in rows.items()} == root
-    assert {r["doc_id"] for r in simhash.one_of_each(some).collect()} == set(root.values())
+    kept = [r["text"] for r in simhash.one_of_each(some).collect()]
+    assert set(kept) <= set(text.values()) and len({t.lower() for t in kept}) == len(kept)
+
+
+def test_near_copies_are_found_and_others_left(spark, some):
+    base = [w for t in texts_of(some).values() for w in t.split() if w.isalpha()][:3000]
+    rng, rows = np.random.default_rng(3), []
+    for g in range(12):
+        text = base[g * 200 : g * 200 + 200]
+        rows.append((1000 * g, " ".join(text)))
+        for c in range(1, 5):
+            copy = list(text)
+            for _ in range(c if c < 4 else 60):
+                copy[rng.integers(200)] = f"new{rng.integers(10**6)}"
+            rows.append((1000 * g + c, " ".join(copy)))
+    line = "the same line stands here again and again " * 6
+    rows += [(90_000, line + "but one ends this way with words of its own"), (90_001, line + "whereas another closes quite unlike it in all respects")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.alike_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shingles = {k: {" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in rows}
+    near = lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
+    wanted = plain_components(sorted(shingles), near)
+    assert sum(got[k] != wanted[k] for k in got) <= 1
+    assert all(got[k] == k for k in (4, 1004, 2004, 90_000, 90_001))
 
 
 def test_links_of_crowds_connect_what_pairs_connect(spark, monkeypatch):
