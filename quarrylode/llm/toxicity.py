@@ -9,6 +9,7 @@ give toxic spans; their sum and maximum, calibrated on the sample's documents, g
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -122,44 +123,54 @@ class Model:
 
 
 def _chain(emission: np.ndarray, steps: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals P(toxic) of segments [n, length], and expected transitions [2, 2]."""
+    """Marginals P(toxic) of segments [n, length], and expected transitions [2, 2].
+
+    Forward and backward values of a place are scaled to a sum of one.
+    """
     n, length = emission.shape
-    node = np.stack([np.zeros_like(emission), emission], axis=2)
-    forward, back = np.zeros_like(node), np.zeros_like(node)
-    forward[:, 0] = node[:, 0]
+    (p00, p01), (p10, p11) = np.exp(steps)
+    e = np.exp(np.clip(emission, -50, 50))
+    a0, a1, b0, b1 = np.empty((n, length)), np.empty((n, length)), np.ones((n, length)), np.ones((n, length))
+    a1[:, 0] = e[:, 0] / (1 + e[:, 0])
+    a0[:, 0] = 1 - a1[:, 0]
     for t in range(1, length):
-        forward[:, t] = np.logaddexp(forward[:, t - 1, :1] + steps[0], forward[:, t - 1, 1:] + steps[1]) + node[:, t]
-        forward[:, t] = np.where(mask[:, t, None], forward[:, t], forward[:, t - 1])
+        x, y = a0[:, t - 1], a1[:, t - 1]
+        zero, one = x * p00 + y * p10, (x * p01 + y * p11) * e[:, t]
+        toxic = np.where(mask[:, t], one / (zero + one), y)
+        a1[:, t], a0[:, t] = toxic, 1 - toxic
     for t in range(length - 2, -1, -1):
-        ahead = node[:, t + 1] + back[:, t + 1]
-        new = np.logaddexp(steps[:, 0] + ahead[:, :1], steps[:, 1] + ahead[:, 1:])
-        back[:, t] = np.where(mask[:, t + 1, None], new, back[:, t + 1])
-    total = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
-    marginal = np.where(mask, np.exp(forward[:, :, 1] + back[:, :, 1] - total[:, None]), 0.0)
-    moved = np.zeros((2, 2))
-    for i in range(2):
-        for j in range(2):
-            p = np.exp(forward[:, :-1, i] + steps[i, j] + node[:, 1:, j] + back[:, 1:, j] - total[:, None])
-            moved[i, j] = (p * mask[:, 1:]).sum()
-    return marginal, moved
+        x, y = b0[:, t + 1], b1[:, t + 1] * e[:, t + 1]
+        zero, one = p00 * x + p01 * y, p10 * x + p11 * y
+        b0[:, t] = np.where(mask[:, t + 1], zero / (zero + one), b0[:, t + 1])
+        b1[:, t] = np.where(mask[:, t + 1], one / (zero + one), b1[:, t + 1])
+    marginal = np.where(mask, a1 * b1 / (a0 * b0 + a1 * b1), 0.0)
+    x, y = b0[:, 1:], b1[:, 1:] * e[:, 1:]
+    from0, from1 = a0[:, :-1], a1[:, :-1]
+    weight = mask[:, 1:] / (from0 * (p00 * x + p01 * y) + from1 * (p10 * x + p11 * y))
+    return marginal, np.array([[(from0 * x * weight).sum() * p00, (from0 * y * weight).sum() * p01], [(from1 * x * weight).sum() * p10, (from1 * y * weight).sum() * p11]])
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """The model of labelled texts; without both labels all documents score the base rate."""
     flat = Model({}, -5.0, np.zeros((2, 2)), (float(np.log((sum(labels) + 0.5) / (len(labels) - sum(labels) + 0.5))), 0.0, 0.0))
-    words = [[w.lower() for w in WORD.findall(t or "")] for t in texts]
-    seen = [Counter(), Counter()]
-    for ws, y in zip(words, labels, strict=True):
-        seen[y].update({f for w in set(ws) for f in features(w)})
+    intern = sys.intern
+    words = [[intern(w.lower()) for w in WORD.findall(t or "")] for t in texts]
     totals = [len(labels) - sum(labels), sum(labels)]
     if not min(totals):
         return flat
+    seen = [Counter(), Counter()]
+    for ws, y in zip(words, labels, strict=True):
+        if y:
+            seen[1].update({f for w in set(ws) for f in features(w)})
+    seen[1] = Counter({f: n for f, n in seen[1].items() if n >= LEAST_DOCS})
+    for ws, y in zip(words, labels, strict=True):
+        if not y:
+            seen[0].update({f for w in set(ws) for f in features(w) if f in seen[1]})
     odds = {}
     for f, p in seen[1].items():
-        if p >= LEAST_DOCS:
-            lo = np.log((p + 0.5) / (totals[1] + 1)) - np.log((seen[0][f] + 0.5) / (totals[0] + 1))
-            if lo > 1.0:
-                odds[f] = float(lo)
+        lo = np.log((p + 0.5) / (totals[1] + 1)) - np.log((seen[0][f] + 0.5) / (totals[0] + 1))
+        if lo > 1.0:
+            odds[f] = float(lo)
     names = sorted(odds, key=lambda f: (-odds[f] * np.sqrt(seen[1][f]), f))[:FEATURES]
     if not names:
         return flat
@@ -180,7 +191,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
                     found.append((t, fs))
             if not found and quiet.random() > 0.02:
                 continue
-            line = [0] * SEGMENT
+            line = bytearray(SEGMENT)
             for t, fs in found:
                 rows += [keep * SEGMENT + t] * len(fs)
                 cols += fs
@@ -188,7 +199,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
             gold.append(line)
             lengths.append(len(part))
             keep += 1
-    rows, cols, gold = np.array(rows), np.array(cols), np.array(gold, float)
+    del words
+    rows, cols, gold = np.array(rows), np.array(cols), np.frombuffer(b"".join(gold), np.uint8).reshape(-1, SEGMENT).astype(float)
     mask = np.arange(SEGMENT) < np.array(lengths)[:, None]
     real = np.zeros((2, 2))
     for i in range(2):
