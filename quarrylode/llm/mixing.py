@@ -10,6 +10,7 @@ hash: the counts of a shard's sources are multinomial, given each source's total
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,8 +79,9 @@ class Mix:
         targets = targets.withColumn("blocks", F.ceil(size / n).cast("long")).withColumn("last", size - (F.col("blocks") - 1) * n)
         targets = targets.withColumn("passes", F.when(size > 0, F.floor(F.col("wanted") / size)).otherwise(0).cast("long"))
         self.sources = written(targets.withColumn("rest", F.col("wanted") - F.col("passes") * size))
-        few = self.sources.count() <= BROADCAST_SOURCES
-        self.small = F.broadcast if few else (lambda df: df)
+        facts = self.sources.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("wanted"), F.lit(0)).alias("wanted")).first()
+        self.small = F.broadcast if facts["n"] <= BROADCAST_SOURCES else (lambda df: df)
+        self.tasks = math.ceil(facts["wanted"] / block / (8 * CHUNK)) + 1
         before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         starts = pieces.select("key", "bucket", F.coalesce(F.sum("piece").over(before), F.lit(0)).alias("start"))
         inside = Window.partitionBy("key", "bucket").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size")
@@ -94,7 +96,7 @@ class Mix:
         s = s.withColumn("n_slots", F.col("passes") * n + F.least(in_rest, n))
         s = s.withColumn("odd", permuted(n - 1, n, F.lit(self.seed), F.col("key"), F.col("passes"), inverse=True))
         s = s.filter("n_slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slots") - 1) / CHUNK).cast("long"))))
-        s = s.repartition(F.col("key"), F.col("chunk"))
+        s = s.repartition(self.tasks, "key", "chunk")  # a fixed number: the rows are few but long to unroll
         s = s.withColumn("slot", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("n_slots")) - 1)))
         s = s.withColumn("pass", F.floor(F.col("slot") / n).cast("long")).withColumn("k", F.pmod("slot", n))
         s = s.withColumn("block", permuted(F.col("k"), n, F.lit(self.seed), F.col("key"), F.col("pass")))
@@ -113,7 +115,8 @@ class Mix:
         pieces = self.rows.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / L).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / L).cast("long"))))
         pieces = pieces.withColumn("from", F.greatest(F.col("start") - F.col("block") * L, F.lit(0))).withColumn("to", F.least(F.col("start") + F.col("size") - F.col("block") * L, L))
         got = (F.col("to") - F.col("from")) * F.coalesce("times", F.lit(0)) + F.greatest(F.lit(0), F.least(F.col("to"), F.coalesce("head", F.lit(0))) - F.col("from"))
-        taken = pieces.join(drawn, ["key", "block"], "left").groupBy("key", "start", "doc_id", "size").agg(F.sum(got).cast("long").alias("taken"))
+        # both sides grow with the input, though the plan's estimates do not show it
+        taken = pieces.join(drawn.hint("merge"), ["key", "block"], "left").groupBy("key", "start", "doc_id", "size").agg(F.sum(got).cast("long").alias("taken"))
         return taken.select("doc_id", "key", "size", "taken").unionByName(self.rows.filter("size = 0").select("doc_id", "key", "size", F.lit(0).cast("long").alias("taken")))
 
 
