@@ -30,6 +30,8 @@ SPREAD = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x
 DIFFERENT = 45
 #: What decides there: words of a shingle, and the share of different shingles in common.
 SHINGLE, SIMILAR = 5, 0.8
+#: Ids of at most so many rows are broadcast, so that texts need not be shuffled for them.
+BROADCAST_ROWS = 1_000_000
 #: Hashes whose bits are counted at once.
 STEP = 1 << 15
 
@@ -199,7 +201,7 @@ def alike(classes: DataFrame) -> DataFrame:
     the first, never all with all; longer pieces keep cells small where there are more of them.
     """
     n = max(classes.count(), 1)
-    pairs = min(27, max(18, math.ceil(18 + math.log(n / 250_000))))
+    pairs = min(27, max(12, round(18.5 + math.log(n / 250_000))))
     filed = classes.select("id", F.explode(F.concat(*_pieces(pairs))).alias("cell"))
     order = Window.partitionBy("cell").orderBy("id")
     met = filed.select("id", F.lag("id").over(order).alias("before"), F.first("id").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first")).filter("before is not null and before <> id")
@@ -215,7 +217,8 @@ def verified(links: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
 
     Only the texts of linked classes are read for it, one for each class.
     """
-    linked = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "text_hash"), "id")
+    ids = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    linked = _small(written(ids.join(classes.select("id", "text_hash"), "id")))
     sets = texts.join(linked, "text_hash").dropDuplicates(["id"]).select("id", shingle_set(F.col("text")).alias("s"))
     sets = written(sets)
     both = links.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
@@ -243,10 +246,17 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     A row with a null id stays only if all ids of its group are null. Rows that share an id count
     as one document: one of them stays if any does.
     """
-    found = alike_groups(docs, doc_id, text, words)
-    kept = written(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("doc_id", "_ql_id"))
-    joined = docs.join(kept.select("_ql_id"), docs[doc_id].eqNullSafe(F.col("_ql_id")), "left_semi")
-    return joined if kept.filter("n > 1").isEmpty() else joined.dropDuplicates([doc_id])
+    found = written(alike_groups(docs, doc_id, text, words))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = written(found.groupBy("doc_id").agg(F.count_if(stays).alias("n")).withColumnRenamed("doc_id", "_ql_id"))
+    gone = _small(ids.filter("n = 0").select("_ql_id"))
+    left = docs.join(gone, docs[doc_id].eqNullSafe(F.col("_ql_id")), "left_anti")
+    return left if ids.filter("n > 1").isEmpty() else left.dropDuplicates([doc_id])
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df to be broadcast if it has few rows, else to be joined by shuffling."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
