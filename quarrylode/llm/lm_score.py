@@ -27,11 +27,12 @@ from pyspark.sql import types as T
 from quarrylode.llm.common import table
 
 BACKOFF = 0.4
-#: Bytes of text for a bucket, words of a batch, documents of the sample, words kept in a cache.
-BUCKET_BYTES, BATCH, SAMPLE, CACHE = 16 << 20, 1 << 20, 2000, 1 << 20
+#: Bytes of text for a bucket, words and documents of a batch (a place in it is a short number),
+#: documents of the sample, words kept in a cache.
+BUCKET_BYTES, BATCH, BATCH_DOCS, SAMPLE, CACHE = 16 << 20, 1 << 20, 32_000, 2000, 1 << 20
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SUM, LIGHT, HEAVY, MISS, COUNT = range(5)
-ARRAYS = (("a", pa.int64()), ("b", pa.int64()), ("d", pa.int32()), ("m", pa.int32()), ("n", pa.int32()), ("x", pa.float64()))
+ARRAYS = (("a", pa.int64()), ("b", pa.int64()), ("d", pa.int16()), ("m", pa.int32()), ("n", pa.int32()), ("x", pa.float64()))
 
 
 def mixed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -59,7 +60,7 @@ def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np
             tokens = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
             seqs.append(np.fromiter([hashes[w] for w in tokens], np.uint64, len(tokens)))
             size += len(tokens)
-            if size >= BATCH or i + 1 == b.num_rows:
+            if size >= BATCH or len(seqs) >= BATCH_DOCS or i + 1 == b.num_rows:
                 lengths = np.array([len(s) for s in seqs])
                 v = np.concatenate([x for s in seqs for x in (START.reshape(1), s)])
                 w = np.concatenate([x for s in seqs for x in (s, END.reshape(1))])
@@ -142,9 +143,12 @@ def emitted(docs: pa.Array, lengths: np.ndarray, v: np.ndarray, w: np.ndarray, d
         bucket = known.bucket(v[at] if kind == LIGHT else key[at])
         cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(at)]
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            part = at[s:e]
+            part, times = at[s:e], n[s:e]
+            if kind == HEAVY:  # runs of equal numbers take little room
+                order = np.argsort(word[part], kind="stable")
+                part, times = part[order], times[order]
             used, local = np.unique(d[part], return_inverse=True)
-            fields = {"b": _signed(w[part]), "d": local, "n": n[s:e]}
+            fields = {"b": _signed(w[part]), "d": local, "n": times}
             if kind == LIGHT:
                 change = np.flatnonzero(np.r_[True, v[part][1:] != v[part][:-1]])
                 fields |= {"a": _signed(v[part][change]), "m": np.diff(np.r_[change, e - s])}
@@ -163,10 +167,12 @@ class _Group:
         self.docs = take("docs")
         for name, _ in ARRAYS:
             setattr(self, name, take(name).to_numpy(zero_copy_only=False))
-        if rows.num_rows and len(self.d):
+        if kind == MISS:
+            self.d = np.repeat(np.arange(len(self.docs)), self.m)
+        elif rows.num_rows and len(self.d):
             sizes = pa.compute.list_value_length(rows["docs"]).to_numpy()
             each = pa.compute.list_value_length(rows["d"]).to_numpy()
-            self.d = self.d + np.repeat(np.cumsum(np.r_[0, sizes[:-1]]), each)
+            self.d = self.d + np.repeat(np.cumsum(np.r_[0, sizes[:-1]]).astype(np.int32), each)
 
 
 def _concat(parts: list[pa.Array]) -> pa.Array:
@@ -179,8 +185,8 @@ def matched(rows: pa.Table, known: Frequent, doc_type: pa.DataType) -> pa.Table:
     light, heavy, done = _Group(rows, LIGHT), _Group(rows, HEAVY), _Group(rows, SUM)
     v = np.concatenate([np.repeat(light.a.view(np.uint64), light.m), known.words[heavy.m] if len(heavy.m) else np.empty(0, np.uint64)])
     w = np.concatenate([light.b, heavy.b]).view(np.uint64)
-    n = np.concatenate([light.n, heavy.n]).astype(np.int64)
-    d = np.concatenate([light.d, heavy.d + len(light.docs)]).astype(np.int64)
+    n = np.concatenate([light.n, heavy.n])
+    d = np.concatenate([light.d, heavy.d + len(light.docs)])
     docs = _concat([light.docs, heavy.docs])
     out = [_row(bucket, SUM, done.docs, x=done.x, m=done.m)]
     if len(v):
@@ -189,7 +195,7 @@ def matched(rows: pa.Table, known: Frequent, doc_type: pa.DataType) -> pa.Table:
         cv = np.concatenate([own[np.repeat(which, light.m)], known.word_counts[heavy.m] if len(heavy.m) else np.empty(0, np.int64)])
         order = np.lexsort((w, v))
         starts = np.flatnonzero(np.r_[True, (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])])
-        total = np.add.reduceat(n[order], starts)
+        total = np.add.reduceat(n[order], starts, dtype=np.int64)
         other = np.empty(len(v), np.int64)
         other[order] = np.repeat(total, np.diff(np.r_[starts, len(v)])) - n[order]
         scored = w != END
@@ -202,12 +208,12 @@ def matched(rows: pa.Table, known: Frequent, doc_type: pa.DataType) -> pa.Table:
         out.append(_row(bucket, COUNT, docs[:0], a=_signed(names), b=own))
         at = np.flatnonzero(miss)[word < 0]
         to = known.bucket(w[at])
-        order = np.argsort(to, kind="stable")
+        order = np.lexsort((d[at], to))
         at, to = at[order], to[order]
         cuts = np.r_[0, np.flatnonzero(np.diff(to)) + 1, len(at)] if len(at) else np.array([0])
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            used, local = np.unique(d[at[s:e]], return_inverse=True)
-            out.append(_row(int(to[s]), MISS, docs.take(pa.array(used)), b=_signed(w[at[s:e]]), d=local, n=n[at[s:e]]))
+            used, each = np.unique(d[at[s:e]], return_counts=True)
+            out.append(_row(int(to[s]), MISS, docs.take(pa.array(used)), b=_signed(w[at[s:e]]), m=each, n=n[at[s:e]]))
     return _batch(out, doc_type)
 
 
@@ -271,7 +277,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     arrow = to_arrow_type(kind)
     fields = [T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("docs", T.ArrayType(kind))]
-    arrays = {"a": T.LongType(), "b": T.LongType(), "d": T.IntegerType(), "m": T.IntegerType(), "n": T.IntegerType(), "x": T.DoubleType()}
+    arrays = {"a": T.LongType(), "b": T.LongType(), "d": T.ShortType(), "m": T.IntegerType(), "n": T.IntegerType(), "x": T.DoubleType()}
     schema = T.StructType(fields + [T.StructField(n, T.ArrayType(arrays[n])) for n, _ in ARRAYS])
     sums = T.StructType([fields[2], T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("m", T.ArrayType(T.IntegerType()))])
 
