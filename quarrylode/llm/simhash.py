@@ -9,7 +9,6 @@ within distance 1 of either. Each fingerprint is filed under its own cell and th
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +23,10 @@ from quarrylode.llm.components import connected_components
 WORDS, SEED, SEGMENTS = 3, 42, 16
 #: Cells of more fingerprints are not paired up; the exact way in close_in_crowds() takes them.
 CROWD = 32
-#: Wide fingerprints: odd multipliers, and the bits of 256 in which near copies may differ. Texts
-#: whose five-word shingles have a similarity of 0.8 differ in about 30 with three-word shingles.
-SPREAD = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
-DIFFERENT = 45
-#: What decides there: words of a shingle, and the share of different shingles in common.
-SHINGLE, SIMILAR = 5, 0.8
+#: Near copies: words of a shingle, and the share of different shingles in common (a fraction).
+SHINGLE, SIMILAR = 5, (4, 5)
+#: Texts sampled to tell frequent shingles, and how many of those are known to every task.
+ORDER_SAMPLE, ORDERED = 20_000, 100_000
 #: Ids of at most so many rows are broadcast, so that texts need not be shuffled for them.
 BROADCAST_ROWS = 1_000_000
 #: Hashes whose bits are counted at once.
@@ -137,116 +134,140 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(by_fp, rows["fp"] == F.col("_ql_fp")).select("doc_id", "fp", "component_id")
 
 
-def wide_fingerprint(text: str | None, words: int = WORDS) -> list[int]:
-    """Four fingerprints of 64 bits, from a text's shingle hashes multiplied by four odd numbers."""
-    h = shingle_hashes(text, words)
-    return [majority((h * m) ^ ((h * m) >> np.uint64(32))) for m in SPREAD] if len(h) else [0, 0, 0, 0]
+def shingle_set(text: str | None) -> np.ndarray:
+    """The different five-word shingles of a text, hashed, in order of their hashes."""
+    return np.unique(shingle_hashes(text, SHINGLE))
 
 
-def wide_fingerprints(docs: DataFrame, doc_id: str, text: str, words: int = WORDS) -> DataFrame:
-    """doc_id, text_hash, w0 to w3 (signed longs), row by row."""
-    names = ["doc_id", "text_hash", *[f"w{i}" for i in range(4)]]
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *[T.StructField(n, T.LongType()) for n in names[1:]]])
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many hashes of a set fall into each of 64 parts, 255 at most. Where two sets' counts
+    differ by d in all, the sets differ in d members or more."""
+    return np.minimum(np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
+
+
+def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of the shingles met most in a sample of the texts.
+
+    They only set the order in which prefix() takes shingles. Any order links the same texts.
+    """
+    part = max(1, docs.count() // ORDER_SAMPLE)
+    some = docs.select(F.col(text).alias("text")).filter(F.pmod(F.xxhash64("text", F.lit(part)), F.lit(part)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([wide_fingerprint(t.as_py(), words) for t in b.column(2)], np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(found[:, i]) for i in range(4)]], names)
+            found = [shingle_set(t.as_py()) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64))], ["h"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).mapInArrow(run, schema)
+    counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    top = counts.orderBy(F.desc("n"), "h").limit(ORDERED).collect()
+    hashes, n = np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
 
 
-def shingle_set(text: Column) -> Column:
-    """The different five-word shingles of each text, hashed."""
+def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest shingles of a set, one more than it may lack of a set that is similar.
 
-    @F.arrow_udf("array<long>")
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([np.unique(shingle_hashes(t.as_py(), SHINGLE)).view(np.int64) for t in texts], pa.list_(pa.int64()))
+    Sets in one order of all shingles whose prefixes have none in common are less similar.
+    """
+    n, rank = len(hashes), np.zeros(len(hashes), np.int64)
+    if len(frequent[0]):
+        at = np.minimum(np.searchsorted(frequent[0], hashes), len(frequent[0]) - 1)
+        rank = np.where(frequent[0][at] == hashes, frequent[1][at], 0)
+    least = -(-SIMILAR[0] * n // SIMILAR[1])
+    return hashes[np.lexsort((hashes, rank))[: n - least + 1]]
 
-    return run(text)
 
+def shingled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text_hash, id (a hash of the set of shingles), n (its size), sketch and prefix."""
+    names = ["doc_id", "text_hash", "id", "n", "sketch", "prefix"]
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *[T.StructField(k, T.LongType()) for k in names[1:4]], T.StructField("sketch", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    frequent = frequent_shingles(docs, text)
 
-def _pieces(pairs: int) -> list[Column]:
-    """Cells of all pieces of a wide fingerprint: bit counts (0 to 2) of its pairs of bits.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-    A piece of so many pairs of bits is cut from the 256 bits; its number is above the counts.
-    """
-    out, bits = [], 2 * pairs
-    odd = F.lit(0x5555555555555555)
-    for k in range(256 // bits):
-        word, shift = divmod(k * bits, 64)
-        piece = F.shiftrightunsigned(F.col(f"w{word}"), shift)
-        if shift + bits > 64:
-            piece = piece.bitwiseOR(F.shiftleft(F.col(f"w{word + 1}"), 64 - shift))
-        piece = piece.bitwiseAND(F.lit((1 << bits) - 1))
-        counts = piece.bitwiseAND(odd) + F.shiftrightunsigned(piece, 1).bitwiseAND(odd)
-        near = [counts]
-        for i in range(pairs):
-            count, step = F.shiftrightunsigned(counts, 2 * i).bitwiseAND(F.lit(3)), F.lit(1 << (2 * i))
-            near += [F.when(count < 2, counts + step), F.when(count > 0, counts - step)]
-        out.append(F.transform(F.array_compact(F.array(*near)), _numbered(k)))
-    return out
-
-
-def _numbered(k: int):
-    return lambda c: c.bitwiseOR(F.lit(k << 56))
-
-
-def alike(classes: DataFrame) -> DataFrame:
-    """(a, b): links of wide fingerprints (id, w0 to w3; distinct) that differ in DIFFERENT bits
-    or fewer of 256.
-
-    Each piece of a fingerprint is filed under its cell and those one step away, so that pieces
-    within 2 bits meet. In a cell every fingerprint is compared with the one before it and with
-    the first, never all with all; longer pieces keep cells small where there are more of them.
-    """
-    n = max(classes.count(), 1)
-    pairs = min(27, max(12, round(18.5 + math.log(n / 250_000))))
-    filed = classes.select("id", F.explode(F.concat(*_pieces(pairs))).alias("cell"))
-    order = Window.partitionBy("cell").orderBy("id")
-    met = filed.select("id", F.lag("id").over(order).alias("before"), F.first("id").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first")).filter("before is not null and before <> id")
-    found = written(met.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("before", "first"))).alias("b")).filter("a <> b").distinct())
-    left = classes.select(F.col("id").alias("a"), *[F.col(f"w{i}").alias(f"a{i}") for i in range(4)])
-    right = classes.select(F.col("id").alias("b"), *[F.col(f"w{i}").alias(f"b{i}") for i in range(4)])
-    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(4)), F.lit(0))
-    return found.join(left, "a").join(right, "b").filter(apart <= DIFFERENT).select("a", "b")
+        for b in batches:
+            sets = [shingle_set(t.as_py()) for t in b.column(2)]
+            ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            cut = [prefix(x, frequent).view(np.int64) for x in sets]
+            columns = [pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary()), pa.array(cut, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names)
+
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).mapInArrow(run, schema)
+
+
+def _sizes_fit(a: Column, b: Column) -> Column:
+    return SIMILAR[1] * F.least(a, b) >= SIMILAR[0] * F.greatest(a, b)
+
+
+def sketches_fit(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) whose sets can be similar as far as sizes and sketches tell."""
+
+    @F.arrow_udf("long")
+    def apart(x: pa.Array, y: pa.Array) -> pa.Array:
+        counts = [np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, 64).astype(np.int64) for v in (x, y)]
+        return pa.array(np.abs(counts[0] - counts[1]).sum(1))
+
+    side = lambda k: classes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    both = links.join(side("a"), "a").join(side("b"), "b").filter(_sizes_fit(F.col("na"), F.col("nb")))
+    may = (sum(SIMILAR)) * F.col("apart") <= (SIMILAR[1] - SIMILAR[0]) * (F.col("na") + F.col("nb"))
+    return both.select("a", "b", "na", "nb", apart("sa", "sb").alias("apart")).filter(may).select("a", "b")
 
 
 def verified(links: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) of classes whose texts share SIMILAR or more of their five-word shingles.
 
-    Only the texts of linked classes are read for it, one for each class.
+    Only the texts of linked classes that their sketches leave are read, one for each class.
     """
+
+    @F.arrow_udf("array<long>")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t.as_py()).view(np.int64) for t in texts], pa.list_(pa.int64()))
+
+    links = written(sketches_fit(links, classes))
     ids = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
     linked = _small(written(ids.join(classes.select("id", "text_hash"), "id")))
-    sets = texts.join(linked, "text_hash").dropDuplicates(["id"]).select("id", shingle_set(F.col("text")).alias("s"))
-    sets = written(sets)
+    sets = written(texts.join(linked, "text_hash").dropDuplicates(["id"]).select("id", of(F.col("text")).alias("s")))
     both = links.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common >= SIMILAR * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return written(both.filter(SIMILAR[1] * common >= SIMILAR[0] * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+
+
+def similar_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links of classes (id, text_hash, n, sketch, prefix) similar to each other.
+
+    Similar ones meet in the cell of a shingle of their prefixes. There each is compared with the
+    one before it and with the first.
+    """
+    filed = classes.select("id", F.explode("prefix").alias("cell"))
+    order = Window.partitionBy("cell").orderBy("id")
+    met = filed.select("id", F.lag("id").over(order).alias("before"), F.first("id").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first")).filter("before is not null")
+    found = met.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("before", "first"))).alias("b")).distinct()
+    return verified(written(found), classes, texts)
 
 
-def alike_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+def alike_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, component_id for every row: groups of texts linked by a similarity of 0.8 or more of
-    their different five-word shingles. Wide fingerprints find the links, the shingles verify them.
+    their different five-word shingles. Texts of equal sets are one class.
     Nulls and repeated rows as in near_duplicates()."""
-    rows = written(wide_fingerprints(docs, doc_id, text, words).withColumn("id", F.xxhash64("w0", "w1", "w2", "w3")))
-    classes = written(rows.groupBy("id").agg(F.min("doc_id").alias("low"), F.min("text_hash").alias("text_hash"), *[F.first(f"w{i}").alias(f"w{i}") for i in range(4)]))
+    rows = written(shingled(docs, doc_id, text))
+    classes = written(rows.groupBy("id").agg(F.min("doc_id").alias("low"), F.min("text_hash").alias("text_hash"), *[F.first(k).alias(k) for k in ("n", "sketch", "prefix")]))
     texts = docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    roots = connected_components(verified(written(alike(classes)), classes, texts))
+    roots = connected_components(similar_links(classes, texts))
     named = classes.join(roots, classes["id"] == roots["node"], "left").select("id", "low", F.coalesce("root", "id").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_id = named.join(lows, "root").select(F.col("id").alias("_ql_key"), "component_id")
     return rows.join(by_id, rows["id"] == F.col("_ql_key")).select("doc_id", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without near copies: of each group of alike_groups() the row with the smallest id.
 
     A row with a null id stays only if all ids of its group are null. Rows that share an id count
     as one document: one of them stays if any does.
     """
-    found = written(alike_groups(docs, doc_id, text, words))
+    found = written(alike_groups(docs, doc_id, text))
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     ids = written(found.groupBy("doc_id").agg(F.count_if(stays).alias("n")).withColumnRenamed("doc_id", "_ql_id"))
     gone = _small(ids.filter("n = 0").select("_ql_id"))

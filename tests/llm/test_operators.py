@@ -169,6 +169,25 @@ def test_near_copies_are_found_and_others_left(spark, some):
     assert all(got[k] == k for k in (4, 1004, 2004, 90_000, 90_001))
 
 
+def shared_shingles(t):
+    ws = t.lower().split()
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
+
+
+def test_near_copies_at_the_edge_are_all_found(spark):
+    rng, rows = np.random.default_rng(11), []
+    for g in range(150):
+        text = [f"w{rng.integers(10**7)}" for _ in range(104)]
+        copy = list(text)
+        for i in rng.choice(100, 2, replace=False) + 2:
+            copy[i] = f"n{rng.integers(10**7)}"
+        rows += [(2 * g, " ".join(text)), (2 * g + 1, " ".join(copy))]
+    sets = {k: shared_shingles(t) for k, t in rows}
+    wanted = plain_components(sorted(sets), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    assert sum(wanted[2 * g + 1] == 2 * g for g in range(150)) > 100
+    assert {r["doc_id"]: r["component_id"] for r in simhash.alike_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == wanted
+
+
 def test_links_of_crowds_connect_what_pairs_connect(spark, monkeypatch):
     rng = np.random.default_rng(5)
     fps = set()
