@@ -27,6 +27,8 @@ CROWD = 32
 SHINGLE, SIMILAR = 5, (4, 5)
 #: Texts sampled to tell frequent shingles, and how many of those are known to every task.
 ORDER_SAMPLE, ORDERED = 20_000, 100_000
+#: Rounds that compare a crowded cell with one of its own, and sides of the blocks of what is left.
+ROUNDS, BLOCK = 4, 512
 #: Ids of at most so many rows are broadcast, so that texts need not be shuffled for them.
 BROADCAST_ROWS = 1_000_000
 #: Hashes whose bits are counted at once.
@@ -234,22 +236,49 @@ def verified(links: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
     return written(both.filter(SIMILAR[1] * common >= SIMILAR[0] * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
 
 
+def _across(crowds: DataFrame) -> DataFrame:
+    """(a, b): all pairs of a cell from different groups, dealt in blocks of BLOCK by BLOCK."""
+    blocks = F.ceil(F.col("m") / BLOCK).cast("long")
+    own, all_ = F.pmod(F.xxhash64("id"), blocks), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    left = crowds.select("cell", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), own.alias("i"), all_.alias("j"))
+    right = crowds.select("cell", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), own.alias("j"), all_.alias("i"))
+    return left.join(right, ["cell", "i", "j"]).filter("a < b and ra <> rb").filter(_sizes_fit(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+
+
 def similar_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): links of classes (id, text_hash, n, sketch, prefix) similar to each other.
+    """(a, b): links that connect all classes (id, text_hash, n, sketch, prefix) similar to each other.
 
-    Similar ones meet in the cell of a shingle of their prefixes. There each is compared with the
-    one before it and with the first.
+    Similar ones meet in the cell of a shingle of their prefixes. In cells of up to CROWD all are
+    compared. In larger ones each is compared with one of the cell, another in each round, as long
+    as links do not connect them; what ROUNDS rounds leave unconnected is compared pair by pair.
     """
-    filed = classes.select("id", F.explode("prefix").alias("cell"))
-    order = Window.partitionBy("cell").orderBy("id")
-    met = filed.select("id", F.lag("id").over(order).alias("before"), F.first("id").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first")).filter("before is not null")
-    found = met.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("before", "first"))).alias("b")).distinct()
-    return verified(written(found), classes, texts)
+    filed = classes.select("id", "n", F.explode("prefix").alias("cell"))
+    filed = filed.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("cell")))
+    met = written(filed.filter("m > 1"))
+    few = met.filter(F.col("m") <= CROWD).groupBy("cell").agg(F.collect_list(F.struct("id", "n")).alias("all"))
+    pairs = few.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", lambda b: (b["id"] > F.col("a.id")) & _sizes_fit(b["n"], F.col("a.n")))).alias("b"))
+    found = verified(pairs.select("a.id", "b.id").toDF("a", "b").distinct(), classes, texts)
+    crowds = written(met.filter(F.col("m") > CROWD))
+    for k in range(ROUNDS + 1):
+        if crowds.isEmpty():
+            break
+        roots = connected_components(found)
+        named = crowds.select("cell", "id", "n", "m").join(roots, crowds["id"] == roots["node"], "left").select("cell", "id", "n", "m", F.coalesce("root", "id").alias("root"))
+        named = written(named)
+        cells = named.groupBy("cell").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "root")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high"))
+        cells = _small(written(cells.filter("low < high").select("cell", "p")))
+        crowds = written(named.join(cells, "cell").select("cell", "id", "n", "m", "root", F.col("p.id").alias("pivot"), F.col("p.root").alias("proot")))
+        if k < ROUNDS:
+            tried = crowds.filter("root <> proot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        else:
+            tried = _across(crowds)
+        found = written(found.unionByName(verified(tried, classes, texts)))
+    return found
 
 
 def alike_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, component_id for every row: groups of texts linked by a similarity of 0.8 or more of
-    their different five-word shingles. Texts of equal sets are one class.
+    their different five-word shingles. Texts of equal sets are one class; all links are found.
     Nulls and repeated rows as in near_duplicates()."""
     rows = written(shingled(docs, doc_id, text))
     classes = written(rows.groupBy("id").agg(F.min("doc_id").alias("low"), F.min("text_hash").alias("text_hash"), *[F.first(k).alias(k) for k in ("n", "sketch", "prefix")]))

@@ -188,6 +188,26 @@ def test_near_copies_at_the_edge_are_all_found(spark):
     assert {r["doc_id"]: r["component_id"] for r in simhash.alike_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == wanted
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_near_copies_in_crowded_cells_are_all_found(spark, monkeypatch, rounds):
+    monkeypatch.setattr(simhash, "CROWD", 3)
+    monkeypatch.setattr(simhash, "BLOCK", 5)
+    monkeypatch.setattr(simhash, "ROUNDS", rounds)
+    rng, rows = np.random.default_rng(12), []
+    base = [f"w{i}" for i in range(120)]
+    for g in range(6):
+        text = [*base[:80], *[f"g{g}x{i}" for i in range(40)]]
+        for c in range(8):
+            rows.append((8 * g + c, " ".join(text)))
+            text = list(text)
+            for i in rng.choice(120, 2, replace=False):
+                text[i] = f"n{rng.integers(10**7)}"
+    sets = {k: shared_shingles(t) for k, t in rows}
+    wanted = plain_components(sorted(sets), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    assert 6 <= len(set(wanted.values())) < 48
+    assert {r["doc_id"]: r["component_id"] for r in simhash.alike_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == wanted
+
+
 def test_links_of_crowds_connect_what_pairs_connect(spark, monkeypatch):
     rng = np.random.default_rng(5)
     fps = set()
