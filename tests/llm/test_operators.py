@@ -174,6 +174,13 @@ def shared_shingles(t):
     return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
 
 
+def test_near_copies_of_one_decisive_line_are_not_merged(spark):
+    line = "one odd line of seven plain words "
+    rows = [(k, line * 60 + " ".join(f"own{k}x{i}" for i in range(40))) for k in range(4)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.alike_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k for k in range(4)}
+
+
 def test_near_copies_at_the_edge_are_all_found(spark):
     rng, rows = np.random.default_rng(11), []
     for g in range(150):
