@@ -27,7 +27,8 @@ WORD = re.compile(r"[^\W_]+")
 HALF = 16
 #: Dimensions of the latent space and more of the sketch; documents of the sample for the SVD.
 DIMENSIONS, MORE, SAMPLE = 96, 16, 3000
-#: Terms in more than this share of documents carry no weight.
+#: Terms in more than this share of documents carry no weight in the latent space. Items whose words
+#: are on average no rarer than that are searched by their words instead.
 COMMON = 0.1
 #: A candidate: cosine, and share of the item's latent length that the passage covers.
 COSINE, COVER = 0.2, 0.3
@@ -63,21 +64,27 @@ class Index:
     items: list[list[str]]
     terms: dict[str, int]
     weight: np.ndarray
+    rarity: np.ndarray
     latent: np.ndarray | None = None
     vectors: np.ndarray | None = None
     length: np.ndarray | None = None
     answers: list[list[str]] = field(default_factory=list)
     asking: dict[int, np.ndarray] = field(default_factory=dict)
     needed: np.ndarray | None = None
+    common: dict[int, np.ndarray] = field(default_factory=dict)
 
     def ask(self) -> None:
-        """Files the items by the terms of their answers: their rarest third of words."""
+        """Files the items by the terms of their answers: their rarest third of words. Items of
+        common words, as those leaked into many documents are, are kept with their terms."""
         asked: dict[int, list[int]] = {}
         for i, ws in enumerate(self.items):
-            rare = sorted(set(ws), key=lambda w: (-self.weight[self.terms[w]], w))
+            rare = sorted(set(ws), key=lambda w: (-self.rarity[self.terms[w]], w))
             self.answers.append(rare[: max(1, len(rare) // 3)])
             for w in self.answers[i]:
                 asked.setdefault(self.terms[w], []).append(i)
+            own = self.terms_of(ws)
+            if self.rarity[own].mean() < -math.log(COMMON):
+                self.common[i] = np.unique(own)
         self.asking = {t: np.array(found) for t, found in asked.items()}
         self.needed = np.array([ANSWER * len(a) for a in self.answers])
 
@@ -104,9 +111,23 @@ class Index:
         if not asked:
             return []
         items = np.flatnonzero(np.bincount(np.concatenate(asked), minlength=len(self.items)) >= self.needed)
+        return [*self._by_vectors(at, items), *self._by_words(at, items)] if len(items) else []
+
+    def _by_words(self, at: np.ndarray, items: np.ndarray) -> list[tuple[int, float, int]]:
+        """Places of items of common words: all whose surroundings, as leaks() reads them, have
+        enough words of the item for the common subsequence. No cosine tells them apart."""
+        found, starts = [], np.arange(0, len(at), HALF)
+        for i in (int(i) for i in items if i in self.common):
+            n = len(self.items[i])
+            sums = np.concatenate([[0], np.cumsum(np.isin(at, self.common[i]))])
+            there = sums[np.minimum(starts + 2 * HALF + n, len(at))] - sums[np.maximum(starts - n, 0)]
+            found += [(i, 0.0, int(p)) for p in starts[there >= OVERLAP * n]]
+        return found
+
+    def _by_vectors(self, at: np.ndarray, items: np.ndarray) -> list[tuple[int, float, int]]:
         places = np.flatnonzero(at >= 0)
         places = places[self.weight[at[places]] > 0]
-        if not len(items) or not len(places):
+        if not len(places):
             return []
         half, first = np.unique(places // HALF, return_index=True)
         sums = np.add.reduceat(self.latent[at[places]], first, axis=0)
@@ -189,11 +210,9 @@ def fit_index(docs: DataFrame, items: list[tuple], text: str = "text", sample: i
         return None
     terms = {w: i for i, w in enumerate(sorted({w for _, ws in texts for w in ws}))}
     n, seen = _frequencies(docs, text, terms)
-    weight = np.zeros(len(terms))
-    for w, i in terms.items():
-        share = (seen.get(i, 0) + 1) / (n + 2)
-        weight[i] = -math.log(share) if share <= COMMON or n < 1 / COMMON else 0.0
-    index = Index([k for k, _ in texts], [ws for _, ws in texts], terms, weight)
+    share = np.array([(seen.get(i, 0) + 1) / (n + 2) for i in range(len(terms))])
+    weight = np.where((share <= COMMON) | (n < 1 / COMMON), -np.log(share), 0.0)
+    index = Index([k for k, _ in texts], [ws for _, ws in texts], terms, weight, -np.log(share))
     index.ask()
     spark = docs.sparkSession
     key = F.xxhash64(text)

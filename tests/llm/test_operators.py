@@ -458,6 +458,16 @@ def test_leaks_found_and_clean_documents_left(spark, sf_dir):
     assert {r["doc_id"]: {x["item_id"] for x in r["leaks"]} for r in blocks} == rows
 
 
+def test_an_item_leaked_into_a_third_of_the_documents_is_found_in_all(spark):
+    rng = np.random.default_rng(21)
+    prose = lambda n: " ".join(f"w{rng.integers(400)}" for _ in range(n))
+    items = [(1, " ".join(f"hot{i}" for i in range(20))), (2, " ".join(f"w{i}" for i in range(380, 400)) + " " + " ".join(f"rare{i}" for i in range(20)))]
+    rows = [(k, f"{prose(60)} {items[0][1]} {prose(60)}" if k % 3 == 0 else prose(140)) for k in range(60)] + [(60, f"{prose(50)} {items[1][1]}")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: {x["item_id"] for x in r["leaks"]} for r in decontamination.with_leaks(docs, bench).collect()}
+    assert got == {**{k: {1} if k % 3 == 0 else set() for k in range(60)}, 60: {2}}
+
+
 def test_decontamination_of_odd_rows(spark, docs, nothing):
     items = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (3, "null id a"), (3, "null id a")], "item_id long, text string")
     assert decontamination.with_leaks(docs, items).count() == len(TEXTS)
