@@ -30,7 +30,8 @@ DIMENSIONS, MORE, SAMPLE = 96, 16, 3000
 #: Terms in more than this share of documents carry no weight in the latent space. Items whose words
 #: are on average no rarer than that are searched by their words instead.
 COMMON = 0.1
-#: A candidate: cosine, and share of the item's latent length that the passage covers.
+#: A candidate: cosine, and share of the latent length that the passage covers, both of a part of
+#: the item; parts have a passage's words at most.
 COSINE, COVER = 0.2, 0.3
 #: A leak: share of the item's words in the longest common subsequence, and of its answer's words.
 OVERLAP, ANSWER = 0.5, 0.5
@@ -68,6 +69,7 @@ class Index:
     latent: np.ndarray | None = None
     vectors: np.ndarray | None = None
     length: np.ndarray | None = None
+    owner: np.ndarray | None = None
     answers: list[list[str]] = field(default_factory=list)
     asking: dict[int, np.ndarray] = field(default_factory=dict)
     needed: np.ndarray | None = None
@@ -136,9 +138,16 @@ class Index:
         after[follows] = sums[follows + 1]
         passages = sums + after
         norm = np.sqrt((passages**2).sum(1)) + 1e-12
-        dots = passages @ self.vectors[items].T
-        hits = np.nonzero((dots >= COSINE * norm[:, None]) & (dots >= COVER * self.length[items]))
-        return [(int(items[i]), float(dots[p, i] / norm[p]), int(half[p]) * HALF) for p, i in zip(*hits, strict=True)]
+        taken = np.zeros(len(self.items), bool)
+        taken[items] = True
+        parts = np.flatnonzero(taken[self.owner])
+        dots = passages @ self.vectors[parts].T
+        hits = np.nonzero((dots >= COSINE * norm[:, None]) & (dots >= COVER * self.length[parts]))
+        best: dict[tuple[int, int], float] = {}
+        for p, i in zip(*hits, strict=True):
+            key = int(self.owner[parts[i]]), int(half[p]) * HALF
+            best[key] = max(best.get(key, 0.0), float(dots[p, i] / norm[p]))
+        return [(i, cosine, place) for (i, place), cosine in best.items()]
 
     def leaks(self, text: str | None) -> list[dict]:
         """The items that a text leaks, with cosine, overlap and answer, best passage each."""
@@ -227,10 +236,12 @@ def fit_index(docs: DataFrame, items: list[tuple], text: str = "text", sample: i
     values, turn = np.linalg.eigh(basis.T @ _product(rows, index, basis))
     latent = basis @ turn[:, np.argsort(-values)[:DIMENSIONS]]
     index.latent = (weight[:, None] * latent).astype(np.float32)
-    vectors = np.zeros((len(texts), latent.shape[1]), np.float32)
-    for i, (_, ws) in enumerate(texts):
-        _, t = index.placed(ws)
-        vectors[i] = index.latent[t].sum(0)
+    parts = [(i, part) for i, (_, ws) in enumerate(texts) for part in np.array_split(ws, math.ceil(len(ws) / (2 * HALF)))]
+    index.owner = np.array([i for i, _ in parts])
+    vectors = np.zeros((len(parts), latent.shape[1]), np.float32)
+    for k, (_, part) in enumerate(parts):
+        _, t = index.placed(part.tolist())
+        vectors[k] = index.latent[t].sum(0)
     index.length = np.sqrt((vectors**2).sum(1)) + 1e-9
     index.vectors = vectors / index.length[:, None]
     return index

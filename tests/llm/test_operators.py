@@ -468,6 +468,21 @@ def test_an_item_leaked_into_a_third_of_the_documents_is_found_in_all(spark):
     assert got == {**{k: {1} if k % 3 == 0 else set() for k in range(60)}, 60: {2}}
 
 
+@pytest.mark.parametrize("n", [40, 150, 500])
+def test_long_items_are_found_whole_and_in_part(spark, n):
+    rng = np.random.default_rng(n)
+    item = lambda k: [f"t{k}x{rng.integers(3 * n)}" for _ in range(n)]
+    items = [(k, item(k)) for k in range(3)]
+    prose = lambda m: " ".join(f"w{rng.integers(400)}" for _ in range(m))
+    rows = [(k, prose(200)) for k in range(60)]
+    for k, ws in items:
+        kept = [w for i, w in enumerate(ws) if i % 6 != 3]
+        rows += [(100 + k, f"{prose(30)} {' '.join(ws)} {prose(30)}"), (200 + k, f"{prose(30)} {' '.join(kept)} {prose(30)}")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(ws)) for k, ws in items], "item_id long, text string")
+    got = {r["doc_id"]: {x["item_id"] for x in r["leaks"]} for r in decontamination.with_leaks(docs, bench).collect()}
+    assert got == {k: {k % 100} if k >= 100 else set() for k, _ in rows}
+
+
 def test_decontamination_of_odd_rows(spark, docs, nothing):
     items = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (3, "null id a"), (3, "null id a")], "item_id long, text string")
     assert decontamination.with_leaks(docs, items).count() == len(TEXTS)
