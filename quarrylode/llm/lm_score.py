@@ -1,38 +1,37 @@
 """Language-model scores by stupid backoff over n-gram counts of the whole corpus.
 
-The score of word w after v is (c(vw) - own) / c(v), where own is the document's own count, so
-that a document does not vouch for itself; where no other document has vw, it is 0.4 c(w) / N.
-A document's score is the mean log10 over its words, the first one after a start mark.
-
-Count tables are partitioned by hash and joined to the documents' n-grams by it: an n-gram goes to
-the bucket of its context, where c(v) and c(vw) are counted and looked up at once; those without a
-match go on to the bucket of w for c(w). Rows hold arrays for a bucket and a batch of documents,
-each (n-gram, document) once. Contexts and n-grams that are frequent in a sample are counted
-exactly beforehand and sent to all tasks (at most 16 for each bucket); their n-grams are scored
-where they are or spread by n-gram, so no bucket holds a hot one.
+The score of word w after a context v is (c(vw) - own) / c(v), where own is the document's own
+count, so that a document does not vouch for itself; where no other document has vw, it is 0.4 times
+the score after the context without its first word, and c(w) / N without any. A document's score is
+the mean log10 over its words, the first one after a start mark.
+
+Documents are first cut into batches of a few million words and written with their words as short
+numbers. Each batch gives a count table of its n-grams of all orders: one row for a key however
+often the batch has it, so a key has at most one row a batch and none is hot. The tables are
+partitioned by the keys' hashes and summed there by a window over the key; counts that other
+batches add to go back to the batches, joined by batch to the documents, whose scores are summed.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylode.llm.common import table
+from quarrylode.llm.common import table, written
 
-BACKOFF = 0.4
-#: Bytes of text for a bucket, words and documents of a batch (a place in it is a short number),
-#: documents of the sample, words kept in a cache.
-BUCKET_BYTES, BATCH, BATCH_DOCS, SAMPLE, CACHE = 16 << 20, 1 << 20, 32_000, 2000, 1 << 20
-START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-SUM, LIGHT, HEAVY, MISS, COUNT = range(5)
-ARRAYS = (("a", pa.int64()), ("b", pa.int64()), ("d", pa.int16()), ("m", pa.int32()), ("n", pa.int32()), ("x", pa.float64()))
+BACKOFF, ORDER = 0.4, 2
+#: Words of a batch (a document is never cut), bytes of keys for a task that sums them, words kept in a cache.
+BATCH, BUCKET_BYTES, CACHE = 1 << 22, 16 << 20, 1 << 20
+#: Pieces of the key space for each of those tasks, so that hashing deals them out evenly; tasks at most.
+PIECES, TASKS = 8, 1 << 15
+START = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -51,246 +50,155 @@ class _Hashes(dict):
         return h
 
 
-def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(documents, words of each, v, w, place of the document) of batches of limited size."""
-    hashes = _Hashes()
-    for b in batches:
-        first, size, seqs = 0, 0, []
-        for i, t in enumerate(b.column(1)):
-            tokens = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-            seqs.append(np.fromiter([hashes[w] for w in tokens], np.uint64, len(tokens)))
-            size += len(tokens)
-            if size >= BATCH or len(seqs) >= BATCH_DOCS or i + 1 == b.num_rows:
-                lengths = np.array([len(s) for s in seqs])
-                v = np.concatenate([x for s in seqs for x in (START.reshape(1), s)])
-                w = np.concatenate([x for s in seqs for x in (s, END.reshape(1))])
-                yield b.column(0).slice(first, len(seqs)), lengths, v, w, np.repeat(np.arange(len(seqs), dtype=np.int32), lengths + 1)
-                first, size, seqs = i + 1, 0, []
-
-
-def place(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Index of each key in a sorted array, -1 where it is not."""
-    if not len(among):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
-    return np.where(among[at] == keys, at, -1)
-
-
-@dataclass
-class Frequent:
-    """Frequent words and n-grams with exact counts; what all tasks know."""
-
-    bits: int
-    words: np.ndarray
-    grams: np.ndarray
-    word_counts: np.ndarray | None = None
-    gram_counts: np.ndarray | None = None
-    total: int = 0
-
-    def bucket(self, h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
-
-    def fallback(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10(BACKOFF * counts / self.total)
-
-
-def _row(bucket: int, kind: int, docs: pa.Array, **arrays) -> tuple:
-    return bucket, kind, docs, arrays
-
-
-def _batch(rows: list[tuple], doc_type: pa.DataType) -> pa.Table:
-    def lists(values: list, kind: pa.DataType) -> pa.Array:
-        ends = np.cumsum([0, *[len(v) for v in values]]).astype(np.int32)
-        flat = pa.concat_arrays([v.cast(kind) if isinstance(v, pa.Array) else pa.array(v, kind) for v in values]) if values else pa.array([], kind)
-        return pa.ListArray.from_arrays(pa.array(ends), flat)
-
-    cols = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), lists([r[2] for r in rows], doc_type)]
-    for name, kind in ARRAYS:
-        cols.append(lists([r[3].get(name, ()) for r in rows], kind))
-    return pa.Table.from_arrays(cols, names=["bucket", "kind", "docs", *[n for n, _ in ARRAYS]])
-
-
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64).view(np.int64)
-
-
-def emitted(docs: pa.Array, lengths: np.ndarray, v: np.ndarray, w: np.ndarray, d: np.ndarray, known: Frequent) -> list[tuple]:
-    """Rows of a batch: its word counts and what is scored already, and its n-grams by bucket."""
-    sums = np.zeros(len(docs))
-    key = mixed(v, w)
-    gram = place(key, known.grams)
-    if (hot := gram >= 0).any():
-        pair, n = np.unique(d[hot].astype(np.int64) * len(known.grams) + gram[hot], return_counts=True)
-        g = pair % len(known.grams)
-        one = np.zeros(len(known.grams), np.int64)
-        one[gram[hot]] = np.flatnonzero(hot)
-        other = known.gram_counts[g] - n
-        cv, cw = (known.word_counts[place(x[one[g]], known.words)] for x in (v, w))
-        score = np.where(other > 0, np.log10(np.maximum(other, 1) / cv), known.fallback(cw))
-        sums += np.bincount(pair // len(known.grams), weights=n * score, minlength=len(docs))
-    rows = [_row(int(known.bucket(key[:1])[0]) if len(key) else 0, SUM, docs, x=sums, m=lengths)]
-    word = place(v, known.words)
-    for kind, chosen in ((LIGHT, ~hot & (word < 0)), (HEAVY, ~hot & (word >= 0))):
-        at = np.flatnonzero(chosen)
-        if not len(at):
-            continue
-        order = (v[at] & np.uint64(0xFFFFFFFF00000000)) | (key[at] >> np.uint64(32)) if kind == LIGHT else key[at]
-        at = at[np.argsort(order, kind="stable")]
-        new = np.r_[True, (v[at][1:] != v[at][:-1]) | (w[at][1:] != w[at][:-1]) | (d[at][1:] != d[at][:-1])]
-        starts = np.flatnonzero(new)
-        n = np.diff(np.r_[starts, len(at)])
-        at = at[starts]
-        bucket = known.bucket(v[at] if kind == LIGHT else key[at])
-        cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(at)]
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            part, times = at[s:e], n[s:e]
-            if kind == HEAVY:  # runs of equal numbers take little room
-                order = np.argsort(word[part], kind="stable")
-                part, times = part[order], times[order]
-            used, local = np.unique(d[part], return_inverse=True)
-            fields = {"b": _signed(w[part]), "d": local, "n": times}
-            if kind == LIGHT:
-                change = np.flatnonzero(np.r_[True, v[part][1:] != v[part][:-1]])
-                fields |= {"a": _signed(v[part][change]), "m": np.diff(np.r_[change, e - s])}
-            else:
-                fields |= {"m": word[part]}
-            rows.append(_row(int(bucket[s]), kind, docs.take(pa.array(used)), **fields))
-    return rows
-
-
-class _Group:
-    """The rows of one kind in a bucket, their arrays joined; places count on over the rows."""
-
-    def __init__(self, rows: pa.Table, kind: int):
-        rows = rows.filter(pa.compute.equal(rows["kind"], kind)).combine_chunks()
-        take = lambda c: rows[c].combine_chunks().flatten() if rows.num_rows else pa.array([], rows.schema.field(c).type.value_type)
-        self.docs = take("docs")
-        for name, _ in ARRAYS:
-            setattr(self, name, take(name).to_numpy(zero_copy_only=False))
-        if kind == MISS:
-            self.d = np.repeat(np.arange(len(self.docs)), self.m)
-        elif rows.num_rows and len(self.d):
-            sizes = pa.compute.list_value_length(rows["docs"]).to_numpy()
-            each = pa.compute.list_value_length(rows["d"]).to_numpy()
-            self.d = self.d + np.repeat(np.cumsum(np.r_[0, sizes[:-1]]).astype(np.int32), each)
-
-
-def _concat(parts: list[pa.Array]) -> pa.Array:
-    return pa.concat_arrays([p.combine_chunks() if isinstance(p, pa.ChunkedArray) else p for p in parts])
-
-
-def matched(rows: pa.Table, known: Frequent, doc_type: pa.DataType) -> pa.Table:
-    """A bucket's n-grams against its counts: sums by document, and what must back off."""
-    bucket = rows["bucket"][0].as_py()
-    light, heavy, done = _Group(rows, LIGHT), _Group(rows, HEAVY), _Group(rows, SUM)
-    v = np.concatenate([np.repeat(light.a.view(np.uint64), light.m), known.words[heavy.m] if len(heavy.m) else np.empty(0, np.uint64)])
-    w = np.concatenate([light.b, heavy.b]).view(np.uint64)
-    n = np.concatenate([light.n, heavy.n])
-    d = np.concatenate([light.d, heavy.d + len(light.docs)])
-    docs = _concat([light.docs, heavy.docs])
-    out = [_row(bucket, SUM, done.docs, x=done.x, m=done.m)]
-    if len(v):
-        names, which = np.unique(light.a.view(np.uint64), return_inverse=True)
-        own = np.bincount(np.repeat(which, light.m), weights=light.n, minlength=len(names)).astype(np.int64)
-        cv = np.concatenate([own[np.repeat(which, light.m)], known.word_counts[heavy.m] if len(heavy.m) else np.empty(0, np.int64)])
-        order = np.lexsort((w, v))
-        starts = np.flatnonzero(np.r_[True, (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])])
-        total = np.add.reduceat(n[order], starts, dtype=np.int64)
-        other = np.empty(len(v), np.int64)
-        other[order] = np.repeat(total, np.diff(np.r_[starts, len(v)])) - n[order]
-        scored = w != END
-        score = np.where(other > 0, np.log10(np.maximum(other, 1) / cv), 0.0)
-        miss = scored & (other <= 0)
-        word = place(w[miss], known.words)
-        score[np.flatnonzero(miss)[word >= 0]] = known.fallback(known.word_counts[word[word >= 0]])
-        sums = np.bincount(d[scored], weights=(n * score)[scored], minlength=len(docs))
-        out.append(_row(bucket, SUM, docs, x=sums, m=np.zeros(len(docs), np.int32)))
-        out.append(_row(bucket, COUNT, docs[:0], a=_signed(names), b=own))
-        at = np.flatnonzero(miss)[word < 0]
-        to = known.bucket(w[at])
-        order = np.lexsort((d[at], to))
-        at, to = at[order], to[order]
-        cuts = np.r_[0, np.flatnonzero(np.diff(to)) + 1, len(at)] if len(at) else np.array([0])
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            used, each = np.unique(d[at[s:e]], return_counts=True)
-            out.append(_row(int(to[s]), MISS, docs.take(pa.array(used)), b=_signed(w[at[s:e]]), m=each, n=n[at[s:e]]))
-    return _batch(out, doc_type)
-
-
-def backed_off(rows: pa.Table, known: Frequent, doc_type: pa.DataType) -> pa.Table:
-    """A bucket's unmatched n-grams against its word counts: sums by document."""
-    counts, miss, done = _Group(rows, COUNT), _Group(rows, MISS), _Group(rows, SUM)
-    out = [_row(0, SUM, done.docs, x=done.x, m=done.m)]
-    if len(miss.b):
-        names = counts.a.view(np.uint64)
-        order = np.argsort(names)
-        cw = counts.b[order][place(miss.b.view(np.uint64), names[order])]
-        sums = np.bincount(miss.d, weights=miss.n * known.fallback(cw), minlength=len(miss.docs))
-        out.append(_row(0, SUM, miss.docs, x=sums, m=np.zeros(len(miss.docs), np.int32)))
-    return _batch(out, doc_type).select(["docs", "x", "m"])
-
-
-def frequent(docs: DataFrame, bits: int, sample: int = SAMPLE) -> Frequent:
-    """Words and n-grams above an eighth of a bucket's share in a sample (the documents of the
-    smallest hashes), with their counts over all documents."""
-    key = F.xxhash64("text")
-    bound = docs.select(key.alias("k")).orderBy("k").limit(sample).agg(F.max("k")).first()[0]
-    texts = [r["text"] for r in docs.filter(key <= bound).select("text").limit(sample).collect()] if bound is not None else []
-    some = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc", "text"])
-    parts = list(batches_of(iter([some])))
-    v = np.concatenate([p[2] for p in parts]) if parts else np.empty(0, np.uint64)
-    w = np.concatenate([p[3] for p in parts]) if parts else np.empty(0, np.uint64)
-    least = max(2.0, len(v) / (8 << bits))
-    word, n = np.unique(v, return_counts=True)
-    words = np.union1d(word[n >= least], START.reshape(1))
-    both = (w != END) & (place(v, words) >= 0) & (place(w, words) >= 0)
-    gram, n = np.unique(mixed(v[both], w[both]), return_counts=True)
-    known = Frequent(bits, words, gram[n >= least])
+def encoded(rows: DataFrame, batch_words: int = BATCH) -> DataFrame:
+    """From (doc, text): batch, n_words, docs, lengths (words and start mark of each), words (their
+    hashes, most frequent first) and tokens (numbers of words, compressed), a row for each batch."""
+    kind = rows.schema["doc"].dataType
+    schema = T.StructType(
+        [T.StructField("batch", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("docs", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(T.IntegerType())),
+         T.StructField("words", T.ArrayType(T.LongType())), T.StructField("tokens", T.BinaryType())]
+    )
+
+    def row(number: int, docs: list[pa.Array], seqs: list[np.ndarray]) -> pa.RecordBatch:
+        lengths = np.array([len(s) for s in seqs], np.int32)
+        words, which, n = np.unique(np.concatenate(seqs), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        tokens = pa.Codec("zstd").compress(np.ascontiguousarray(place[which].view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        held = pa.concat_arrays(docs)
+        cols = [pa.array([number]), pa.array([int(lengths.sum()) - len(seqs)]), one(held), one(pa.array(lengths)), one(pa.array(words[order].view(np.int64))), pa.array([tokens], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = np.zeros(len(known.words) + len(known.grams), np.int64), 0
-        for _, lengths, v, w, _ in batches_of(batches):
-            total += int(lengths.sum())
-            for keys, among, start in ((v, known.words, 0), (mixed(v, w), known.grams, len(known.words))):
-                at = place(keys, among)
-                counts += np.bincount(at[at >= 0] + start, minlength=len(counts))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(counts)), pa.int64()), pa.array(np.r_[total, counts], pa.int64())], ["at", "n"])
-
-    rows = docs.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    counts = {r["at"]: r["n"] for r in rows}
-    known.total = counts.pop(-1, 0)
-    every = np.array([counts.get(i, 0) for i in range(len(known.words) + len(known.grams))], np.int64)
-    known.word_counts, known.gram_counts = every[: len(known.words)], every[len(known.words) :]
-    return known
-
-
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+        hashes, number = _Hashes(), TaskContext.get().partitionId() << 32
+        docs, seqs, size = [], [], 0
+        for b in batches:
+            first = 0
+            for i, t in enumerate(b.column(1)):
+                tokens = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                seqs.append(np.fromiter([START, *[hashes[w] for w in tokens]], np.uint64, len(tokens) + 1))
+                size += len(tokens) + 1
+                if size >= batch_words:
+                    yield row(number, [*docs, b.column(0).slice(first, i + 1 - first)], seqs)
+                    docs, seqs, size, first, number = [], [], 0, i + 1, number + 1
+            docs.append(b.column(0).slice(first))
+        if seqs:
+            yield row(number, docs, seqs)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _sequence(words: np.ndarray, tokens: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, its place in its document; 0 is the start mark)."""
+    n = int(lengths.sum())
+    raw = np.frombuffer(pa.Codec("zstd").decompress(tokens, decompressed_size=4 * n, asbytes=True), np.uint8)
+    numbers = np.ascontiguousarray(raw.reshape(4, -1).T).view(np.int32).ravel()
+    starts = np.cumsum(lengths) - lengths
+    return words.view(np.uint64)[numbers], np.arange(n) - np.repeat(starts, lengths)
+
+
+def _keys(seq: np.ndarray, at: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, keys of the n-grams that end there) of each order from 1."""
+    key = seq
+    yield np.arange(len(seq)), key
+    for k in range(1, order):
+        key = np.concatenate([key[:1], mixed(key[:-1], seq[1:])])
+        places = np.flatnonzero(at >= k)
+        yield places, key[places]
+
+
+def _list(row: pa.ListArray) -> np.ndarray:
+    return row.flatten().to_numpy(zero_copy_only=False)
+
+
+def count_tables(batches: DataFrame, order: int, bits: int) -> DataFrame:
+    """piece, batch, keys, counts: the n-grams of each batch by the high bits of their keys."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for i in range(b.num_rows):
+                words, lengths = _list(b.column("words").slice(i, 1)), _list(b.column("lengths").slice(i, 1))
+                seq, at = _sequence(words, b.column("tokens")[i].as_py(), lengths)
+                keys, n = np.unique(np.concatenate([k for _, k in _keys(seq, at, order)]), return_counts=True)
+                piece = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
+                cuts = np.r_[0, np.flatnonzero(np.diff(piece)) + 1, len(keys)].astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (keys.view(np.int64), n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(piece[cuts[:-1]]), pa.array([b.column("batch")[i].as_py()] * (len(cuts) - 1), pa.int64()), *lists], names=["piece", "batch", "keys", "counts"])
+
+    return batches.select("batch", "lengths", "words", "tokens").mapInArrow(run, "piece int, batch long, keys array<long>, counts array<int>")
+
+
+def shared_counts(tables: DataFrame, tasks: int) -> DataFrame:
+    """batch, keys, totals: counts over all batches of the keys that more than one batch has."""
+    rows = tables.repartition(tasks, "piece").select("piece", "batch", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("counts").alias("n"))))
+    same = Window.partitionBy("piece", "key")
+    summed = rows.select("piece", "batch", "key", F.sum("n").over(same).alias("total"), F.count(F.lit(1)).over(same).alias("batches")).filter("batches > 1")
+    return summed.groupBy("piece", "batch").agg(F.collect_list("key").alias("keys"), F.collect_list("total").alias("totals")).drop("piece")
+
+
+def scored(docs: pa.Table, counts: pa.Table, order: int, total: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(documents, words, sums of log10) of a batch, given the counts that other batches add to."""
+    docs = docs.combine_chunks()
+    take = lambda t, c: t[c].combine_chunks().flatten() if t.num_rows else pa.array([], t.schema.field(c).type.value_type)
+    lengths = take(docs, "lengths").to_numpy(zero_copy_only=False)
+    seq, at = _sequence(take(docs, "words").to_numpy(zero_copy_only=False), docs["tokens"][0].as_py(), lengths)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    known, totals = (take(counts, c).to_numpy(zero_copy_only=False) for c in ("keys", "totals"))
+    by = np.argsort(known.view(np.uint64))
+    known, totals = known.view(np.uint64)[by], totals[by]
+    best, done, context = np.zeros(len(seq)), at == 0, None
+    levels = []
+    for k, (places, keys) in enumerate(_keys(seq, at, order)):
+        names, which, n = np.unique(keys, return_inverse=True, return_counts=True)
+        if len(known):
+            found = np.minimum(np.searchsorted(known, names), len(known) - 1)
+            n = np.where(known[found] == names, totals[found], n)
+        count = np.zeros(len(seq), np.int64)
+        count[places] = n[which]
+        if k:
+            _, pair, own = np.unique(doc[places] * len(names) + which, return_inverse=True, return_counts=True)
+            other = np.zeros(len(seq), np.int64)
+            other[places] = n[which] - own[pair]
+            levels.append((k, other, np.concatenate([context[:1], context[:-1]])))
+        else:
+            single = count
+        context = count
+    for k, other, before in reversed(levels):
+        use = ~done & (other > 0)
+        deepest = np.minimum(at, order - 1)
+        best[use] = np.log10(other[use] / before[use]) + (deepest[use] - k) * math.log10(BACKOFF)
+        done |= use
+    left = ~done
+    best[left] = np.log10(single[left] / max(total, 1)) + np.minimum(at, order - 1)[left] * math.log10(BACKOFF)
+    return take(docs, "docs"), lengths - 1, np.bincount(doc, weights=best, minlength=len(lengths))
+
+
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES, order: int = ORDER, batch_words: int = BATCH) -> DataFrame:
     """doc_id, n_words, score: one row for each id; rows that share an id count as one document's
-    parts. Without a word (null or empty texts) the score is null. Words are runs of anything but
-    white space, A-Z lower-cased. Other columns are not read."""
+    parts, each with its own words not vouching for it. Without a word (null or empty texts) the
+    score is null. Words are runs of anything but white space, A-Z lower-cased. Other columns are
+    not read; an empty table gives no rows."""
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = max(0, math.ceil(math.log2(max(1, size / bucket_bytes))))
-    known = frequent(rows, bits)
-    kind = rows.schema["doc"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow = to_arrow_type(kind)
-    fields = [T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("docs", T.ArrayType(kind))]
-    arrays = {"a": T.LongType(), "b": T.LongType(), "d": T.ShortType(), "m": T.IntegerType(), "n": T.IntegerType(), "x": T.DoubleType()}
-    schema = T.StructType(fields + [T.StructField(n, T.ArrayType(arrays[n])) for n, _ in ARRAYS])
-    sums = T.StructType([fields[2], T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("m", T.ArrayType(T.IntegerType()))])
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches):
-            yield from _batch(emitted(*batch, known), arrow).to_batches()
-
-    grams = rows.mapInArrow(emit, schema)
-    joined = grams.groupBy("bucket").applyInArrow(lambda t: matched(t, known, arrow), schema)
-    done = joined.groupBy("bucket").applyInArrow(lambda t: backed_off(t, known, arrow), sums)
-    each = done.select(F.inline(F.arrays_zip("docs", "x", "m"))).groupBy(F.col("docs").alias("doc_id"))
-    out = each.agg(F.sum("m").cast("long").alias("n_words"), F.sum("x").alias("total"))
-    return out.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("total") / F.col("n_words")).alias("score"))
+    batches = written(encoded(rows, batch_words))
+    total = batches.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    tasks = min(TASKS, math.ceil(max(1, total) * 8 * order / bucket_bytes))
+    counts = shared_counts(count_tables(batches, order, math.ceil(math.log2(tasks * PIECES)) if tasks > 1 else 0), tasks)
+    kind = batches.schema["docs"].dataType.elementType
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("total", T.DoubleType())])
+
+    def run(held: pa.Table, found: pa.Table) -> pa.Table:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        if not held.num_rows:
+            return pa.table([pa.array([], to_arrow_type(kind)), pa.array([], pa.int64()), pa.array([], pa.float64())], names=schema.names)
+        ids, n, sums = scored(held, found, order, total)
+        return pa.table([ids, pa.array(n.astype(np.int64)), pa.array(sums)], names=schema.names)
+
+    parts = batches.drop("n_words").groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(run, schema)
+    each = parts.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("total").alias("total"))
+    return each.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("total") / F.col("n_words")).alias("score"))
 
 
 def op3_lm_score(spark, sf_dir: str) -> DataFrame:

@@ -270,6 +270,32 @@ def test_lm_scores(some, bucket):
         assert r["n_words"] == len(ws) and math.isclose(r["score"], total / len(ws), rel_tol=1e-9)
 
 
+@pytest.mark.parametrize(("order", "batch"), [(1, 500), (3, 700), (3, 1 << 22)])
+def test_lm_scores_of_other_orders_and_small_batches(some, order, batch):
+    words = {k: [None, *t.encode().lower().split()] for k, t in texts_of(some).items()}
+    grams = lambda ws, k: Counter(tuple(ws[i : i + k]) for i in range(len(ws) - k + 1))
+    counts, n = Counter(), sum(len(ws) - 1 for ws in words.values())
+    for ws in words.values():
+        for k in range(1, order + 1):
+            counts.update(grams(ws, k))
+    for r in lm_score.score_documents(some, order=order, batch_words=batch, bucket_bytes=1 << 14).collect():
+        ws = words[r["doc_id"]]
+        own = Counter()
+        for k in range(1, order + 1):
+            own.update(grams(ws, k))
+        total = 0.0
+        for i in range(1, len(ws)):
+            score, weight = None, 1.0
+            for k in range(min(i + 1, order), 1, -1):
+                gram = tuple(ws[i - k + 1 : i + 1])
+                if counts[gram] > own[gram]:
+                    score = weight * (counts[gram] - own[gram]) / counts[gram[:-1]]
+                    break
+                weight *= 0.4
+            total += math.log10(weight * counts[(ws[i],)] / n if score is None else score)
+        assert math.isclose(r["score"], total / (len(ws) - 1), rel_tol=1e-9)
+
+
 def test_lm_scores_of_odd_rows(docs, nothing):
     rows = {r["doc_id"]: r for r in lm_score.score_documents(docs).collect()}
     assert rows.keys() == {i for i, _ in TEXTS} and rows[3]["score"] is None and rows[4]["n_words"] == 0 and rows[None]["n_words"] == 3
