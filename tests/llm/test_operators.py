@@ -336,11 +336,24 @@ def test_templates_are_learned_from_labels(spark):
     assert url_filter.judge_urls(df.limit(0), "u").count() == 0
 
 
+def test_a_blocked_branch_does_not_block_the_rest_of_its_host(spark):
+    urls = [(f"http://{h}.com/en/{k}", 1 if h == "bad" else 0) for h in ("bad", "good") for k in range(40)]
+    urls += [(f"http://{h}.com/{b}/{k}", None) for h in ("bad", "good", "new") for b in ("fr", "de") for k in range(30)]
+    urls += [(f"http://bad.com/en/deep/{k}", None) for k in range(3)] + [("http://bad.com/" + "/".join("abcdefghijkl"), None), ("http://bad.com/" + "/".join("abcdefghijkm"), None)]
+    rows = {r["u"]: r for r in url_filter.judge_urls(spark.createDataFrame(urls, "u string, y int"), "u", rules=(), label="y").collect()}
+    for u, y in urls:
+        assert rows[u]["verdict"] == ("block" if y == 1 or "bad.com/en/deep" in u else "allow"), u
+    assert rows["http://bad.com/fr/3"]["template"] == "/fr/{num}" and rows["http://bad.com/fr/3"]["purity"] == 0.5
+    assert len({rows[u]["template"] for u, _ in urls[-2:]}) == 2
+
+
 def test_similar_branches_merge_and_others_do_not(spark):
     rows = [("h", ["a", "{num}"], 20, 0, 20), ("h", ["b", "{num}"], 19, 1, 20), ("h", ["c", "{num}"], 0, 20, 20), ("h", [f"v{i}" for i in range(1)], 0, 0, 1)]
     df = spark.createDataFrame(rows, "host string, shape array<string>, blocked long, allowed long, n long")
     found = {tuple(r["shape"]): r["template"] for r in url_filter.templates(df, 2).collect()}
-    assert found[("c", "{num}")] == "/c/{num}"
+    assert found[("c", "{num}")] == "/c/{num}" and found[("v0",)] == "/v0"
+    two = spark.createDataFrame([*rows[:2], ("h", ["d", "{num}"], 0, 0, 30)], df.schema)
+    assert {r["shape"][0]: r["template"] for r in url_filter.templates(two, 2).collect()} == {"a": "/*/{num}", "b": "/*/{num}", "d": "/d/{num}"}
     many = spark.createDataFrame([("h", [f"v{i}"], 0, 0, 1) for i in range(40)], "host string, shape array<string>, blocked long, allowed long, n long")
     assert {r["template"] for r in url_filter.templates(many, 1).collect()} == {"/*"}
 
