@@ -8,8 +8,9 @@ the mean log10 over its words, the first one after a start mark.
 Documents are first cut into batches of a few million words and written with their words as short
 numbers. Each batch gives a count table of its n-grams of all orders: one row for a key however
 often the batch has it, so a key has at most one row a batch and none is hot. The tables are
-partitioned by the keys' hashes and summed there by a window over the key; counts that other
-batches add to go back to the batches, joined by batch to the documents, whose scores are summed.
+partitioned by the keys' hashes and summed there by a window over the key; what the other batches
+have of each key goes back to its batch, in the order of the keys and without them, and is joined by
+batch to the documents, whose scores are summed.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from quarrylode.llm.common import table, written
 
 BACKOFF, ORDER = 0.4, 2
 #: Words of a batch (a document is never cut), bytes of keys for a task that sums them, words kept in a cache.
-BATCH, BUCKET_BYTES, CACHE = 1 << 22, 16 << 20, 1 << 20
+BATCH, BUCKET_BYTES, CACHE = 3 << 20, 16 << 20, 1 << 20
 #: Pieces of the key space for each of those tasks, so that hashing deals them out evenly; tasks at most.
 PIECES, TASKS = 8, 1 << 15
 START = np.uint64(0x9E3779B97F4A7C15)
@@ -90,89 +91,90 @@ def encoded(rows: DataFrame, batch_words: int = BATCH) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _sequence(words: np.ndarray, tokens: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, its place in its document; 0 is the start mark)."""
-    n = int(lengths.sum())
-    raw = np.frombuffer(pa.Codec("zstd").decompress(tokens, decompressed_size=4 * n, asbytes=True), np.uint8)
-    numbers = np.ascontiguousarray(raw.reshape(4, -1).T).view(np.int32).ravel()
-    starts = np.cumsum(lengths) - lengths
-    return words.view(np.uint64)[numbers], np.arange(n) - np.repeat(starts, lengths)
+def _list(rows: pa.RecordBatch, column: str, i: int) -> np.ndarray:
+    return rows.column(column).slice(i, 1).flatten().to_numpy(zero_copy_only=False)
 
 
-def _keys(seq: np.ndarray, at: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, keys of the n-grams that end there) of each order from 1."""
-    key = seq
-    yield np.arange(len(seq)), key
-    for k in range(1, order):
-        key = np.concatenate([key[:1], mixed(key[:-1], seq[1:])])
-        places = np.flatnonzero(at >= k)
-        yield places, key[places]
+class _Batch:
+    """A batch read back: words (hashes), tokens (their numbers in a row), at (the place of each in
+    its document, 0 for the start mark) and lengths."""
 
+    def __init__(self, rows: pa.RecordBatch, i: int):
+        self.words, self.lengths = _list(rows, "words", i), _list(rows, "lengths", i)
+        n = int(self.lengths.sum())
+        raw = np.frombuffer(pa.Codec("zstd").decompress(rows.column("tokens")[i].as_py(), decompressed_size=4 * n, asbytes=True), np.uint8)
+        self.tokens = np.ascontiguousarray(raw.reshape(4, -1).T).view(np.int32).ravel()
+        starts = np.cumsum(self.lengths) - self.lengths
+        self.at = np.arange(n, dtype=np.int32) - np.repeat(starts.astype(np.int32), self.lengths)
 
-def _list(row: pa.ListArray) -> np.ndarray:
-    return row.flatten().to_numpy(zero_copy_only=False)
+    def levels(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, keys, counts, number of the key at each place) of the n-grams of each order."""
+        yield np.arange(len(self.tokens), dtype=np.int32), self.words, np.bincount(self.tokens, minlength=len(self.words)), self.tokens
+        seq = self.words.view(np.uint64)[self.tokens] if order > 1 else None
+        gram = seq
+        for k in range(1, order):
+            gram = np.concatenate([gram[:1], mixed(gram[:-1], seq[1:])])
+            places = np.flatnonzero(self.at >= k).astype(np.int32)
+            names, which, n = np.unique(gram[places].view(np.int64), return_inverse=True, return_counts=True)
+            yield places, names, n, which.astype(np.int32)
 
 
 def count_tables(batches: DataFrame, order: int, bits: int) -> DataFrame:
-    """piece, batch, keys, counts: the n-grams of each batch by the high bits of their keys."""
+    """piece, batch, keys, counts: the n-grams of each batch, sorted, by the high bits of their keys."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for i in range(b.num_rows):
-                words, lengths = _list(b.column("words").slice(i, 1)), _list(b.column("lengths").slice(i, 1))
-                seq, at = _sequence(words, b.column("tokens")[i].as_py(), lengths)
-                keys, n = np.unique(np.concatenate([k for _, k in _keys(seq, at, order)]), return_counts=True)
-                piece = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
+                keys, n = (np.concatenate(x) for x in zip(*((names, n) for _, names, n, _ in _Batch(b, i).levels(order)), strict=True))
+                by = np.argsort(keys, kind="stable")
+                keys, n = keys[by], n[by]
+                piece = (keys >> (64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
                 cuts = np.r_[0, np.flatnonzero(np.diff(piece)) + 1, len(keys)].astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (keys.view(np.int64), n.astype(np.int32))]
+                lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (keys, n.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([pa.array(piece[cuts[:-1]]), pa.array([b.column("batch")[i].as_py()] * (len(cuts) - 1), pa.int64()), *lists], names=["piece", "batch", "keys", "counts"])
 
     return batches.select("batch", "lengths", "words", "tokens").mapInArrow(run, "piece int, batch long, keys array<long>, counts array<int>")
 
 
-def shared_counts(tables: DataFrame, tasks: int) -> DataFrame:
-    """batch, keys, totals: counts over all batches of the keys that more than one batch has."""
+def other_counts(tables: DataFrame, tasks: int) -> DataFrame:
+    """batch, piece, others: what the other batches have of each key of a batch, sorted by key."""
     rows = tables.repartition(tasks, "piece").select("piece", "batch", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("counts").alias("n"))))
-    same = Window.partitionBy("piece", "key")
-    summed = rows.select("piece", "batch", "key", F.sum("n").over(same).alias("total"), F.count(F.lit(1)).over(same).alias("batches")).filter("batches > 1")
-    return summed.groupBy("piece", "batch").agg(F.collect_list("key").alias("keys"), F.collect_list("total").alias("totals")).drop("piece")
-
-
-def scored(docs: pa.Table, counts: pa.Table, order: int, total: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(documents, words, sums of log10) of a batch, given the counts that other batches add to."""
-    docs = docs.combine_chunks()
-    take = lambda t, c: t[c].combine_chunks().flatten() if t.num_rows else pa.array([], t.schema.field(c).type.value_type)
-    lengths = take(docs, "lengths").to_numpy(zero_copy_only=False)
-    seq, at = _sequence(take(docs, "words").to_numpy(zero_copy_only=False), docs["tokens"][0].as_py(), lengths)
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    known, totals = (take(counts, c).to_numpy(zero_copy_only=False) for c in ("keys", "totals"))
-    by = np.argsort(known.view(np.uint64))
-    known, totals = known.view(np.uint64)[by], totals[by]
-    best, done, context = np.zeros(len(seq)), at == 0, None
-    levels = []
-    for k, (places, keys) in enumerate(_keys(seq, at, order)):
-        names, which, n = np.unique(keys, return_inverse=True, return_counts=True)
-        if len(known):
-            found = np.minimum(np.searchsorted(known, names), len(known) - 1)
-            n = np.where(known[found] == names, totals[found], n)
-        count = np.zeros(len(seq), np.int64)
-        count[places] = n[which]
+    summed = rows.select("piece", "batch", "key", (F.sum("n").over(Window.partitionBy("piece", "key")) - F.col("n")).alias("others"))
+    lists = summed.groupBy("piece", "batch").agg(F.sort_array(F.collect_list(F.struct("key", "others"))).alias("all"))
+    return lists.select("batch", "piece", F.col("all.others").alias("others"))
+
+
+def scored(held: pa.RecordBatch, found: pa.Table, order: int, total: int) -> np.ndarray:
+    """The sum of log10 of each document of a batch, given what other batches have of its keys."""
+    batch = _Batch(held, 0)
+    levels = list(batch.levels(order))
+    keys = np.concatenate([names for _, names, _, _ in levels])
+    found = found.sort_by("piece").combine_chunks()
+    counts = np.empty(len(keys), np.int64)
+    counts[np.argsort(keys, kind="stable")] = found["others"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    del keys
+    doc = np.repeat(np.arange(len(batch.lengths), dtype=np.int32), batch.lengths)
+    deepest = np.minimum(batch.at, order - 1)
+    best, start, context = np.zeros(len(doc)), 0, None
+    for k, (places, names, n, which) in enumerate(levels):
+        every = counts[start : start + len(names)] + n
+        start += len(names)
+        count = np.zeros(len(doc), np.int64)
+        count[places] = every[which]
         if k:
-            _, pair, own = np.unique(doc[places] * len(names) + which, return_inverse=True, return_counts=True)
-            other = np.zeros(len(seq), np.int64)
-            other[places] = n[which] - own[pair]
-            levels.append((k, other, np.concatenate([context[:1], context[:-1]])))
+            code = doc[places] * np.int64(len(names)) + which
+            by = np.argsort(code)
+            first = np.flatnonzero(np.r_[True, np.diff(code[by]) != 0][: len(by)])
+            own = np.empty(len(code), np.int64)
+            own[by] = np.repeat(np.diff(np.r_[first, len(code)]), np.diff(np.r_[first, len(code)]))
+            other = count[places] - own
+            places, other = places[other > 0], other[other > 0]
+            best[places] = np.log10(other / context[places - 1]) + (deepest[places] - k) * math.log10(BACKOFF)
         else:
-            single = count
+            best = np.log10(count / max(total, 1)) + deepest * math.log10(BACKOFF)
         context = count
-    for k, other, before in reversed(levels):
-        use = ~done & (other > 0)
-        deepest = np.minimum(at, order - 1)
-        best[use] = np.log10(other[use] / before[use]) + (deepest[use] - k) * math.log10(BACKOFF)
-        done |= use
-    left = ~done
-    best[left] = np.log10(single[left] / max(total, 1)) + np.minimum(at, order - 1)[left] * math.log10(BACKOFF)
-    return take(docs, "docs"), lengths - 1, np.bincount(doc, weights=best, minlength=len(lengths))
+    best[batch.at == 0] = 0.0
+    return np.bincount(doc, weights=best, minlength=len(batch.lengths))
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES, order: int = ORDER, batch_words: int = BATCH) -> DataFrame:
@@ -184,17 +186,14 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     batches = written(encoded(rows, batch_words))
     total = batches.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     tasks = min(TASKS, math.ceil(max(1, total) * 8 * order / bucket_bytes))
-    counts = shared_counts(count_tables(batches, order, math.ceil(math.log2(tasks * PIECES)) if tasks > 1 else 0), tasks)
+    counts = other_counts(count_tables(batches, order, math.ceil(math.log2(tasks * PIECES)) if tasks > 1 else 0), tasks)
     kind = batches.schema["docs"].dataType.elementType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("total", T.DoubleType())])
 
     def run(held: pa.Table, found: pa.Table) -> pa.Table:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        if not held.num_rows:
-            return pa.table([pa.array([], to_arrow_type(kind)), pa.array([], pa.int64()), pa.array([], pa.float64())], names=schema.names)
-        ids, n, sums = scored(held, found, order, total)
-        return pa.table([ids, pa.array(n.astype(np.int64)), pa.array(sums)], names=schema.names)
+        row = held.combine_chunks().to_batches()[0]
+        sums = scored(row, found, order, total)
+        return pa.table([row.column("docs").flatten(), pa.array(_list(row, "lengths", 0).astype(np.int64) - 1), pa.array(sums)], names=schema.names)
 
     parts = batches.drop("n_words").groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(run, schema)
     each = parts.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("total").alias("total"))
