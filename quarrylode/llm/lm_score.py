@@ -5,8 +5,7 @@ count, so that a document does not vouch for itself; where no other document has
 the score after the context without its first word, and c(w) / N without any. A document's score is
 the mean log10 over its words, the first one after a start mark.
 
-Documents are first cut into batches of a few million words and written with their words as short
-numbers. Each batch gives a count table of its n-grams of all orders: one row for a key however
+Documents are first put into batches of a few million words, their words as short numbers. Each batch gives a count table of its n-grams of all orders: one row for a key however
 often the batch has it, so a key has at most one row a batch and none is hot. The tables are
 partitioned by the keys' hashes and summed there by a window over the key; what the other batches
 have of each key goes back to its batch, in the order of the keys and without them, and is joined by
@@ -28,8 +27,8 @@ from pyspark.sql import types as T
 from quarrylode.llm.common import table, written
 
 BACKOFF, ORDER = 0.4, 2
-#: Words of a batch (a document is never cut), bytes of keys for a task that sums them, words kept in a cache.
-BATCH, BUCKET_BYTES, CACHE = 3 << 20, 16 << 20, 1 << 20
+#: Words of a batch (a document is never cut), bytes of text for a task that sums counts, words kept in a cache.
+BATCH, BUCKET_BYTES, CACHE = 2 << 20, 16 << 20, 1 << 20
 #: Pieces of the key space for each of those tasks, so that hashing deals them out evenly; tasks at most.
 PIECES, TASKS = 8, 1 << 15
 START = np.uint64(0x9E3779B97F4A7C15)
@@ -52,11 +51,11 @@ class _Hashes(dict):
 
 
 def encoded(rows: DataFrame, batch_words: int = BATCH) -> DataFrame:
-    """From (doc, text): batch, n_words, docs, lengths (words and start mark of each), words (their
+    """From (doc, text): batch, docs, lengths (words and start mark of each), words (their
     hashes, most frequent first) and tokens (numbers of words, compressed), a row for each batch."""
     kind = rows.schema["doc"].dataType
     schema = T.StructType(
-        [T.StructField("batch", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("docs", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(T.IntegerType())),
+        [T.StructField("batch", T.LongType()), T.StructField("docs", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(T.IntegerType())),
          T.StructField("words", T.ArrayType(T.LongType())), T.StructField("tokens", T.BinaryType())]
     )
 
@@ -69,7 +68,7 @@ def encoded(rows: DataFrame, batch_words: int = BATCH) -> DataFrame:
         tokens = pa.Codec("zstd").compress(np.ascontiguousarray(place[which].view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         held = pa.concat_arrays(docs)
-        cols = [pa.array([number]), pa.array([int(lengths.sum()) - len(seqs)]), one(held), one(pa.array(lengths)), one(pa.array(words[order].view(np.int64))), pa.array([tokens], pa.binary())]
+        cols = [pa.array([number]), one(held), one(pa.array(lengths)), one(pa.array(words[order].view(np.int64))), pa.array([tokens], pa.binary())]
         return pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +132,7 @@ def count_tables(batches: DataFrame, order: int, bits: int) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (keys, n.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([pa.array(piece[cuts[:-1]]), pa.array([b.column("batch")[i].as_py()] * (len(cuts) - 1), pa.int64()), *lists], names=["piece", "batch", "keys", "counts"])
 
-    return batches.select("batch", "lengths", "words", "tokens").mapInArrow(run, "piece int, batch long, keys array<long>, counts array<int>")
+    return batches.mapInArrow(run, "piece int, batch long, keys array<long>, counts array<int>")
 
 
 def other_counts(tables: DataFrame, tasks: int) -> DataFrame:
@@ -144,10 +143,12 @@ def other_counts(tables: DataFrame, tasks: int) -> DataFrame:
     return lists.select("batch", "piece", F.col("all.others").alias("others"))
 
 
-def scored(held: pa.RecordBatch, found: pa.Table, order: int, total: int) -> np.ndarray:
-    """The sum of log10 of each document of a batch, given what other batches have of its keys."""
+def scored(held: pa.RecordBatch, found: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each document of a batch, given what other batches have of its keys: the sum of log10,
+    and how many words are scored by their own counts, still to be divided by the number of words."""
     batch = _Batch(held, 0)
     levels = list(batch.levels(order))
+    alone = batch.at > 0
     keys = np.concatenate([names for _, names, _, _ in levels])
     found = found.sort_by("piece").combine_chunks()
     counts = np.empty(len(keys), np.int64)
@@ -170,33 +171,39 @@ def scored(held: pa.RecordBatch, found: pa.Table, order: int, total: int) -> np.
             other = count[places] - own
             places, other = places[other > 0], other[other > 0]
             best[places] = np.log10(other / context[places - 1]) + (deepest[places] - k) * math.log10(BACKOFF)
+            alone[places] = False
         else:
-            best = np.log10(count / max(total, 1)) + deepest * math.log10(BACKOFF)
+            best = np.log10(count) + deepest * math.log10(BACKOFF)
         context = count
     best[batch.at == 0] = 0.0
-    return np.bincount(doc, weights=best, minlength=len(batch.lengths))
+    return np.bincount(doc, weights=best, minlength=len(batch.lengths)), np.bincount(doc[alone], minlength=len(batch.lengths))
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES, order: int = ORDER, batch_words: int = BATCH) -> DataFrame:
     """doc_id, n_words, score: one row for each id; rows that share an id count as one document's
     parts, each with its own words not vouching for it. Without a word (null or empty texts) the
     score is null. Words are runs of anything but white space, A-Z lower-cased. Other columns are
-    not read; an empty table gives no rows."""
+    not read; an empty table gives no rows.
+
+    Batches are what tasks read in order, so docs should come from storage, where a task that is run
+    again reads the same rows; write what a shuffle has made first."""
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    batches = written(encoded(rows, batch_words))
-    total = batches.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    tasks = min(TASKS, math.ceil(max(1, total) * 8 * order / bucket_bytes))
-    counts = other_counts(count_tables(batches, order, math.ceil(math.log2(tasks * PIECES)) if tasks > 1 else 0), tasks)
-    kind = batches.schema["docs"].dataType.elementType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("total", T.DoubleType())])
-
-    def run(held: pa.Table, found: pa.Table) -> pa.Table:
-        row = held.combine_chunks().to_batches()[0]
-        sums = scored(row, found, order, total)
-        return pa.table([row.column("docs").flatten(), pa.array(_list(row, "lengths", 0).astype(np.int64) - 1), pa.array(sums)], names=schema.names)
-
-    parts = batches.drop("n_words").groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(run, schema)
-    each = parts.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("total").alias("total"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    tasks = min(TASKS, math.ceil(max(1, size) / bucket_bytes))
+    # one shuffle of the batches serves both the count tables and the join: fewer partitions than the session's would be dealt anew
+    held = encoded(rows, batch_words).repartition(max(tasks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "batch")
+    counts = other_counts(count_tables(held, order, math.ceil(math.log2(tasks * PIECES)) if tasks > 1 else 0), tasks)
+    kind = rows.schema["doc"].dataType
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("total", T.DoubleType()), T.StructField("alone", T.LongType())])
+
+    def run(batch: pa.Table, found: pa.Table) -> pa.Table:
+        row = batch.combine_chunks().to_batches()[0]
+        sums, alone = scored(row, found, order)
+        return pa.table([row.column("docs").flatten(), pa.array(_list(row, "lengths", 0).astype(np.int64) - 1), pa.array(sums), pa.array(alone)], names=schema.names)
+
+    parts = written(held.groupBy("batch").cogroup(counts.groupBy("batch")).applyInArrow(run, schema))
+    n = parts.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    each = parts.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum(F.col("total") - F.col("alone") * math.log10(max(n, 1))).alias("total"))
     return each.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("total") / F.col("n_words")).alias("score"))
 
 
