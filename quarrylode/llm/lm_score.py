@@ -28,7 +28,7 @@ from quarrylode.llm.common import table, written
 
 BACKOFF, ORDER = 0.4, 2
 #: Words of a batch (a document is never cut), bytes of text for a task that sums counts, words kept in a cache.
-BATCH, BUCKET_BYTES, CACHE = 2 << 20, 16 << 20, 1 << 20
+BATCH, BUCKET_BYTES, CACHE = 2 << 20, 16 << 20, 1 << 18
 #: Pieces of the key space for each of those tasks, so that hashing deals them out evenly; tasks at most.
 PIECES, TASKS = 8, 1 << 15
 START = np.uint64(0x9E3779B97F4A7C15)
