@@ -5,7 +5,7 @@ count, so that a document does not vouch for itself; where no other document has
 the score after the context without its first word, and c(w) / N without any. A document's score is
 the mean log10 over its words, the first one after a start mark.
 
-Documents are first put into batches of a few million words, their words as short numbers. Each batch gives a count table of its n-grams of all orders: one row for a key however
+Documents are first put into batches of a million words or so, their words as short numbers. Each batch gives a count table of its n-grams of all orders: one row for a key however
 often the batch has it, so a key has at most one row a batch and none is hot. The tables are
 partitioned by the keys' hashes and summed there by a window over the key; what the other batches
 have of each key goes back to its batch, in the order of the keys and without them, and is joined by
@@ -28,7 +28,7 @@ from quarrylode.llm.common import table, written
 
 BACKOFF, ORDER = 0.4, 2
 #: Words of a batch (a document is never cut), bytes of text for a task that sums counts, words kept in a cache.
-BATCH, BUCKET_BYTES, CACHE = 2 << 20, 16 << 20, 1 << 18
+BATCH, BUCKET_BYTES, CACHE = 1 << 20, 16 << 20, 1 << 18
 #: Pieces of the key space for each of those tasks, so that hashing deals them out evenly; tasks at most.
 PIECES, TASKS = 8, 1 << 15
 START = np.uint64(0x9E3779B97F4A7C15)
