@@ -1,9 +1,10 @@
 """Personal data by fixed forms and by bootstrapped contexts, natively.
 
-The fixed forms (e-mail, IP, card, phone) are the seeds. The word before a seed is a lexical
-pattern; a pattern is trusted by the share of seeds among the identifier-like tokens it precedes,
-tokens by the patterns that precede them, in a few rounds over the pattern-instance graph. Tokens
-that trusted patterns precede are personal data too, of the kind of the pattern's seeds.
+The fixed forms (e-mail, IP, card, phone) are the seeds, and so are long hexadecimal keys, of the
+kind secret. The one, two and three words before a seed are lexical patterns. In a few rounds over
+the pattern-instance graph a pattern is believed by the share of believed instances among all
+identifiers (words with a digit) that it precedes, an instance by its patterns. Identifiers that
+trusted patterns precede are personal data too, of the kind of the pattern's seeds.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 from quarrylode.llm.common import LOWER, UPPER, table, written
 
 KINDS = ("email", "ip", "card", "phone")
+#: Found through patterns only: no form of the base has it.
+SECRET = ("secret", r"\A(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}\z")
+NAMES = (*KINDS, SECRET[0])
 #: The contract's forms. Possessive where nothing can be given back, so that long runs take no deep
 #: recursion; a match begins where its first run does (\G: after the match before), which is what
 #: a leftmost search finds, without trying every suffix of a long run. The card form takes only
@@ -24,13 +28,15 @@ FORMS = {
     "card": r"(?=[0-9])(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A word without digits, then one with a digit.
-PAIR = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]++[\x20\x09-\x0D]++(?=[^\x20\x09-\x0D0-9]*+[0-9])[^\x20\x09-\x0D]++"
+#: An identifier: a word with a digit.
+IDENTIFIER = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: Cheap signs without which a text has no match of a form.
+SIGNS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9\x20-]{14}", "phone": r"\+[0-9]", None: "[0-9]"}
 BYTE = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})$"
-#: Code points before a seed that may hold its pattern word.
-CONTEXT = 64
+#: Words of the longest pattern; items of a block of a long list.
+CONTEXT, PIECE = 3, 64
 ROUNDS, TRUST, SEEDS = 3, 0.8, 3
-SPAN = "array<struct<k:int,s:bigint,e:bigint,left:string,value:string>>"
+SPAN = "array<struct<k:int,s:bigint,e:bigint,left:array<string>,value:string>>"
 
 
 def _digits(c: Column) -> Column:
@@ -58,83 +64,132 @@ def _holds(kind: str, c: Column) -> Column:
     return F.lit(True)
 
 
-def _last_word(c: Column) -> Column:
-    words = F.regexp_extract(F.right(c, F.lit(CONTEXT)), r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+\z", 1)
-    return F.regexp_replace(F.translate(words, UPPER, LOWER), r"^[^\p{L}]+|[^\p{L}]+\z", "")
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
-def spans_of(text: Column, form: str, kind: str | None) -> Column:
-    """All matches of a form that hold, as structs: start and end in code points, word before.
+def _patterns(before: Column) -> Column:
+    """The last one, two and three words of a text, as patterns: digits are all 0, signs that touch
+    what follows do not count."""
+    last = F.reverse(F.regexp_extract(F.reverse(before), rf"\A(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){{0,{CONTEXT + 1}}}", 0))
+    bare = F.regexp_replace(F.regexp_replace(F.translate(last, UPPER, LOWER), r"[^\x20\x09-\x0D\p{L}\p{N}]++\z", ""), "[0-9]++", "0")
+    split = F.filter(F.split(bare, r"[\x20\x09-\x0D]++"), lambda w: w != "")
+    sizes = F.array(*[F.lit(k) for k in range(1, CONTEXT + 1)])
+    return _let(split, lambda w: F.transform(F.filter(sizes, lambda k: k <= F.size(w)), lambda k: F.array_join(F.slice(w, F.size(w) - k + 1, k), " ")))
 
-    The pieces between matches give the offsets: each match begins after all before it.
+
+def _running(items: Column, value, plus) -> Column:
+    """What plus makes of the values of all items before each item, from 0: in blocks of PIECE items,
+    so that no step carries (and copies) a long list. items is not empty."""
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+    block = lambda b: F.slice(items, b * PIECE + 1, F.lit(PIECE))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / PIECE).cast("int"))
+    sums = F.transform(blocks, lambda b: F.aggregate(block(b), zero, lambda acc, x: plus(acc, value(x))))
+
+    def inside(b: Column, before: Column) -> Column:
+        begin = F.struct(F.aggregate(F.slice(before, F.lit(1), b), zero, plus).alias("at"), none.alias("all"))
+        step = lambda acc, x: F.struct(plus(acc["at"], value(x)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
+        return F.aggregate(block(b), begin, step, lambda acc: acc["all"])
+
+    return _let(sums, lambda before: F.flatten(F.transform(blocks, lambda b: inside(b, before))))
+
+
+def _apart(other: Column, base: Column) -> Column:
+    """The spans of other, none of which touches another, that touch none of base: in the order of
+    all spans, none of base before reaches into one, and the next does not begin in it."""
+    marked = lambda c, b: F.transform(c, lambda x: F.struct(x["s"].alias("s"), F.lit(b).alias("b"), x["e"].alias("e"), x.alias("x")))
+    order = F.array_sort(F.concat(marked(base, 0), marked(other, 1)))
+
+    def kept(r: Column) -> Column:
+        reach = _running(r, lambda x: F.when(x["b"] == 0, x["e"]).otherwise(F.lit(0).cast("long")), lambda a, b: F.greatest(a, b))
+        after = F.concat(F.slice(r, F.lit(2), F.size(r) - 1), F.slice(r, F.size(r), F.lit(1)))  # the last one has itself
+        bounds = F.zip_with(reach, after, lambda end, x: F.struct(end.alias("end"), F.when(x["b"] == 0, x["s"]).alias("next")))
+        clear = lambda item, o: (item["b"] == 1) & (item["s"] >= o["end"]) & (o["next"].isNull() | (o["next"] >= item["e"]))
+        return F.array_compact(F.zip_with(r, bounds, lambda item, o: F.when(clear(item, o), item["x"])))
+
+    return F.when((F.size(base) == 0) | (F.size(other) == 0), other).otherwise(_let(order, kept))
+
+
+def spans_of(text: Column, kind: str | None) -> Column:
+    """All matches of a kind's form that hold (None: identifiers), as structs: start and end in code
+    points, the patterns before (the match before counts as a number), the value.
+
+    Each match begins after the piece of text between it and the match before. Pieces and matches
+    are read once each; then one walk over them adds up the offsets, linear in text and matches.
     """
-    found, gaps = F.regexp_extract_all(text, F.lit(form), F.lit(0)), F.split(text, form, -1)
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
+    form = FORMS[kind] if kind else IDENTIFIER
+    pieces = F.arrays_zip(F.split(text, form, -1).alias("gap"), F.regexp_extract_all(text, F.lit(form), F.lit(0)).alias("match"))
 
-    def add(acc: Column, i: Column) -> Column:
-        match, gap = F.element_at(found, i), F.element_at(gaps, i)
-        start = acc["at"] + F.length(gap)
-        end = start + F.length(match)
+    def read(piece: Column, i: Column) -> Column:
+        gap, match = piece["gap"], piece["match"]
         if kind:
-            number = F.lit(KINDS.index(kind))
-            span, holds = F.struct(number.alias("k"), start.alias("s"), end.alias("e"), _last_word(gap).alias("left"), match.alias("value")), _holds(kind, match)
+            holds, k, value, off = match.isNotNull() & _holds(kind, match), F.lit(NAMES.index(kind)), match, F.lit(0)
         else:
-            word = F.regexp_extract(match, r"[^\x20\x09-\x0D]++\z", 0)
-            value = F.regexp_replace(word, r"[^\p{L}\p{N}]+\z", "")
-            bare = F.regexp_replace(value, r"^[^\p{L}\p{N}+]+", "")
-            last = end - F.length(word) + F.length(value)
-            span = F.struct(F.lit(-1).alias("k"), (last - F.length(bare)).alias("s"), last.alias("e"), _last_word(F.left(match, F.length(match) - F.length(word))).alias("left"), bare.alias("value"))
-            holds = (F.length(_digits(bare)) >= 5) & (F.length(bare) <= 64)
-        more = F.when(holds, F.concat(acc["spans"], F.array(span).cast(SPAN))).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), more.alias("spans"))
+            long = F.regexp_replace(match, r"[^\p{L}\p{N}]++\z", "")
+            value = F.regexp_replace(long, r"\A[^\p{L}\p{N}+]++", "")
+            holds, off = match.isNotNull(), F.length(long) - F.length(value)
+            k = F.when(F.rlike(value, F.lit(SECRET[1])), NAMES.index(SECRET[0])).otherwise(-1)
+        before = F.concat(F.when(i > 0, "0").otherwise(""), gap)
+        found = F.struct(k.alias("k"), off.cast("long").alias("s"), F.length(value).cast("long").alias("e"), _patterns(before).alias("left"), value.alias("value"))
+        return F.struct(F.length(gap).alias("g"), F.coalesce(F.length(match), F.lit(0)).alias("m"), F.when(holds, found).alias("x"))
+
+    def placed(p: Column, before: Column) -> Column:
+        x, at = p["x"], before + p["g"]
+        return F.when(x.isNotNull(), F.struct(x["k"].alias("k"), (at + x["s"]).alias("s"), (at + x["s"] + x["e"]).alias("e"), x["left"].alias("left"), x["value"].alias("value")))
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.size(found)), begin, add, lambda acc: acc["spans"])
-    return F.when(F.size(found) > 0, walked).otherwise(F.array().cast(SPAN))
+    lengths = lambda p: (p["g"] + p["m"]).cast("long")
+    walked = _let(F.transform(pieces, read), lambda r: F.array_compact(F.zip_with(r, _running(r, lengths, lambda a, b: a + b), placed)).cast(SPAN))
+    sign = F.contains(text, F.lit("@")) if kind == "email" else F.rlike(text, F.lit(SIGNS[kind]))
+    return F.when(sign, walked).otherwise(F.array().cast(SPAN))
 
 
 def scanned(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, row (a hash of the text), base and other: spans by kind, and identifier-like tokens."""
+    """doc_id, row (a hash of the text), base and other: spans by kind, and identifiers that do not
+    touch one."""
     t = F.coalesce(F.col(text), F.lit(""))
-    sure = {"email": F.contains(t, F.lit("@")), "phone": F.contains(t, F.lit("+"))}
-    nothing = F.array().cast(SPAN)
-    base = [F.when(sure[k], spans_of(t, FORMS[k], k)).otherwise(nothing) if k in sure else spans_of(t, FORMS[k], k) for k in KINDS]
-    return written(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("row"), F.concat(*base).alias("base"), spans_of(t, PAIR, None).alias("other")))
+    base = F.concat(*[spans_of(t, k) for k in KINDS])
+    scan = written(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("row"), base.alias("base"), spans_of(t, None).alias("other")))
+    return scan.select("doc_id", "row", "base", _apart(F.col("other"), F.col("base")).alias("other"))
 
 
 def trusted(edges: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, seeds: int = SEEDS) -> DataFrame:
-    """left, kind: the patterns that the pattern-instance graph trusts.
+    """left, kind, score: the patterns that the pattern-instance graph trusts.
 
     edges has a row for each (left, value), with the value's seed kind or -1. A pattern's score
     for a kind is the mean belief in its instances, smoothed by two unbelieved ones; a seed is
-    believed fully, another instance as much as the best pattern before it. Patterns need so many
-    different seeds.
+    believed fully, another instance as much as the patterns before it are on average. Patterns
+    need so many different seeds.
     """
+    kinds = range(len(NAMES))
     belief = edges.select("left", "value", F.col("k").alias("seed"), F.col("k").alias("kind"), F.when(F.col("k") >= 0, 1.0).otherwise(0.0).alias("belief"))
     for _ in range(rounds):
-        sums = belief.groupBy("left").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.col("kind") == k, F.col("belief")).otherwise(0.0)).alias(f"b{k}") for k in range(len(KINDS))], *[F.count_if(F.col("seed") == k).alias(f"s{k}") for k in range(len(KINDS))])
-        best = F.array_max(F.array(*[F.struct((F.col(f"b{k}") / (F.col("n") + 2)).alias("score"), F.lit(-k).alias("k"), F.col(f"s{k}").alias("seeds")) for k in range(len(KINDS))]))
+        sums = belief.groupBy("left").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.col("kind") == k, F.col("belief")).otherwise(0.0)).alias(f"b{k}") for k in kinds], *[F.count_if(F.col("seed") == k).alias(f"s{k}") for k in kinds])
+        best = F.array_max(F.array(*[F.struct((F.col(f"b{k}") / (F.col("n") + 2)).alias("score"), F.lit(-k).alias("k"), F.col(f"s{k}").alias("seeds")) for k in kinds]))
         patterns = sums.select("left", best.alias("best")).select("left", (-F.col("best.k")).alias("pk"), F.col("best.score").alias("score"), F.col("best.seeds").alias("seeds"))
         patterns = written(patterns.filter((F.col("seeds") >= seeds) & (F.col("score") > 0)))
-        scored = belief.filter("seed < 0").select("left", "value").join(patterns, "left")
-        found = scored.groupBy("value").agg(F.max(F.struct("score", "pk")).alias("best")).select("value", F.col("best.pk").alias("nk"), F.col("best.score").alias("nb"))
+        scored = belief.filter("seed < 0").select("left", "value").join(patterns, "left", "left")
+        sums = scored.groupBy("value").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.col("pk") == k, F.col("score")).otherwise(0.0)).alias(f"b{k}") for k in kinds])
+        found = sums.select("value", F.array_max(F.array(*[F.struct((F.col(f"b{k}") / F.col("n")).alias("b"), F.lit(-k).alias("k")) for k in kinds])).alias("x"))
+        found = found.select("value", (-F.col("x.k")).alias("nk"), F.col("x.b").alias("nb"))
         belief = belief.join(found, "value", "left").select("left", "value", "seed", F.when(F.col("seed") >= 0, F.col("kind")).otherwise(F.coalesce("nk", F.lit(-1))).alias("kind"), F.when(F.col("seed") >= 0, 1.0).otherwise(F.coalesce("nb", F.lit(0.0))).alias("belief"))
         belief = written(belief)
-    return patterns.filter(F.col("score") >= trust).select("left", F.col("pk").alias("kind"))
+    return patterns.filter(F.col("score") >= trust).select("left", F.col("pk").alias("kind"), "score")
 
 
 def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, trust: float = TRUST, seeds: int = SEEDS) -> DataFrame:
     """doc_id, base and spans (structs k, s, e): one row for each row of docs.
 
-    A null text counts as empty and has no spans; equal rows have equal spans; other columns are
-    not read, so their names do not matter.
+    A null text counts as empty and has no spans; equal rows have equal spans; an empty table gives
+    no rows; other columns are not read, so their names do not matter. An identifier that several
+    trusted patterns precede gets the kind of the best.
     """
     scan = scanned(docs, doc_id, text)
-    seen = scan.select(F.explode(F.concat("base", "other")).alias("x")).select("x.*").filter(F.col("left") != "")
+    seen = scan.select(F.explode(F.concat("base", "other")).alias("x")).select("x.k", "x.value", F.explode("x.left").alias("left"))
     patterns = trusted(written(seen.groupBy("left", "value").agg(F.max("k").alias("k"))), rounds, trust, seeds)
-    tokens = scan.filter(F.size("other") > 0).select("doc_id", "row", "base", F.explode("other").alias("x"))
-    tokens = tokens.filter(~F.exists("base", lambda b: (b["s"] < F.col("x.e")) & (b["e"] > F.col("x.s"))))
-    more = tokens.select("doc_id", "row", F.col("x.left").alias("left"), F.col("x.s").alias("s"), F.col("x.e").alias("e")).join(patterns, "left")
-    more = more.groupBy(F.col("doc_id").alias("_ql_id"), F.col("row").alias("_ql_row")).agg(F.collect_set(F.struct(F.col("kind").alias("k"), "s", "e")).alias("more"))
+    tokens = scan.select("doc_id", "row", F.explode("other").alias("x")).select("doc_id", "row", "x.s", "x.e", F.explode("x.left").alias("left"))
+    more = tokens.join(patterns, "left").groupBy(F.col("doc_id").alias("_ql_id"), F.col("row").alias("_ql_row"), "s", "e").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("best"))
+    more = more.groupBy("_ql_id", "_ql_row").agg(F.collect_list(F.struct((-F.col("best.k")).alias("k"), "s", "e")).alias("more"))
     plain = F.transform("base", lambda b: F.struct(b["k"].alias("k"), b["s"].alias("s"), b["e"].alias("e")))
     base = scan.select("doc_id", "row", plain.alias("base"))
     joined = base.join(more, base["doc_id"].eqNullSafe(F.col("_ql_id")) & (base["row"] == F.col("_ql_row")), "left")
@@ -146,7 +201,7 @@ def _of_kind(k: int):
 
 
 def digest(spans: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in NAMES])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 

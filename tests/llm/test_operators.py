@@ -392,6 +392,90 @@ def test_contexts_find_unseen_identifiers(spark):
     assert rows[11] == "phone:12:22" and rows[9] == rows[10] == ""
 
 
+def test_patterns_of_several_words_find_secrets_and_short_identifiers(spark):
+    key = "0123456789abcdef" * 2
+    rows = [(k, f"noise {k} then the api token = \"{key[k:]}{key[:k]}\" here") for k in range(12)]
+    rows += [(20, "another api token = \"s3same\" here"), (21, "the value = 17 here"), (22, "value = 18"), (23, "a = 19"), (24, "b = 20 = 21 = 22")]
+    got = {r["doc_id"]: r["s"] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.digest(F.col("spans")).alias("s")).collect()}
+    for k, text in rows:
+        at = text.find(" token = ")
+        word = text.split('"')[1] if at >= 0 else ""
+        assert got[k] == (f"secret:{text.index(word)}:{text.index(word) + len(word)}" if word else ""), k
+
+
+def plain_patterns(text, start, first):
+    """The last one to three words before a place, back to the match before (a number)."""
+    before = re.sub(r"[^\s\w]+\Z", "", re.sub("[0-9]+", "0", ("" if first else "0") + text[:start].lower()))
+    words = before.split()
+    return [" ".join(words[-k:]) for k in (1, 2, 3) if k <= len(words)]
+
+
+def test_the_graph_against_a_plain_version(spark):
+    rng = np.random.default_rng(4)
+    words = ["call", "mail", "ip", "the", "of", "box", "no"]
+    rows = []
+    for k in range(60):
+        parts = []
+        for _ in range(rng.integers(1, 8)):
+            parts += list(rng.choice(words, rng.integers(0, 4)))
+            parts.append(rng.choice(["10.0.0.%d" % rng.integers(250), "x%d" % rng.integers(40), str(rng.integers(10**6)), "+1 555 010 %04d" % rng.integers(9999), "%032x" % int(rng.integers(1 << 62))]))
+        rows.append((k, " ".join(parts)))
+    forms = {"ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    base, other, edges = {}, {}, {}
+    for k, text in rows:
+        base[k] = [tuple(x.split(":")) for x in plain_spans(text)]
+        taken = [(int(s), int(e)) for _, s, e in base[k]]
+        for kind, form in forms.items():
+            end = None
+            for m in re.finditer(form, text):
+                if (kind, str(m.start()), str(m.end())) in base[k]:
+                    for p in plain_patterns(text[end or 0 :], m.start() - (end or 0), end is None):
+                        edges[p, m.group()] = pii.NAMES.index(kind)
+                end = m.end()
+        end = None
+        for m in re.finditer(r"(?<!\S)[^\s0-9]*[0-9]\S*", text):
+            value = re.sub(r"\A[^\w+]+", "", re.sub(r"[^\w]+\Z", "", m.group()))
+            s = m.start() + m.group().index(value)
+            if not any(a < s + len(value) and b > s for a, b in taken):
+                found = plain_patterns(text[end or 0 :], m.start() - (end or 0), end is None)
+                other[k, s, s + len(value)] = found
+                seed = 4 if re.fullmatch("[0-9a-f]{32,}", value) and re.search("[a-f]", value) else -1
+                for p in found:
+                    edges[p, value] = max(seed, edges.get((p, value), -1))
+            end = m.end()
+    belief = {e: (k, 1.0 if k >= 0 else 0.0) for e, k in edges.items()}
+    for _ in range(pii.ROUNDS):
+        score = {}
+        for p in {p for p, _ in edges}:
+            own = [e for e in edges if e[0] == p]
+            best = max((sum(belief[e][1] for e in own if belief[e][0] == k) / (len(own) + 2), -k, sum(edges[e] == k for e in own)) for k in range(5))
+            if best[2] >= pii.SEEDS and best[0] > 0:
+                score[p] = best[:2]
+        for e in edges:
+            if edges[e] < 0:
+                near = [score.get(p, (0.0, 9)) for p, v in edges if v == e[1] and edges[p, v] < 0]
+                top = max((sum(x for x, j in near if j == -k) / len(near), -k) for k in range(5))
+                belief[e] = (-top[1], top[0])
+    trusted = {p: s for p, s in score.items() if s[0] >= 0.3717}
+    got = {r["doc_id"]: r["s"] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), trust=0.3717).select("doc_id", pii.digest(F.col("spans")).alias("s")).collect()}
+    added = 0
+    for k, _ in rows:
+        more = [(-max(trusted[p] for p in ps if p in trusted)[1], s, e) for (d, s, e), ps in other.items() if d == k and any(p in trusted for p in ps)]
+        added += len(more)
+        want = sorted([(pii.NAMES.index(n), int(s), int(e)) for n, s, e in base[k]] + more)
+        assert got[k] == ",".join(f"{pii.NAMES[n]}:{s}:{e}" for n, s, e in want), k
+    assert added > 5
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    import time
+
+    df = spark.createDataFrame([(1, " ".join(f"10.0.{i % 250}.{i % 7} x{i}" for i in range(30_000)))], "doc_id long, text string")
+    began = time.time()
+    assert pii.find_personal_data(df).select(F.size("base")).first()[0] == 30_000
+    assert time.time() - began < 60
+
+
 def test_personal_data_of_odd_rows(docs, nothing):
     rows = pii.find_personal_data(docs).select("doc_id", pii.digest(F.col("base")).alias("b")).collect()
     assert sorted((r["doc_id"] or 0, r["b"]) for r in rows) == sorted((i or 0, ",".join(plain_spans(t or ""))) for i, t in TEXTS)
