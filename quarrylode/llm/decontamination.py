@@ -3,8 +3,9 @@
 Terms are the words of the benchmark's items; their document frequencies are counted over all
 documents. A randomised SVD of the TF-IDF passages of all items and of a bounded sample of
 documents, its products summed by Spark, gives a latent space. Every passage of every document is
-compared there with every item, in one matrix product per batch; near ones are verified by the
-longest common subsequence of words and by the item's answer, its rarest words.
+compared there with every part of an item, in matrix products over a batch of documents; those of a
+high enough cosine are candidates, and only they are verified, by the longest common subsequence of
+words and by the item's answer, its rarest words.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylode.llm.common import table, written
 
@@ -32,11 +34,13 @@ DIMENSIONS, MORE, SAMPLE = 96, 16, 3000
 COMMON = 0.1
 #: A candidate: cosine, and share of the latent length that the passage covers, both of a part of
 #: the item; parts have a passage's words at most.
-COSINE, COVER = 0.2, 0.3
+COSINE, COVER = 0.5, 0.4
 #: A leak: share of the item's words in the longest common subsequence, and of its answer's words.
 OVERLAP, ANSWER = 0.5, 0.5
-#: Items compared in one pass over the documents.
-ITEMS = 20_000
+#: Items, and bytes of them, compared in one pass over the documents.
+ITEMS, ITEM_BYTES = 20_000, 64 << 20
+#: Texts read together, and numbers in one product of passages and parts.
+TEXTS, PRODUCT = 256, 1 << 21
 
 
 def words(text: str | None) -> list[str]:
@@ -71,24 +75,17 @@ class Index:
     length: np.ndarray | None = None
     owner: np.ndarray | None = None
     answers: list[list[str]] = field(default_factory=list)
-    asking: dict[int, np.ndarray] = field(default_factory=dict)
-    needed: np.ndarray | None = None
     common: dict[int, np.ndarray] = field(default_factory=dict)
 
     def ask(self) -> None:
-        """Files the items by the terms of their answers: their rarest third of words. Items of
-        common words, as those leaked into many documents are, are kept with their terms."""
-        asked: dict[int, list[int]] = {}
+        """The answer of each item: its rarest third of words. Items of common words, as those leaked
+        into many documents are, are kept with their terms: latent vectors do not tell them."""
         for i, ws in enumerate(self.items):
             rare = sorted(set(ws), key=lambda w: (-self.rarity[self.terms[w]], w))
             self.answers.append(rare[: max(1, len(rare) // 3)])
-            for w in self.answers[i]:
-                asked.setdefault(self.terms[w], []).append(i)
             own = self.terms_of(ws)
             if self.rarity[own].mean() < -math.log(COMMON):
                 self.common[i] = np.unique(own)
-        self.asking = {t: np.array(found) for t, found in asked.items()}
-        self.needed = np.array([ANSWER * len(a) for a in self.answers])
 
     def terms_of(self, tokens: list[str]) -> np.ndarray:
         """The term of each token, -1 for none."""
@@ -102,60 +99,61 @@ class Index:
         places = places[self.weight[at[places]] > 0]
         return places, at[places]
 
-    def search(self, tokens: list[str]) -> list[tuple[int, float, int]]:
-        """(item, cosine, place) of candidate passages over the whole text.
-
-        Only items of whose answers the whole text has enough words take part: no passage of it
-        could pass the answer check for another.
-        """
-        at = self.terms_of(tokens)
-        asked = [found for t in set(at.tolist()) if (found := self.asking.get(t)) is not None]
-        if not asked:
-            return []
-        items = np.flatnonzero(np.bincount(np.concatenate(asked), minlength=len(self.items)) >= self.needed)
-        return [*self._by_vectors(at, items), *self._by_words(at, items)] if len(items) else []
+    def search(self, texts: list[np.ndarray]) -> list[list[tuple[int, float, int]]]:
+        """For each text, given by its terms, the (item, cosine, place) of candidate passages."""
+        found: list[list[tuple[int, float, int]]] = [self._by_words(at) for at in texts]
+        for doc, item, cosine, place in self._by_vectors(texts):
+            found[doc].append((item, cosine, place))
+        return found
 
-    def _by_words(self, at: np.ndarray, items: np.ndarray) -> list[tuple[int, float, int]]:
+    def _by_words(self, at: np.ndarray) -> list[tuple[int, float, int]]:
         """Places of items of common words: all whose surroundings, as leaks() reads them, have
         enough words of the item for the common subsequence. No cosine tells them apart."""
         found, starts = [], np.arange(0, len(at), HALF)
-        for i in (int(i) for i in items if i in self.common):
+        for i, own in self.common.items():
             n = len(self.items[i])
-            sums = np.concatenate([[0], np.cumsum(np.isin(at, self.common[i]))])
+            sums = np.concatenate([[0], np.cumsum(np.isin(at, own))])
             there = sums[np.minimum(starts + 2 * HALF + n, len(at))] - sums[np.maximum(starts - n, 0)]
             found += [(i, 0.0, int(p)) for p in starts[there >= OVERLAP * n]]
         return found
 
-    def _by_vectors(self, at: np.ndarray, items: np.ndarray) -> list[tuple[int, float, int]]:
-        places = np.flatnonzero(at >= 0)
-        places = places[self.weight[at[places]] > 0]
+    def _by_vectors(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, float, int]]:
+        """(text, item, cosine, place) of the passages near a part of an item, for all texts at once."""
+        sizes = np.array([len(at) for at in texts])
+        halves = -(-sizes // HALF) + 1  # one more: the last half of a text has no neighbour
+        first, begin = np.cumsum(halves) - halves, np.cumsum(sizes) - sizes
+        at = np.concatenate(texts) if len(texts) else np.empty(0, np.int32)
+        places = np.flatnonzero((at >= 0) & (self.weight[at] > 0))
         if not len(places):
-            return []
-        half, first = np.unique(places // HALF, return_index=True)
-        sums = np.add.reduceat(self.latent[at[places]], first, axis=0)
-        after = np.zeros_like(sums)
-        follows = np.flatnonzero(half[1:] == half[:-1] + 1)
-        after[follows] = sums[follows + 1]
-        passages = sums + after
-        norm = np.sqrt((passages**2).sum(1)) + 1e-12
-        taken = np.zeros(len(self.items), bool)
-        taken[items] = True
-        parts = np.flatnonzero(taken[self.owner])
-        dots = passages @ self.vectors[parts].T
-        hits = np.nonzero((dots >= COSINE * norm[:, None]) & (dots >= COVER * self.length[parts]))
-        best: dict[tuple[int, int], float] = {}
-        for p, i in zip(*hits, strict=True):
-            key = int(self.owner[parts[i]]), int(half[p]) * HALF
-            best[key] = max(best.get(key, 0.0), float(dots[p, i] / norm[p]))
-        return [(i, cosine, place) for (i, place), cosine in best.items()]
-
-    def leaks(self, text: str | None) -> list[dict]:
-        """The items that a text leaks, with cosine, overlap and answer, best passage each."""
-        tokens, best = words(text), {}
-        for i, cosine, at in self.search(tokens):
-            item = self.items[i]
+            return
+        doc = np.repeat(np.arange(len(texts)), sizes)[places]
+        half, cut = np.unique(first[doc] + (places - begin[doc]) // HALF, return_index=True)
+        rows = max(64, PRODUCT // len(self.owner))
+        for k in range(0, len(half), rows):
+            own = half[k : k + rows + 1]  # and the one after, for the last passage
+            ends = np.append(cut, len(places))[[k, k + len(own)]]
+            sums = np.add.reduceat(self.latent[at[places[ends[0] : ends[1]]]], cut[k : k + len(own)] - ends[0], axis=0)
+            passages = sums.copy()
+            follows = np.flatnonzero(own[1:] == own[:-1] + 1)
+            passages[follows] += sums[follows + 1]
+            passages = passages[:rows]
+            norm = np.sqrt((passages**2).sum(1)) + 1e-12
+            dots = passages @ self.vectors.T
+            hits = np.nonzero((dots >= COSINE * norm[:, None]) & (dots >= COVER * self.length))
+            for p, i in zip(*hits, strict=True):
+                d = int(doc[cut[k + p]])
+                yield d, int(self.owner[i]), float(dots[p, i] / norm[p]), int(own[p] - first[d]) * HALF
+
+    def leaks(self, texts: list[str | None]) -> list[list[dict]]:
+        """The items that each text leaks, with cosine, overlap and answer, best passage each."""
+        split = [words(t) for t in texts]
+        return [self._verified(tokens, found) for tokens, found in zip(split, self.search([self.terms_of(x) for x in split]), strict=True)]
+
+    def _verified(self, tokens: list[str], found: list[tuple[int, float, int]]) -> list[dict]:
+        best: dict[int, tuple[float, float, float]] = {}
+        for i, cosine, at in found:
+            item, answer = self.items[i], self.answers[i]
             near = tokens[max(0, at - len(item)) : at + 2 * HALF + len(item)]
-            answer = self.answers[i]
             seen = set(near)
             given = sum(w in seen for w in answer) / len(answer)
             if given < ANSWER:
@@ -247,13 +245,15 @@ def fit_index(docs: DataFrame, items: list[tuple], text: str = "text", sample: i
     return index
 
 
-def leaked(text: Column, index: Index) -> Column:
+def leaked(text: Column, index: Index, id_type: str) -> Column:
     """array<struct<item_id, overlap, cosine, answer>>: the items that a text column leaks."""
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("overlap", pa.float64()), ("cosine", pa.float64()), ("answer", pa.float64())]))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = T.ArrayType(T.StructType.fromDDL(f"item_id {id_type}, overlap double, cosine double, answer double"))
 
-    @F.arrow_udf("array<struct<item_id:long,overlap:double,cosine:double,answer:double>>")
+    @F.arrow_udf(kind)
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([index.leaks(t.as_py()) for t in texts], kind)
+        return pa.array([x for k in range(0, len(texts), TEXTS) for x in index.leaks(texts.slice(k, TEXTS).to_pylist())], to_arrow_type(kind))
 
     return run(text)
 
@@ -262,15 +262,18 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     """docs with leaks, the items found in each whole text (empty for null and empty texts).
 
     Items are read in blocks of their ids' hashes, of bounded size each; a block costs one pass.
-    A column leaks of docs is replaced. Rows are kept one for one.
+    An item without words is never found; one with a null id is found as such; repeated items
+    count once. A column leaks of docs is replaced. Rows are kept one for one.
     """
-    found = docs.withColumn("leaks", F.array().cast("array<struct<item_id:long,overlap:double,cosine:double,answer:double>>"))
-    blocks = max(1, math.ceil(benchmark.count() / block * 1.2)) if block else 1
+    id_type = benchmark.schema[item_id].dataType.simpleString()
+    found = docs.withColumn("leaks", F.array().cast(f"array<struct<item_id:{id_type},overlap:double,cosine:double,answer:double>>"))
+    size = benchmark.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, math.ceil(size["n"] / block * 1.2), math.ceil(size["bytes"] / ITEM_BYTES))
     for k in range(blocks):
-        part = benchmark.filter(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == k).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
-        items = sorted({(r["i"], r["t"] or "") for r in part.collect() if r["i"] is not None})
+        part = benchmark.filter(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == k).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
+        items = sorted({(r["i"], r["t"] or "") for r in part.collect()}, key=lambda x: (x[0] is None, str(x[0]), x[1]))
         if index := fit_index(docs, items, text):
-            found = found.withColumn("leaks", F.concat("leaks", leaked(F.col(text), index)))
+            found = found.withColumn("leaks", F.concat("leaks", leaked(F.col(text), index, id_type)))
     return found
 
 

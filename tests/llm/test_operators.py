@@ -606,9 +606,49 @@ def test_long_items_are_found_whole_and_in_part(spark, n):
     assert got == {k: {k % 100} if k >= 100 else set() for k, _ in rows}
 
 
+def test_paraphrases_are_found_as_by_brute_force(spark, sf_dir):
+    items = [(f"item-{r['item_id']}", r["text"]) for r in common.table(spark, sf_dir, "benchmark").collect()]
+    hosts = [t.split() for t in texts_of(common.table(spark, sf_dir, "documents")).values() if len((t or "").split()) > 80]
+    rng, rows = np.random.default_rng(8), []
+    vocabulary = [w for t in hosts for w in t]
+    for _, text in items:
+        for rate in (0.0, 0.2, 0.4):
+            edited = [str(rng.choice(vocabulary)) if rng.random() < rate else w for w in text.split() if rng.random() >= rate / 3]
+            host = hosts[rng.integers(len(hosts))]
+            at = rng.integers(10, len(host) - 10)
+            rows.append((len(rows), " ".join([*host[:at], *edited, *host[at:]])))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    found = {(r["doc_id"], x["item_id"]) for r in decontamination.with_leaks(docs, bench).collect() for x in r["leaks"]}
+    split = {k: decontamination.words(t) for k, t in items}
+    frequency = Counter(w for _, t in rows for w in set(decontamination.words(t)))
+    answers = {k: sorted(set(ws), key=lambda w: (frequency[w], w))[: max(1, len(set(ws)) // 3)] for k, ws in split.items()}
+    true = set()
+    for d, text in rows:
+        tokens = decontamination.words(text)
+        for k, item in split.items():
+            if sum(w in set(tokens) for w in answers[k]) < 0.5 * len(answers[k]):
+                continue
+            windows = (tokens[s : s + 2 * len(item) + 32] for s in range(0, len(tokens), 4))
+            if any(sum(w in set(x) for w in answers[k]) >= 0.5 * len(answers[k]) and 2 * decontamination.common_length(item, x) >= len(item) for x in windows):
+                true.add((d, k))
+    assert len(true) >= len(items) and found <= true and len(found & true) >= 0.9 * len(true)
+
+
+def test_the_cosine_excludes_most_pairs_and_decides(spark, sf_dir, monkeypatch):
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = [(r["item_id"], r["text"]) for r in common.table(spark, sf_dir, "benchmark").collect()]
+    index = decontamination.fit_index(docs, items)
+    texts = [index.terms_of(decontamination.words(t)) for t in texts_of(docs).values()]
+    pairs = sum(len(at) // 16 + 1 for at in texts) * len(index.owner)
+    assert sum(map(len, index.search(texts))) < 0.02 * pairs
+    monkeypatch.setattr(decontamination, "COSINE", 1.1)
+    assert not any(x for x in index.search(texts) if index.common == {})
+
+
 def test_decontamination_of_odd_rows(spark, docs, nothing):
     items = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (3, "null id a"), (3, "null id a")], "item_id long, text string")
-    assert decontamination.with_leaks(docs, items).count() == len(TEXTS)
+    rows = decontamination.with_leaks(docs, items).collect()
+    assert len(rows) == len(TEXTS) and {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in rows if r["leaks"]} == {None: [3], 9: [None]}
     assert decontamination.with_leaks(nothing, items).count() == 0 and decontamination.with_leaks(docs, items.limit(0)).columns == [*docs.columns, "leaks"]
 
 
