@@ -1,9 +1,11 @@
 """Main text of web pages by the maximum-scoring subsequence of their words and tags.
 
 Words score positive and tags negative. The weights come from labelled pages: those that mark
-their article (<article> or <main>) say which words and tags are inside. A linear scan finds the
-contiguous run of tokens with the largest sum; the text returned is that of the smallest element
-around that run, or of the marked article where the run meets one.
+their article (<article> or <main>) say which words, by the element they stand in, and which tags
+are inside. Marks are labels only: on every page a linear scan finds the contiguous run of tokens
+with the largest sum, and the blocks of that run are the text. Elements that say themselves that
+they are no part of an article (menus, forms, scripts, comments) are left out before the scan; what
+they hold counts as outside for the weights.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that hold blocks: the text returned is that of one of these.
-HOLDERS = frozenset("html body article main section div center td table tbody blockquote details figure dl ol ul".split())
+#: Elements within text; of other names, all count as one.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Not part of an article, whatever their text.
 OUTSIDE = frozenset(
     "script style noscript template nav header footer aside form head title iframe object svg math canvas audio video select button input textarea "
@@ -50,21 +52,24 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 SCOPE = frozenset("html body article main section aside div td th table blockquote li figure button form nav header footer".split())
-#: Pages of the sample from which weights are fitted, and the weight of a tag never seen inside.
-SAMPLE, TAG_COST = 2000, 4.0
+#: Elements that break text off less than others do, as long as no page has told.
+MILD = INLINE | VOID | HEADING | frozenset("p li ul ol dl dt dd blockquote pre table tbody thead tr td th figure figcaption html body article main".split())
+#: Pages of the sample from which weights are fitted, the weight of a tag never seen inside, and of
+#: any tag, mild ones at first.
+SAMPLE, TAG_COST, TAG_LEAST = 2000, 4.0, 0.05
 
 
 class Page:
-    """A page as events (feature, count, block; -1 for a tag, -2 in a marked article) and blocks
-    (numbers of the elements around, text)."""
+    """A page as events (feature, count, block; -1 for a tag, -2 in a marked article), blocks (whether
+    in a marked article, text) and what was left out (features)."""
 
     def __init__(self, source: str):
         self.events: list[tuple[str, int, int]] = []
-        self.blocks: list[tuple[tuple[int, ...], str]] = []
-        self.marked: set[int] = set()
-        #: (name, number, outside): the open elements.
-        self.open: list[tuple[str, int, bool]] = []
-        self.number = 0
+        self.blocks: list[tuple[bool, str]] = []
+        self.left_out: Counter[str] = Counter()
+        self.has_marks = False
+        #: (name, in a marked article, outside): the open elements.
+        self.open: list[tuple[str, bool, bool]] = []
         self.piece: list[str] = []
         self.piece_words: Counter[str] = Counter()
         self.links = 0
@@ -76,18 +81,22 @@ class Page:
         if text:
             for feature, n in self.piece_words.items():
                 self.events.append((feature, n, len(self.blocks)))
-            self.blocks.append((tuple(k for name, k, _ in self.open if name in HOLDERS), text))
+            self.blocks.append((bool(self.open) and self.open[-1][1], text))
         self.piece.clear()
         self.piece_words.clear()
 
     def _text(self, raw: str) -> None:
-        if not raw or (self.open and self.open[-1][2]):
+        if not raw:
             return
-        text = html.unescape(raw)
-        self.piece.append(text)
+        outside = bool(self.open) and self.open[-1][2]
+        text = raw if outside else html.unescape(raw)
+        if not outside:
+            self.piece.append(text)
         if n := len(text.split()):
-            block = next((name for name, _, _ in reversed(self.open) if name in BLOCKS), "")
-            self.piece_words[("link " if self.links else "word ") + block] += n
+            (self.left_out if outside else self.piece_words)[("link " if self.links else "word ") + self._block()] += n
+
+    def _block(self) -> str:
+        return next((name for name, _, _ in reversed(self.open) if name in BLOCKS), "")
 
     def _pop_to(self, k: int) -> None:
         if any(name in BLOCKS for name, _, _ in self.open[k:]):
@@ -102,9 +111,12 @@ class Page:
             if self.open[k][0] in within:
                 return
 
-    def _tag(self, name: str) -> None:
-        inside = any(k in self.marked for _, k, _ in self.open)
-        self.events.append(("tag " + name, 1, -2 if inside else -1))
+    def _tag(self, name: str, outside: bool) -> None:
+        feature = f"tag {name} {self._block()}" if name in INLINE else "tag " + (name if name in BLOCKS or name in VOID else "other")
+        if outside:
+            self.left_out[feature] += 1
+        else:
+            self.events.append((feature, 1, -2 if self.open and self.open[-1][1] else -1))
 
     def _start(self, name: str, attributes: str) -> None:
         if name == "body":
@@ -118,25 +130,24 @@ class Page:
             if name in CLOSES:
                 self._close_open(*CLOSES[name])
             self._flush()
-        outside = bool(self.open) and self.open[-1][2]
-        if not outside:
-            outside = name in OUTSIDE or _says_outside(name, attributes)
-            self._tag(name)
+        inside, outside = self.open[-1][1:] if self.open else (False, False)
+        outside = outside or name in OUTSIDE or _says_outside(name, attributes)
+        self._tag(name, outside)
         if name == "br":
             self._text(" ")
         if name in VOID:
             return
-        self.number += 1
         self.links += name == "a"
-        self.open.append((name, self.number, outside))
-        if name in ("article", "main") and not outside:
-            self.marked.add(self.number)
+        marks = name in ("article", "main") and not outside
+        self.has_marks |= marks
+        self.open.append((name, inside or marks, outside))
 
     def _end(self, name: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == name:
-                if not self.open[-1][2]:
-                    self._tag(name)
+                if any(inner in BLOCKS for inner, _, _ in self.open[k:]):
+                    self._flush()
+                self._tag(name, self.open[-1][2])
                 return self._pop_to(k)
             if name not in BLOCKS and self.open[k][0] in BLOCKS:
                 return
@@ -158,8 +169,6 @@ class Page:
             elif name in RAW:
                 end = RAW[name].search(source, at)
                 at = begin = end.end() if end else len(source)
-                if not (self.open and self.open[-1][2]):
-                    self._tag(name)
             elif m[3].endswith("/") and name not in BLOCKS and name not in VOID:
                 pass
             else:
@@ -189,11 +198,12 @@ def _says_outside(name: str, attributes: str) -> bool:
 def _counts(source: str | None) -> Counter[tuple[str, int]]:
     """(feature, 1 inside a marked article or else 0): tokens of a page that marks one."""
     page, found = Page(source or ""), Counter()
-    if not page.marked:
+    if not page.has_marks:
         return found
-    inside = [not page.marked.isdisjoint(path) for path, _ in page.blocks]
     for feature, n, block in page.events:
-        found[feature, int(inside[block] if block >= 0 else block == -2)] += n
+        found[feature, int(page.blocks[block][0] if block >= 0 else block == -2)] += n
+    for feature, n in page.left_out.items():
+        found[feature, 0] += n
     return found
 
 
@@ -201,7 +211,7 @@ def fit_weights(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE)
     """A weight for each feature from at most so many pages (those of the smallest hashes).
 
     A word weighs the smoothed share of its kind inside marked articles; a tag costs TAG_COST
-    times the share of its kind outside.
+    times the share of its kind outside. Kinds are bounded by the names that HTML has.
     """
     key = F.xxhash64(html_col)
     bound = pages.filter(F.col(html_col).isNotNull()).select(key.alias("k")).orderBy("k").limit(sample).agg(F.max("k")).first()[0]
@@ -214,14 +224,14 @@ def fit_weights(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE)
         for b in batches:
             for t in b.column(0):
                 total.update(_counts(t.as_py()))
-        rows = [{"feature": k, "inside": i, "n": n} for (k, i), n in total.items() if k.split()[-1] in BLOCKS or k.split()[0] != "tag" or n > 1]
+        rows = [{"feature": k, "inside": i, "n": n} for (k, i), n in total.items()]
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("feature", pa.string()), ("inside", pa.int32()), ("n", pa.int64())]))
 
     counts = chosen.mapInArrow(run, "feature string, inside int, n long").groupBy("feature").agg(F.sum(F.when(F.col("inside") == 1, F.col("n")).otherwise(0)).alias("i"), F.sum("n").alias("n"))
     weights = {}
-    for r in counts.orderBy(F.desc("n"), "feature").limit(500).collect():
+    for r in counts.collect():
         share = (r["i"] + 1) / (r["n"] + 2)
-        weights[r["feature"]] = -TAG_COST * (1 - share) - 0.05 if r["feature"].startswith("tag ") else share
+        weights[r["feature"]] = -TAG_COST * (1 - share) - TAG_LEAST if r["feature"].startswith("tag ") else share
     return weights
 
 
@@ -237,32 +247,20 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return found
 
 
+def _at_first(feature: str) -> float:
+    """The weight of a kind that no labelled page has."""
+    kind, name = feature.split(" ")[:2]
+    if kind == "tag":
+        return -TAG_LEAST if name in MILD else -TAG_COST / 2
+    return 0.5 if kind == "word" else 0.1
+
+
 def main_text(source: str | None, weights: dict[str, float]) -> str:
-    """The article's blocks, one a line; empty for null, empty or textless pages."""
+    """The blocks of the maximum-scoring run, one a line; empty for null, empty or textless pages."""
     page = Page(source or "")
-    if not page.blocks:
-        return ""
-    scores = [n * weights.get(feature, -TAG_COST / 2 if feature.startswith("tag ") else 0.5 if feature.startswith("word ") else 0.1) for feature, n, _ in page.events]
-    start, end = best_run(scores)
+    start, end = best_run([n * weights.get(feature, _at_first(feature)) for feature, n, _ in page.events])
     hit = [block for _, _, block in page.events[start:end] if block >= 0]
-    if not hit:
-        return ""
-    first, last = min(hit), max(hit)
-    marks = Counter(k for path, _ in page.blocks[first : last + 1] for k in path if k in page.marked)
-    if marks:
-        mass = Counter()
-        for path, text in page.blocks[first : last + 1]:
-            for k in path:
-                if k in page.marked:
-                    mass[k] += len(text)
-        around = min(mass, key=lambda k: (-mass[k], k))
-    else:
-        common = page.blocks[first][0]
-        for path, _ in page.blocks[first : last + 1]:
-            n = next((i for i, (a, b) in enumerate(zip(common, path, strict=False)) if a != b), min(len(common), len(path)))
-            common = common[:n]
-        around = common[-1] if common else None
-    return "\n".join(text for path, text in page.blocks if around is None or around in path)
+    return "\n".join(text for _, text in page.blocks[min(hit) : max(hit) + 1]) if hit else ""
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_col: str = "html", weights: dict[str, float] | None = None) -> DataFrame:

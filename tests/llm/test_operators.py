@@ -2,6 +2,7 @@
 empty and very long texts, ties and repeated rows, empty tables, further columns of clashing names."""
 
 import hashlib
+import html
 import math
 import re
 import zlib
@@ -528,6 +529,39 @@ def test_main_text(page, text):
     assert html_text.main_text(page, {}) == text
 
 
+def bare_pages(pages):
+    """Pages without marks or telling names: (html, text of the article, text of all blocks)."""
+    for h in pages:
+        body = re.search(r"(?s)<article>(.*)</article>", h)[1]
+        lines = [" ".join(x.split()) for x in re.split(r"(?:<br>|<[^>]*>)+", body)]
+        yield f"<body><div>Home News Sport and the weather</div><div><a href=/a>About us</a> <a href=/b>Contact</a></div><div>{body}</div><div>All rights are reserved by us</div><div><a href=/c>Imprint</a></div></body>", [html.unescape(x) for x in lines if x]
+
+
+def test_the_run_finds_the_article_of_pages_that_mark_none(spark, sf_dir, monkeypatch):
+    pages = common.table(spark, sf_dir, "pages")
+    weights = html_text.fit_weights(pages)
+    found = list(bare_pages([r["html"] for r in pages.collect() if "<article>" in r["html"]]))
+    assert len(found) > 20
+    for h, lines in found:
+        text = html_text.main_text(h, weights)
+        assert text.replace("\n", " ").split() == " ".join(lines).split()
+    monkeypatch.setattr(html_text, "best_run", lambda scores: (0, len(scores)))
+    assert all("Imprint" in html_text.main_text(h, weights) and "weather" in html_text.main_text(h, weights) for h, _ in found)
+
+
+def test_text_is_that_of_the_best_run_of_all(spark):
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        page = "".join(rng.choice(["<p>a b c</p>", "<div>", "</div>", "<div><a>l</a></div>", "<h2>t</h2>", "<ul><li>x<li>y</ul>", "<nav>n</nav>", "<hr>"], rng.integers(1, 14)))
+        weights = {f: float(-abs(rng.normal(1, 0.7)) if f[0] == "t" else rng.normal(0.6, 0.7)) for f in ("tag p", "tag div", "tag a div", "tag h2", "tag li", "tag ul", "tag hr", "word p", "link div", "word h2", "word li")}
+        read = html_text.Page(page)
+        scores = [n * weights.get(f, html_text._at_first(f)) for f, n, _ in read.events]
+        sums = {(i, j): sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)}
+        best = max([0.0, *sums.values()])
+        texts = {""} if best <= 0 else {"\n".join(read.blocks[b][1] for b in range(min(h), max(h) + 1)) for (i, j), x in sums.items() if math.isclose(x, best) and (h := [b for *_, b in read.events[i:j] if b >= 0])}
+        assert html_text.main_text(page, weights) in texts
+
+
 def test_best_run_is_the_maximum():
     rng = np.random.default_rng(1)
     for _ in range(200):
