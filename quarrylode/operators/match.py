@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrylode.functions.normalize import normalize_company_name, normalize_facebook, normalize_phone, normalize_url, usable_fields
 from quarrylode.functions.quality import agreement, match_quality, squash, weighted_confidence
+from quarrylode.operators.stored import stored
 from quarrylode.operators.textindex import TextIndex, expand_fuzzy, grams, name_tokens
 
 #: Weights of the name fields, boosts of the clauses, thresholds of the two searches.
@@ -57,8 +58,10 @@ def best(candidates: DataFrame) -> DataFrame:
 
 
 def name_index(companies: DataFrame) -> TextIndex:
+    """The index of the name fields, written once: four searches read it."""
     tokens = {f: name_tokens(F.array_join(f, " ") if f == "all_names" else F.col(f)) for f in FIELDS}
-    return TextIndex.build(companies, "domain", tokens | {"grams": grams(F.col("commercial_name"))})
+    index = TextIndex.build(companies, "domain", tokens | {"grams": grams(F.col("commercial_name"))})
+    return TextIndex(stored(index.postings), stored(index.terms))
 
 
 def name_relevance(keys: DataFrame, index: TextIndex, companies: DataFrame, prefix: int, boost: float, exact: bool) -> DataFrame:
@@ -76,7 +79,8 @@ def name_relevance(keys: DataFrame, index: TextIndex, companies: DataFrame, pref
 
 
 def top_one(scored: DataFrame) -> DataFrame:
-    one = Window.partitionBy("input_id").orderBy(F.desc("score"), "domain")
+    """Scores that differ by rounding errors only, as sums in another order do, are ties."""
+    one = Window.partitionBy("input_id").orderBy(F.desc(F.round("score", 6)), "domain")
     return scored.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
 
 
@@ -85,8 +89,9 @@ def by_composite(keys: DataFrame, companies: DataFrame, index: TextIndex) -> Dat
     several = keys.filter(F.size("usable") >= 2)
     phones = companies.select(F.col("domain").alias("key"), F.explode(F.array_distinct("phone_numbers")).alias("phone"))
     spread = phones.groupBy("phone").agg(F.count(F.lit(1)).alias("df"))
-    owners, total = phones.join(spread, "phone"), companies.count()
-    idf = F.ln(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    total = companies.agg(F.count(F.lit(1)).alias("total"))  # one row
+    owners = phones.join(spread, "phone").crossJoin(F.broadcast(total))
+    idf = F.ln(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     hits = several.join(owners, "phone").select("input_id", F.col("key").alias("domain"), (F.lit(BOOST["phone"]) * idf).alias("score"))
     scored = hits.unionByName(name_relevance(several, index, companies, 0, BOOST["name"], False)).groupBy("input_id", "domain").agg(F.sum("score").alias("score"))
     found = top_one(scored).join(several.select("input_id", "phone", "name"), "input_id").join(companies.select("domain", "phone_numbers"), "domain")

@@ -62,7 +62,8 @@ def edits_allowed(token: Column) -> Column:
 
 
 def expand_fuzzy(queries: DataFrame, terms: DataFrame, prefix: int = 0) -> DataFrame:
-    """queries(qid, field, token, weight) with near vocabulary terms, less weight for more edits.
+    """queries(qid, field, token, weight) with near vocabulary terms, less weight for more edits. A
+    swap of neighbouring letters is one edit, as it is one for the deletion keys.
 
     Only distinct query tokens meet the vocabulary, blocked by field and by deletion keys: words
     within d edits share a string that d deletions make of either, so no other pair is compared.
@@ -71,13 +72,26 @@ def expand_fuzzy(queries: DataFrame, terms: DataFrame, prefix: int = 0) -> DataF
     left = asked.select("field", "asked", F.explode(_deletions(F.col("asked"))).alias("k")).distinct()
     right = terms.select("field", "token", F.explode(_deletions(F.col("token"))).alias("k")).distinct()
     near = left.join(right, ["field", "k"]).select("field", "asked", "token").distinct()
-    near = near.withColumn("edits", F.levenshtein("asked", "token", 2)).filter((F.col("edits") >= 0) & (F.col("edits") <= edits_allowed(F.col("asked"))))
+    near = near.withColumn("edits", _edits(F.col("asked"), F.col("token"))).filter(F.col("edits") <= edits_allowed(F.col("asked")))
     if prefix:
         near = near.filter(F.left("asked", F.lit(prefix)) == F.left("token", F.lit(prefix)))
     less = 1 - F.col("edits") / F.least(F.length("asked"), F.length("token"))
     return queries.withColumnRenamed("token", "asked").join(near, ["field", "asked"]).select("qid", "field", "token", (F.col("weight") * less).alias("weight"))
 
 
+def _swaps(token: Column) -> Column:
+    at = F.filter(F.sequence(F.lit(1), F.length(token)), lambda i: i < F.length(token))
+    return F.transform(at, lambda i: F.concat(F.left(token, i - 1), F.substr(token, i + 1, F.lit(1)), F.substr(token, i, F.lit(1)), F.substr(token, i + 2)))
+
+
+def _edits(a: Column, b: Column) -> Column:
+    """Edits up to 2, more for more: letters put in, left out or changed, neighbours swapped."""
+    plain = F.levenshtein(a, b)
+    swapped = 1 + F.array_min(F.transform(_swaps(a), lambda x: F.levenshtein(x, b)))
+    twice = F.when(F.arrays_overlap(_swaps(a), _swaps(b)), 2)
+    return F.when(plain <= 1, plain).otherwise(F.least(plain, swapped, twice))
+
+
 def _deletions(token: Column) -> Column:
     one = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.left(t, i - 1), F.substr(t, i + 1)))
     first = F.when(F.length(token) > 2, one(token)).otherwise(F.array().cast("array<string>"))

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from quarrylode.plans import site_queries  # noqa: F401
 from quarrylode.plans.queries import ORACLES, QUERIES
 
 
