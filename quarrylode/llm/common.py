@@ -18,16 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it.
-
-    Only where that is unset (tests, local mode) a temporary folder takes its place.
-    """
+    """The folder that all executors share, as spark.checkpoint.dir names it. Only a local session
+    without that setting (tests) gets a temporary one; on a cluster it must be set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = getattr(shared_dir, "local", None) or tempfile.mkdtemp(prefix="quarrylode-")
         shared_dir.local = named
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
     return named
 
 
@@ -35,13 +33,17 @@ def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/quarrylode-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._ql_path = path
+    return out
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint, for the small tables of iterative operators."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df._ql_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def lower_ascii(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylode.llm.common import written
+from quarrylode.llm.common import forget, written
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -17,7 +17,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Large-star hooks a node's larger neighbours to its smallest one, small-star its smaller ones;
     in a number of rounds that grows with the logarithm of the longest path all edges lead to a
-    root. Minima are pre-aggregated, and no task needs all edges of a node at once.
+    root. Minima are pre-aggregated; the joins with them meet a hub's edges by its name, so a hub of
+    very many edges is split by Spark's handling of skewed joins. Tables of past rounds are deleted.
     """
     e = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
@@ -30,5 +31,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = written(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hooked = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(hooked.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        after = written(hooked.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        forget(e, large)
+        e = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from quarrylode.llm.common import WORD, table, unit_hash, written
 
-BLOCK, ROUNDS, BUCKETS, CHUNK, OUT_SHARDS = 512, 24, 1024, 4096, 64
+BLOCK, ROUNDS, CHUNK, OUT_SHARDS = 512, 24, 4096, 64
+#: Rows of a bucket of a source, in which documents are put in order; buckets at least.
+BUCKET_ROWS, BUCKETS = 1 << 14, 64
 #: A table of sources of at most so many rows is broadcast; a longer one is joined by shuffling.
 BROADCAST_SOURCES = 10_000
 
@@ -69,7 +71,8 @@ class Mix:
             _key(F.col(source).cast("string")).alias("key"),
             F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         )
-        sized = written(sized.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(BUCKETS)).cast("int")))
+        buckets = max(BUCKETS, docs.count() // BUCKET_ROWS)
+        sized = written(sized.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(buckets)).cast("int")))
         pieces = sized.groupBy("key", "bucket").agg(F.sum("size").alias("piece"))
         totals = pieces.groupBy("key").agg(F.sum("piece").alias("words"))
         totals = totals.withColumn("source", F.when(F.col("key") != "null", F.expr("substring(key, 2)")))
@@ -106,6 +109,12 @@ class Mix:
         shard = F.floor(unit_hash(F.lit(self.seed), F.lit("out"), F.col("key"), F.col("slot")) * out_shards).cast("int")
         return s.select("key", "slot", "pass", "block", words.cast("long").alias("words"), (F.col("pass") < F.col("passes")).alias("whole"), shard.alias("out_shard")).filter("words > 0")
 
+    def draws(self, out_shards: int = OUT_SHARDS) -> DataFrame:
+        """key, out_shard, n: how many slots of each source an output shard draws. They are
+        multinomial given the sources' totals, which are not left to chance: a draw of the totals
+        too would miss the targets of small sources and take a document more than twice."""
+        return self.slots(out_shards).groupBy("key", "out_shard").agg(F.count(F.lit(1)).alias("n"))
+
     def takes(self) -> DataFrame:
         """doc_id, key, size, taken: blocks joined to slots by index and summed over a document."""
         L = F.lit(self.block)

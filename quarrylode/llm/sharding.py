@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quarrylode.llm.common import unit_hash
 
-#: Pieces of a shard that are numbered independently.
-BUCKETS = 1024
+#: Rows of a piece of a shard; pieces are numbered independently.
+PIECE_ROWS = 1 << 14
 
 
 def shard_of(key: Column, weights: Sequence[float]) -> Column:
@@ -26,19 +26,21 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
     return (-F.array_max(F.array(*scores))["i"]).cast("int")
 
 
-def assign_shards(docs: DataFrame, key: str, weights: Sequence[float], grown: Sequence[float] | None = None, order: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+def assign_shards(docs: DataFrame, key: str, weights: Sequence[float], grown: Sequence[float] | None = None, order: Sequence[str] = (), piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Adds shard, slot and, if grown lists the weights of a larger set, grown_shard.
 
-    Slots number the rows of a shard from 0 without gaps. A shard is cut into hashed buckets;
-    counts of the buckets (at most shards x buckets rows, so they may be broadcast) give each a
-    starting number, and rows are numbered inside their bucket: no task holds a whole shard.
-    Null keys, repeated rows and empty tables are fine: equal rows get slots one after another.
+    Slots number the rows of a shard from 0 without gaps. A shard is cut into hashed buckets, more
+    for more rows; counts of the buckets give each a starting number, and rows are numbered inside
+    their bucket: no task holds a whole shard. Rows that share a key, null too, are told apart by
+    the columns of order, so only rows equal in those share a bucket; they get slots one after
+    another. Null keys, repeated rows and empty tables are fine.
     The columns shard, slot and grown_shard of docs, if any, are replaced.
     """
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be positive")
     kept = [c for c in docs.columns if c not in ("shard", "slot", "grown_shard")]
-    bucket = F.pmod(F.xxhash64(F.lit("bucket"), F.col(key)), F.lit(buckets)).cast("int")
+    buckets = docs.count() // (piece_rows * len(weights)) + 1
+    bucket = F.pmod(F.xxhash64(F.lit("bucket"), F.col(key), *order), F.lit(buckets)).cast("int")
     places = docs.select(shard_of(F.col(key), weights).alias("_ql_shard"), bucket.alias("_ql_bucket"))
     counts = places.groupBy("_ql_shard", "_ql_bucket").agg(F.count(F.lit(1)).alias("_ql_n"))
     before = Window.partitionBy("_ql_shard").orderBy("_ql_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -46,7 +48,7 @@ def assign_shards(docs: DataFrame, key: str, weights: Sequence[float], grown: Se
     rows = docs.select(*kept, shard_of(F.col(key), weights).alias("_ql_shard"), bucket.alias("_ql_bucket"), *([shard_of(F.col(key), grown).alias("grown_shard")] if grown else []))
     inside = Window.partitionBy("_ql_shard", "_ql_bucket").orderBy(key, *order)
     numbered = rows.withColumn("_ql_row", F.row_number().over(inside) - 1)
-    return numbered.join(F.broadcast(starts), ["_ql_shard", "_ql_bucket"]).select(
+    return numbered.join(starts, ["_ql_shard", "_ql_bucket"]).select(
         *kept,
         F.col("_ql_shard").alias("shard"),
         (F.col("_ql_start") + F.col("_ql_row")).cast("long").alias("slot"),

@@ -53,6 +53,12 @@ def test_shards_follow_weights_and_move_only_to_the_new_one(spark):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(n[s]))
 
 
+def test_rows_of_one_key_are_numbered_in_pieces(spark):
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").alias("n"))
+    got = sharding.assign_shards(rows, "doc_id", [1.0] * 2, order=("n",), piece_rows=50).collect()
+    assert len({r["shard"] for r in got}) == 1 and sorted(r["slot"] for r in got) == list(range(3000))
+
+
 def test_sharding_of_odd_rows(docs, nothing):
     rows = sharding.assign_shards(docs, "doc_id", [1.0] * 8).collect()
     assert len(rows) == len(TEXTS) and len({(r["shard"], r["slot"]) for r in rows}) == len(TEXTS)
@@ -95,6 +101,19 @@ def test_mix_meets_targets_to_the_word(some):
     assert {r["out_shard"] for r in slots} == {0, 1, 2, 3} and all(0 < r["words"] <= 16 for r in slots)
 
 
+def test_output_shards_draw_multinomial_counts_given_the_totals(spark):
+    docs = spark.createDataFrame([(k, "w " * 50, "ab"[k % 2]) for k in range(4000)], "doc_id long, text string, source string")
+    mix = mixing.Mix(docs, block=16)
+    counts, slots = Counter(), Counter()
+    for r in mix.draws(8).collect():
+        counts[r["key"], r["out_shard"]] = r["n"]
+        slots[r["key"]] += r["n"]
+    assert {k: r for k, r in slots.items()} == {r["key"]: r["count"] for r in mix.slots(8).groupBy("key").count().collect()}
+    for key, total in slots.items():
+        chi = sum((counts[key, s] - total / 8) ** 2 / (total / 8) for s in range(8))
+        assert 0.5 < chi < 26  # 7 degrees of freedom: neither even shares nor far from them
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 100])
 def test_permutations_are_permutations(spark, n):
     size = F.lit(n)
