@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ DIMENSIONS, MORE, SAMPLE = 96, 16, 3000
 COMMON = 0.1
 #: A candidate: cosine, and share of the latent length that the passage covers, both of a part of
 #: the item; parts have a passage's words at most.
-COSINE, COVER = 0.5, 0.4
+COSINE, COVER = 0.4, 0.3
 #: A leak: share of the item's words in the longest common subsequence, and of its answer's words.
 OVERLAP, ANSWER = 0.5, 0.5
 #: Items, and bytes of them, compared in one pass over the documents.
@@ -61,6 +62,12 @@ def common_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal numbers begins and ends."""
+    starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
+    return starts, np.append(starts[1:], len(x))[: len(starts)]
+
+
 @dataclass
 class Index:
     """The items of a block in the latent space; what tasks need to search it."""
@@ -75,6 +82,9 @@ class Index:
     length: np.ndarray | None = None
     owner: np.ndarray | None = None
     answers: list[list[str]] = field(default_factory=list)
+    #: Terms of each answer, filled up with the number of all terms, and how many of them a leak needs.
+    asked: np.ndarray | None = None
+    needed: np.ndarray | None = None
     common: dict[int, np.ndarray] = field(default_factory=dict)
 
     def ask(self) -> None:
@@ -86,11 +96,14 @@ class Index:
             own = self.terms_of(ws)
             if self.rarity[own].mean() < -math.log(COMMON):
                 self.common[i] = np.unique(own)
+        self.asked = np.full((len(self.items), max(map(len, self.answers))), len(self.terms))
+        for i, answer in enumerate(self.answers):
+            self.asked[i, : len(answer)] = self.terms_of(answer)
+        self.needed = np.array([ANSWER * len(a) for a in self.answers])
 
     def terms_of(self, tokens: list[str]) -> np.ndarray:
         """The term of each token, -1 for none."""
-        get = self.terms.get
-        return np.fromiter([get(w, -1) for w in tokens], np.int32, len(tokens))
+        return np.fromiter(map(self.terms.get, tokens, repeat(-1)), np.int32, len(tokens))
 
     def placed(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(places, terms) of the tokens that carry weight."""
@@ -102,10 +115,19 @@ class Index:
     def search(self, texts: list[np.ndarray]) -> list[list[tuple[int, float, int]]]:
         """For each text, given by its terms, the (item, cosine, place) of candidate passages."""
         found: list[list[tuple[int, float, int]]] = [self._by_words(at) for at in texts]
-        for doc, item, cosine, place in self._by_vectors(texts):
-            found[doc].append((item, cosine, place))
+        doc, item, cosine, place = self._by_vectors(texts)
+        for s, e in zip(*_runs(doc), strict=True):
+            keep = self._answered(texts[doc[s]], item[s:e])
+            found[doc[s]] += zip(item[s:e][keep].tolist(), cosine[s:e][keep].tolist(), place[s:e][keep].tolist(), strict=True)
         return found
 
+    def _answered(self, at: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Which items' answers a whole text has enough words of; no passage of it has more."""
+        there = np.zeros(len(self.terms) + 1, bool)
+        there[at] = True  # an unknown term's -1 is the last place, as is the filling's
+        there[-1] = False
+        return there[self.asked[items]].sum(1) >= self.needed[items]
+
     def _by_words(self, at: np.ndarray) -> list[tuple[int, float, int]]:
         """Places of items of common words: all whose surroundings, as leaks() reads them, have
         enough words of the item for the common subsequence. No cosine tells them apart."""
@@ -117,18 +139,16 @@ class Index:
             found += [(i, 0.0, int(p)) for p in starts[there >= OVERLAP * n]]
         return found
 
-    def _by_vectors(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, float, int]]:
-        """(text, item, cosine, place) of the passages near a part of an item, for all texts at once."""
-        sizes = np.array([len(at) for at in texts])
+    def _by_vectors(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(texts, items, cosines, places), by text, of the passages near a part of an item."""
+        sizes = np.array([len(at) for at in texts], np.int64)
         halves = -(-sizes // HALF) + 1  # one more: the last half of a text has no neighbour
         first, begin = np.cumsum(halves) - halves, np.cumsum(sizes) - sizes
-        at = np.concatenate(texts) if len(texts) else np.empty(0, np.int32)
+        at = np.concatenate([*texts, np.empty(0, np.int32)])
         places = np.flatnonzero((at >= 0) & (self.weight[at] > 0))
-        if not len(places):
-            return
         doc = np.repeat(np.arange(len(texts)), sizes)[places]
         half, cut = np.unique(first[doc] + (places - begin[doc]) // HALF, return_index=True)
-        rows = max(64, PRODUCT // len(self.owner))
+        rows, out = max(64, PRODUCT // len(self.owner)), []
         for k in range(0, len(half), rows):
             own = half[k : k + rows + 1]  # and the one after, for the last passage
             ends = np.append(cut, len(places))[[k, k + len(own)]]
@@ -139,10 +159,10 @@ class Index:
             passages = passages[:rows]
             norm = np.sqrt((passages**2).sum(1)) + 1e-12
             dots = passages @ self.vectors.T
-            hits = np.nonzero((dots >= COSINE * norm[:, None]) & (dots >= COVER * self.length))
-            for p, i in zip(*hits, strict=True):
-                d = int(doc[cut[k + p]])
-                yield d, int(self.owner[i]), float(dots[p, i] / norm[p]), int(own[p] - first[d]) * HALF
+            p, i = np.nonzero((dots >= COSINE * norm[:, None]) & (dots >= COVER * self.length))
+            d = doc[cut[k + p]]
+            out.append((d, self.owner[i], dots[p, i] / norm[p], (own[p] - first[d]) * HALF))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 4
 
     def leaks(self, texts: list[str | None]) -> list[list[dict]]:
         """The items that each text leaks, with cosine, overlap and answer, best passage each."""
