@@ -119,10 +119,12 @@ def strip_scripts(spark, d):
     return t(spark, d, "pages").select("page_id", F.md5(X.strip_scripts(F.col("html"))).alias("digest"))
 
 
-@query("select page_id, case page_id % 5 when 0 then 'facebook' when 1 then 'twitter' when 2 then 'linkedin' when 3 then null else 'github' end as platform from pages")
+_PROFILE = "'https://' || case page_id % 5 when 0 then 'www.facebook.com' when 1 then 'X.com' when 2 then 'linkedin.com' when 3 then 'example.com' else 'www.github.com' end || substr(url, 9)"
+
+
+@query(f"select page_id, case regexp_replace(lower(regexp_extract(u, '://([^/?#]*)', 1)), '^www[.]', '') when 'facebook.com' then 'facebook' when 'x.com' then 'twitter' when 'twitter.com' then 'twitter' when 'linkedin.com' then 'linkedin' when 'github.com' then 'github' end as platform from (select page_id, {_PROFILE.replace('substr(url, 9)', "'/p/' || page_id")} as u from pages)")
 def social_platform(spark, d):
-    hosts = F.array(*[F.lit(h) for h in ("www.facebook.com", "X.com", "linkedin.com", "example.com", "www.github.com")])
-    url = F.concat(F.lit("https://"), F.element_at(hosts, (F.col("page_id") % 5 + 1).cast("int")), F.lit("/p/"), F.col("page_id").cast("string"))
+    url = F.expr(_PROFILE.replace("substr(url, 9)", "'/p/' || cast(page_id as string)"))
     return t(spark, d, "pages").select("page_id", X.social_platform(url).alias("platform"))
 
 
@@ -154,9 +156,12 @@ def cf_email_decode(spark, d):
     return t(spark, d, "customer").select("c_custkey", X.decode_cf_email(code).alias("email"))
 
 
-@query("select c_custkey, 'info' || c_custkey || '@acme.co.uk' as email from customer")
+_HIDDEN = "'write to Info' || c_custkey || case c_custkey % 3 when 0 then ' [at] acme.co {dot} uk' when 1 then '(AT)acme(dot)org' else ' at acme dot org' end || ' today'"
+
+
+@query(f"select c_custkey, lower(regexp_replace(regexp_replace(regexp_extract(x, '\\S+ ?[[({{](at|AT)[])}}].*[[({{]dot[])}}] ?\\w+'), ' ?[[({{](at|AT)[])}}] ?', '@'), ' ?[[({{]dot[])}}] ?', '.')) as email from (select c_custkey, {_HIDDEN} as x from customer) where regexp_matches(x, '[[(](at|AT)[])]')")
 def hidden_email(spark, d):
-    text = F.concat(F.lit("write to Info"), F.col("c_custkey").cast("string"), F.lit(" [at] acme.co {dot} uk today"))
+    text = F.expr(_HIDDEN.replace("|| c_custkey ||", "|| cast(c_custkey as string) ||"))
     return t(spark, d, "customer").select("c_custkey", F.explode(X.hidden_emails(text)).alias("email"))
 
 
@@ -182,7 +187,7 @@ def json_ld_org(spark, d):
 _YEARS = "case o_orderkey % 4 when 0 then 'since ' || (1795 + o_orderkey % 60) when 1 then '© ' || (1990 + o_orderkey % 60) when 2 then 'Founded in 1950, copyright 2001' else 'none' end"
 
 
-@query("select o_orderkey, (case o_orderkey % 4 when 0 then case when 1795 + o_orderkey % 60 >= 1800 then 1795 + o_orderkey % 60 end when 1 then case when 1990 + o_orderkey % 60 <= 2025 then 1990 + o_orderkey % 60 end when 2 then 1950 end)::bigint as year from orders")
+@query(f"select o_orderkey, case when y between 1800 and 2025 then y end as year from (select o_orderkey, nullif(regexp_extract(x, '(since |© |Founded in )([0-9]{{4}})', 2), '')::bigint as y from (select o_orderkey, {_YEARS} as x from orders))")
 def year_founded(spark, d):
     text = F.expr(_YEARS.replace("(1795 + o_orderkey % 60)", "cast(1795 + o_orderkey % 60 as string)").replace("(1990 + o_orderkey % 60)", "cast(1990 + o_orderkey % 60 as string)"))
     return t(spark, d, "orders").select("o_orderkey", big(X.year_founded(text, YEAR)).alias("year"))

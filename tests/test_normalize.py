@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylode.functions import normalize as N
 
+#: The vectors that results must equal, in four tables.
 COMPANY = [
     ("SafetyChain Software Services Pty. Ltd.", "safetychain software services"), ("SBS*", "sbs"), ("&AWL", "awl"), ("Hueboost Services //", "hueboost services"), ("Inc. Mercury", "mercury"),
     ("Forge Marketing & Management Pty.", "forge marketing management"), ("Cadott Family Restaurant Limited", "cadott family restaurant"), ("Blue Ridge Chair - Limited", "blue ridge chair"), ("A W Brueggemann Co.", "a w brueggemann"),
@@ -34,6 +35,21 @@ URL = [
 ]
 
 
+#: Cases of our own.
+OWN = {
+    "company": (N.normalize_company_name, [("Müller & Söhne Holdings", "müller söhne"), ("Co. Op Limited Co.", "co. op"), ("\u00a0Acme\u00a0Ltd. ", "acme"), ("Limited", None), ("A/B Corp.", "a/b"), ("x" * 3000 + " Inc", "x" * 3000), ("  -  ", None), ("Incline Labs", "incline labs")]),
+    "facebook": (N.normalize_facebook, [("HTTP://Facebook.com/ACME?x=1#y", "acme"), ("facebook.com/a", None), ("m.facebook.com/acme", None), ("https://facebook.com/profile.php?id=3", None), (" www.facebook.com/über ", "über")]),
+    "phone": (N.normalize_phone, [("+44 20 7946 0018", "+442079460018"), ("1-800-555-0199", "+18005550199"), ("(107) 555-0199", None), ("+1 555 010 9999 9", None), ("207.555.0199 x12", None), ("\t+49 (30) 1234567", "+49301234567")]),
+    "url": (N.normalize_url, [("HTTPS://WWW.Example.ORG:8080/x", "example.org:8080"), ("http://http://a.io", "a.io"), ("b.co?x", "b.co"), ("localhost", None), ("ü.de...", "ü.de"), ("https://www.bing.com/search", None)]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OWN))
+def test_own_cases(spark, name):
+    f, cases = OWN[name]
+    assert run(spark, f, [v for v, _ in cases]) == [e for _, e in cases]
+
+
 def run(spark, f, values):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", f(F.col("v")).alias("o")).orderBy("i").collect()
     return [r["o"] for r in rows]
