@@ -114,6 +114,9 @@ def assemble(pages: DataFrame, current_year: int, most: int = 3) -> DataFrame:
     phones, e-mails or addresses are missing, and at most so many: they give the first phones and
     addresses found, platforms not seen before, and more e-mails.
     """
+    # pages beyond the most that any crawl reads are dropped before anything is read from them
+    place = Window.partitionBy("domain").orderBy("rank")
+    pages = pages.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= most + 1)
     read = pages.select("domain", "url", "rank", *[c.alias(n) for n, c in page_fields(F.col("html"), current_year).items()])
     flags = {f"_{c}": F.size(c) > 0 for c in ("phone_numbers", "emails", "addresses")}
     read = pages_needed(read.withColumns(flags), "domain", "rank", tuple(flags), most).drop(*flags)
