@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 STOP = ("inc", "llc", "ltd", "corp", "co", "pty", "limited", "holding", "holdings", "company", "services", "service")
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
+#: Letters from which a word meets others by its pieces, and their number.
+LONG, PIECES = 40, 5
 ACCENTS, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 
@@ -67,10 +69,13 @@ def expand_fuzzy(queries: DataFrame, terms: DataFrame, prefix: int = 0) -> DataF
 
     Only distinct query tokens meet the vocabulary, blocked by field and by deletion keys: words
     within d edits share a string that d deletions make of either, so no other pair is compared.
+    Words above LONG letters have too many of these; they meet by a fifth of the asked word instead:
+    two edits, each of two neighbours at most, leave one of five pieces as it is, moved by two at
+    most. Both ways are exact.
     """
     asked = queries.select("field", F.col("token").alias("asked")).distinct()
-    left = asked.select("field", "asked", F.explode(_deletions(F.col("asked"))).alias("k")).distinct()
-    right = terms.select("field", "token", F.explode(_deletions(F.col("token"))).alias("k")).distinct()
+    left = asked.select("field", "asked", F.explode(_asked_keys(F.col("asked"))).alias("k")).distinct()
+    right = terms.select("field", "token", F.explode(_term_keys(F.col("token"))).alias("k")).distinct()
     near = left.join(right, ["field", "k"]).select("field", "asked", "token").distinct()
     near = near.withColumn("edits", _edits(F.col("asked"), F.col("token"))).filter(F.col("edits") <= edits_allowed(F.col("asked")))
     if prefix:
@@ -86,12 +91,34 @@ def _swaps(token: Column) -> Column:
 
 def _edits(a: Column, b: Column) -> Column:
     """Edits up to 2, more for more: letters put in, left out or changed, neighbours swapped."""
-    plain = F.levenshtein(a, b)
-    swapped = 1 + F.array_min(F.transform(_swaps(a), lambda x: F.levenshtein(x, b)))
-    twice = F.when(F.arrays_overlap(_swaps(a), _swaps(b)), 2)
+    within = lambda x, most: F.nullif(F.levenshtein(x, b, most), F.lit(-1))
+    plain = within(a, 2)
+    swapped = 1 + F.array_min(F.transform(_swaps(a), lambda x: within(x, 1)))
+    twice = F.when(F.length(a) == F.length(b), F.when(F.arrays_overlap(_swaps(a), _swaps(b)), 2))
     return F.when(plain <= 1, plain).otherwise(F.least(plain, swapped, twice))
 
 
+def _piece(word: Column, n: Column, i: Column, moved: Column) -> Column:
+    """The i-th fifth of a word of n letters, read from a word in which it has moved."""
+    start = F.floor(n * i / PIECES)
+    size = F.floor(n * (i + 1) / PIECES) - start
+    at = (start + moved + 1).cast("int")
+    return F.when(at >= 1, F.concat_ws(":", n.cast("string"), i.cast("string"), F.substr(word, at, size.cast("int"))))
+
+
+def _asked_keys(a: Column) -> Column:
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: _piece(a, F.length(a), i, F.lit(0)))
+    return F.when(F.length(a) <= LONG, _deletions(a)).otherwise(pieces)
+
+
+def _term_keys(b: Column) -> Column:
+    """Deletion keys for asked words that are not long, pieces for those that are."""
+    none, moves = F.array().cast("array<string>"), F.sequence(F.lit(-2), F.lit(2))
+    sizes = F.filter(F.transform(moves, lambda k: F.length(b) + k), lambda n: n > LONG)
+    of = lambda n: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.transform(moves, lambda k: _piece(b, n, i, k))))
+    return F.concat(F.when(F.length(b) <= LONG + 2, _deletions(b)).otherwise(none), F.array_compact(F.flatten(F.transform(sizes, of))))
+
+
 def _deletions(token: Column) -> Column:
     one = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.left(t, i - 1), F.substr(t, i + 1)))
     first = F.when(F.length(token) > 2, one(token)).otherwise(F.array().cast("array<string>"))
