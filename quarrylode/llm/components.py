@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from quarrylode.llm.common import forget, written
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down at most, to a node that has none: its root."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or (down = 1 and up = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -21,11 +23,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     very many edges is split by Spark's handling of skewed joins. Tables of past rounds are deleted.
     """
     e = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while (now := _digest(e)) != before:
-        if not now[0]:
-            break
-        before = now
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = written(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())

@@ -28,7 +28,7 @@ SHINGLE, SIMILAR = 5, (4, 5)
 #: Texts sampled to tell frequent shingles, and how many of those are known to every task.
 ORDER_SAMPLE, ORDERED = 20_000, 100_000
 #: Rounds that compare a crowded cell with one of its own, and sides of the blocks of what is left.
-ROUNDS, BLOCK = 4, 512
+ROUNDS, BLOCK = 3, 512
 #: Ids of at most so many rows are broadcast, so that texts need not be shuffled for them.
 BROADCAST_ROWS = 1_000_000
 #: Hashes whose bits are counted at once.
