@@ -147,7 +147,9 @@ class Index:
         at = np.concatenate([*texts, np.empty(0, np.int32)])
         places = np.flatnonzero((at >= 0) & (self.weight[at] > 0))
         doc = np.repeat(np.arange(len(texts)), sizes)[places]
-        half, cut = np.unique(first[doc] + (places - begin[doc]) // HALF, return_index=True)
+        half = first[doc] + (places - begin[doc]) // HALF
+        cut = _runs(half)[0]
+        half = half[cut]
         rows, out = max(64, PRODUCT // len(self.owner)), []
         for k in range(0, len(half), rows):
             own = half[k : k + rows + 1]  # and the one after, for the last passage
@@ -159,7 +161,9 @@ class Index:
             passages = passages[:rows]
             norm = np.sqrt((passages**2).sum(1)) + 1e-12
             dots = passages @ self.vectors.T
-            p, i = np.nonzero((dots >= COSINE * norm[:, None]) & (dots >= COVER * self.length))
+            p, i = np.nonzero(dots >= COVER * self.length)
+            near = dots[p, i] >= COSINE * norm[p]
+            p, i = p[near], i[near]
             d = doc[cut[k + p]]
             out.append((d, self.owner[i], dots[p, i] / norm[p], (own[p] - first[d]) * HALF))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 4
