@@ -14,7 +14,7 @@ from quarrylode.llm.entry import ORACLES, QUERIES
 CONTRACTS = {
     "op1_html_text": ("pages", {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"}),
     "op2_simhash": ("documents", {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"}),
-    "op3_lm_score": ("documents", {"doc_id": "bigint", "score": "double"}),
+    "op3_lm_score": ("documents", {"doc_id": "bigint", "n_words": "bigint", "score": "double"}),
     "op4_url_filter": ("pages", {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"}),
     "op5_decontamination": (None, {"doc_id": "bigint", "item_id": "bigint"}),
     "op6_toxicity": ("documents", {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}),
