@@ -88,8 +88,9 @@ def blocks(data: np.ndarray, ends: np.ndarray, size: int, gram: int) -> tuple[np
         h = gram_hashes(data[at : at + STEP + size - 1], gram)
         least = _sliding(h, width, np.minimum)
         pad = np.zeros(width - 1, np.uint64)
-        chosen = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), width, np.maximum) == h)
-        own = np.searchsorted(chosen, np.arange(len(least)))
+        mark = _sliding(np.concatenate([pad, least, pad]), width, np.maximum) == h
+        chosen = np.flatnonzero(mark)
+        own = np.cumsum(mark)[: len(least)] - mark[: len(least)]  # the first chosen place not before each window
         while (late := h[chosen[own]] != least).any():
             own += late
         ok = valid[at : at + len(least)]
@@ -155,42 +156,77 @@ def _prefix(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _different(places: list[np.ndarray]) -> np.ndarray:
+    """The numbers that any of the arrays has, in order."""
+    mark = np.zeros(max((int(x.max()) for x in places if len(x)), default=-1) + 1, bool)
+    for x in places:
+        mark[x] = True
+    return np.flatnonzero(mark)
+
+
+def _cut_out(data: np.ndarray, windows: np.ndarray, h: int) -> tuple[np.ndarray, np.ndarray]:
+    """The text that windows of h bytes cover, and their places in it."""
+    cover = np.zeros(len(data) + 1, np.int32)
+    cover[windows] = 1
+    cover = np.cumsum(cover[:-1])
+    used = cover > np.r_[np.zeros(min(h, len(data)), np.int32), cover[:-h]]  # a window begins at one of the last h places
+    return data[used], (np.cumsum(used) - 1)[windows]
+
+
+def _kept(text: np.ndarray) -> list[bytes]:
+    return [pa.Codec("zstd").compress(text.tobytes(), asbytes=True), _pack(np.array([len(text)]))]
+
+
+def _whole(row: pa.RecordBatch) -> np.ndarray:
+    size = int(_unpack(row["size"][0].as_py())[0])
+    return np.frombuffer(pa.Codec("zstd").decompress(row["text"][0].as_py(), decompressed_size=size, asbytes=True), np.uint8)
+
+
 def _changes(rows: np.ndarray) -> np.ndarray:
     return np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)][: len(rows)]
 
 
-def _unique(keys: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of different rows, sorted by the bucket of each and then as rows, and the number of
-    each row among them."""
-    order = np.lexsort([*keys.T[::-1], by])
-    new = np.r_[True, (by[order][1:] != by[order][:-1])][: len(order)] | _changes(keys[order])
+def _unique(keys: np.ndarray, buckets: int, lead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of different rows by bucket, each row's number among them, and their buckets, which a
+    hash of the first lead columns decides. Rows are told apart by their hash; if two different rows
+    share one, by sorting."""
+    mix = bucket = np.zeros(len(keys), np.uint64)
+    for k, column in enumerate(keys.T, 1):
+        mix = _mixed(mix * BASE + column)
+        bucket = mix if k == lead else bucket
+    order = np.argsort(mix)
+    if (same := mix[order][1:] == mix[order][:-1]).any() and (same & _changes(keys[order])[1:]).any():
+        order = np.lexsort([*keys.T[::-1], mix])
+    new = _changes(keys[order])
+    first, number = order[new], np.cumsum(new) - 1
+    by = (bucket[first] >> np.uint64(33)).astype(np.int64) % buckets
+    again = np.lexsort([keys[first, 0], by])  # in each bucket rows of like beginnings are together
+    place = np.empty(len(again), np.int64)
+    place[again] = np.arange(len(again))
     which = np.empty(len(order), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return order[new], which
+    which[order] = place[number]
+    return first[again], which, by[again]
 
 
 class _Keys:
     """A batch's keys made unique: which of them each place has, and the least id they have here."""
 
-    def __init__(self, keys: np.ndarray, lead: np.ndarray, buckets: int, ids: np.ndarray | None = None):
-        mix = np.zeros(len(keys), np.uint64)
-        for column in lead.T:
-            mix = _mixed(mix * BASE + column)
-        by = (mix >> np.uint64(33)).astype(np.int64) % buckets
-        first, self.which = _unique(keys, by)
-        self.rows, self.by = keys[first], by[first]
+    def __init__(self, keys: np.ndarray, lead: int, buckets: int, ids: np.ndarray | None = None):
+        first, self.which, self.by = _unique(keys, buckets, lead)
+        self.rows, self.ids = keys[first], None
         if ids is not None:
             self.ids = np.full(len(first), LAST)
             np.minimum.at(self.ids, self.which, ids)
 
-    def dealt(self, batch: int, pack, tag: int = 0) -> Iterator[tuple]:
-        """(bucket, batch, tag, keys, ids) for each bucket that gets any."""
-        cuts = np.r_[np.flatnonzero(np.r_[True, self.by[1:] != self.by[:-1]][: len(self.by)]), len(self.by)]
-        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            yield int(self.by[s]), batch, tag, pack(self.rows[s:e]), _pack(self.ids[s:e]) if hasattr(self, "ids") else None
+    def dealt(self, pack, tag: int = 0) -> list[dict]:
+        """The keys and ids of each bucket that gets any."""
+        cuts = np.r_[np.flatnonzero(np.r_[True, self.by[1:] != self.by[:-1]][: len(self.by)]), len(self.by)].tolist()
+        ids = lambda s, e: _pack(self.ids[s:e]) if self.ids is not None else None
+        return [{"bucket": int(self.by[s]), "tag": tag, "keys": pack(self.rows[s:e]), "ids": ids(s, e)} for s, e in zip(cuts[:-1], cuts[1:])]
 
 
-DEALT = "bucket int, batch long, tag int, keys binary, ids binary"
+DEALT = T.ArrayType(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("tag", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("ids", T.BinaryType())]))
+ARROW_DEALT = pa.list_(pa.struct([("bucket", pa.int32()), ("tag", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())]))
 
 
 def _columns(rows: np.ndarray) -> bytes:
@@ -224,7 +260,8 @@ def _answered(dealt: DataFrame, buckets: int, read, answer, fields: int) -> Data
                 out.append((batch, tag, rows["bucket"][0].as_py(), *(_rising(x[cuts[k] : cuts[k + 1]]) for x in found)))
         return pa.table([pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * fields], strict=True)], names=schema.names)
 
-    return dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, schema)
+    rows = dealt.select("batch", F.inline("dealt"))
+    return rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, schema)
 
 
 def _collected(found: pa.Table, tag: int, field: str) -> np.ndarray:
@@ -269,8 +306,8 @@ class Repeats:
 
     def __init__(self, h: int, gram: int, batch: int, buckets: int):
         if h < 64:
-            raise ValueError("repeats have 64 bytes at least: nine letters must cover them, eight must not")
-        self.h, self.gram, self.batch, self.buckets, self.s = h, gram, batch, buckets, math.ceil(h / 9)
+            raise ValueError("repeats have 64 bytes at least: nine letters of an eighth must cover them")
+        self.h, self.gram, self.batch, self.buckets, self.s = h, gram, batch, buckets, h // 8
         #: what the third of three names still has to tell for h, h - s and h - 2s bytes
         self.rest = [h - 6 * self.s, h - 7 * self.s, h - 8 * self.s]
 
@@ -278,15 +315,19 @@ class Repeats:
         """A row for each batch: ids, sizes and text of its documents, and its blocks with their keys."""
         kind = docs.schema["doc"].dataType
         schema = T.StructType(
-            [T.StructField("batch", T.LongType()), T.StructField("docs", T.ArrayType(kind)), T.StructField("bytes", T.ArrayType(T.LongType())), T.StructField("size", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("text", "start", "n", "gram", "digest"))]
+            [T.StructField("batch", T.LongType()), T.StructField("docs", T.ArrayType(kind)), T.StructField("bytes", T.ArrayType(T.LongType())), T.StructField("size", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("text", "start", "n", "which", "least", "row", "id")), T.StructField("dealt", DEALT)]
         )
 
         def row(number: int, ids: list[pa.Array], texts: list[bytes]) -> pa.RecordBatch:
             raw, sizes = b"".join(texts), np.array([len(t) for t in texts], np.int64)
             start, n, gram, digest = blocks(np.frombuffer(raw, np.uint8), np.cumsum(sizes)[sizes > 0], self.h, self.gram)
+            docs = pa.concat_arrays(ids)
+            rows = np.searchsorted(np.cumsum(sizes), start, "right")
+            known = docs.cast(pa.int64()).fill_null(LAST).to_numpy()[rows]
+            keys = _Keys(np.stack([gram, digest], axis=1), 1, self.buckets, known)
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            packed = [pa.Codec("zstd").compress(raw, asbytes=True), _rising(start), _pack(n), _pack(gram), _pack(digest)]
-            return pa.RecordBatch.from_arrays([pa.array([number]), one(pa.concat_arrays(ids)), one(pa.array(sizes)), pa.array([len(raw)]), *(pa.array([x], pa.binary()) for x in packed)], names=schema.names)
+            packed = [pa.Codec("zstd").compress(raw, asbytes=True), _rising(start), _pack(n), _pack(keys.which), _pack(keys.ids), _rising(rows), _rising(known)]
+            return pa.RecordBatch.from_arrays([pa.array([number]), one(docs), one(pa.array(sizes)), pa.array([len(raw)]), *(pa.array([x], pa.binary()) for x in packed), pa.array([keys.dealt(_columns)], ARROW_DEALT)], names=schema.names)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
@@ -304,41 +345,32 @@ class Repeats:
 
         return docs.mapInArrow(run, schema)
 
-    def _block_keys(self, row: pa.RecordBatch) -> tuple[_Keys, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of a batch's blocks, and start, windows, row and id of each block."""
-        take = lambda name: row[name][0].as_py()
-        start, n = _risen(take("start")), _unpack(take("n"))
-        keys = np.stack([_unpack(take("gram"), np.uint64), _unpack(take("digest"), np.uint64)], axis=1)
-        rows = np.searchsorted(np.cumsum(row["bytes"].slice(0, 1).flatten().to_numpy()), start, "right")
-        known = row["docs"].slice(0, 1).flatten().cast(pa.int64()).fill_null(LAST).to_numpy()
-        ids = known[rows] if len(known) else np.empty(0, np.int64)
-        return _Keys(keys, keys[:, :1], self.buckets, ids), start, n, rows, ids
-
     def _mapped(self, rows: DataFrame, emit) -> DataFrame:
+        """batch and dealt: the keys that emit(row of a batch) makes."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(b.num_rows):
-                    out = list(emit(b.slice(i, 1)))
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()], strict=True)], names=["bucket", "batch", "tag", "keys", "ids"])
+                    row = b.slice(i, 1)
+                    yield pa.RecordBatch.from_arrays([row["batch"], pa.array([emit(row)], ARROW_DEALT)], names=["batch", "dealt"])
 
-        return rows.mapInArrow(run, DEALT)
+        return rows.mapInArrow(run, T.StructType([T.StructField("batch", T.LongType()), T.StructField("dealt", DEALT)]))
 
-    def _joined(self, rows: DataFrame, found: DataFrame, then, names: list[str]) -> DataFrame:
-        """batch and binary columns that then(row of a batch, its answers) gives."""
-        schema = T.StructType([T.StructField("batch", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in names)])
+    def _joined(self, rows: DataFrame, found: DataFrame, then, names: list[str], dealt: bool = False) -> DataFrame:
+        """batch, binary columns, and with dealt the next keys, as then(row of a batch, its answers) gives them."""
+        more = [T.StructField("dealt", DEALT)] if dealt else []
+        schema = T.StructType([T.StructField("batch", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in names), *more])
 
         def run(batch: pa.Table, answers: pa.Table) -> pa.Table:
             row = batch.combine_chunks().to_batches()[0]
-            return pa.table([row["batch"], *(pa.array([x], pa.binary()) for x in then(row, answers))], names=schema.names)
+            kinds = [pa.binary()] * len(names) + [ARROW_DEALT] * dealt
+            return pa.table([row["batch"], *(pa.array([x], k) for x, k in zip(then(row, answers), kinds, strict=True))], names=schema.names)
 
         return rows.groupBy("batch").cogroup(found.groupBy("of")).applyInArrow(run, schema)
 
     def contested(self, held: DataFrame) -> DataFrame:
         """For each batch: copied (start and windows of blocks that stand earlier), and of the blocks to
         be sorted: their text, and place, batch window, row and id of each window."""
-        known = held.select("batch", "docs", "bytes", "start", "n", "gram", "digest")
-        dealt = self._mapped(known, lambda row: self._block_keys(row)[0].dealt(row["batch"][0].as_py(), _columns))
 
         def answer(keys: np.ndarray, ids: np.ndarray, _: int) -> tuple[np.ndarray]:
             order, group = _sorted_groups(keys)
@@ -348,43 +380,75 @@ class Repeats:
             out[order] = 2 * (kinds[grams] > 1)
             return (out + _earlier(keys, ids),)
 
-        found = _answered(dealt, self.buckets, lambda data, _: _from_columns(data), answer, 1)
+        found = _answered(held, self.buckets, lambda data, _: _from_columns(data), answer, 1)
 
-        def then(row: pa.RecordBatch, answers: pa.Table) -> list[bytes]:
-            keys, start, n, rows, ids = self._block_keys(row)
+        def then(row: pa.RecordBatch, answers: pa.Table) -> list:
+            start, rows, ids = (_risen(row[c][0].as_py()) for c in ("start", "row", "id"))
+            n, which, least = (_unpack(row[c][0].as_py()) for c in ("n", "which", "least"))
             bits = _collected(answers, 0, "a0")
-            copy = _repeats(keys.which, ids, rows, bits & 1, keys.ids)
-            sort = np.flatnonzero(~copy & (bits[keys.which] > 1))
+            copy = _repeats(which, ids, rows, bits & 1, least)
+            sort = np.flatnonzero(~copy & (bits[which] > 1))
             data = np.frombuffer(pa.Codec("zstd").decompress(row["text"][0].as_py(), decompressed_size=row["size"][0].as_py(), asbytes=True), np.uint8)
             window = np.repeat(start[sort] - np.r_[0, np.cumsum(n[sort])[:-1]], n[sort]) + np.arange(int(n[sort].sum())) if len(sort) else np.empty(0, np.int64)
-            cover = np.zeros(len(data) + 1, np.int32)
-            np.add.at(cover, start[sort], 1)
-            np.add.at(cover, start[sort] + n[sort] + self.h - 1, -1)
-            used = np.cumsum(cover[:-1]) > 0
-            place = (np.cumsum(used) - 1)[window]
-            return [_rising(start[copy]), _pack(n[copy]), pa.Codec("zstd").compress(data[used].tobytes(), asbytes=True), _pack(np.array([used.sum()])), _rising(place), _rising(window), _rising(np.repeat(rows[sort], n[sort])), _rising(np.repeat(ids[sort], n[sort]))]
+            text, place = _cut_out(data, window, self.h)
+            block = np.repeat(np.arange(len(sort)), n[sort])
+            keys = self._halves(text, place, block)[0]
+            state = (place, window, rows[sort][block], ids[sort][block], block)
+            return [_rising(start[copy]), _pack(n[copy]), *_kept(text), *map(_rising, state), keys.dealt(_columns)]
+
+        known = held.select("batch", "size", "text", "start", "n", "which", "least", "row", "id")
+        return self._joined(known, found, then, ["copied", "copied_n", "text", "size", "place", "window", "row", "id", "block"], dealt=True)
+
+    def _halves(self, text: np.ndarray, place: np.ndarray, block: np.ndarray) -> tuple[_Keys, np.ndarray]:
+        """Keys of the least grams of both halves of the windows, and which each window has. A key counts
+        once for the windows of a block that follow one another: they all differ."""
+        if not len(place):
+            return _Keys(np.empty((0, 1), np.uint64), 1, self.buckets, np.empty(0, np.int64)), np.empty(0, np.int64)
+        h, width = gram_hashes(text, self.gram), self.h - self.gram + 1
+        half = width // 2
+        pair = _mixed(_sliding(h, half, np.minimum)[place] * BASE + _sliding(h, width - half, np.minimum)[place + half])
+        first = np.r_[True, (pair[1:] != pair[:-1]) | (block[1:] != block[:-1])]
+        keys = _Keys(pair[first][:, None], 1, self.buckets)
+        keys.ids = np.bincount(keys.which, minlength=len(keys.rows))
+        return keys, keys.which[np.cumsum(first) - 1]
+
+    def narrowed(self, rows: DataFrame) -> DataFrame:
+        """The windows whose halves' least grams another place has, with their text."""
+
+        def answer(keys: np.ndarray, times: np.ndarray, _: int) -> tuple[np.ndarray]:
+            order, group = _sorted_groups(keys)
+            out = np.empty(len(keys), np.int64)
+            out[order] = np.bincount(group, weights=times[order])[group] > 1
+            return (out,)
 
-        return self._joined(held, found, then, ["copied", "copied_n", "text", "size", "place", "window", "row", "id"])
+        found = _answered(rows, self.buckets, lambda data, _: _from_columns(data), answer, 1)
+
+        def then(row: pa.RecordBatch, answers: pa.Table) -> list[bytes]:
+            text, state = _whole(row), [_risen(row[c][0].as_py()) for c in ("place", "window", "row", "id", "block")]
+            keep = _collected(answers, 0, "a0")[self._halves(text, state[0], state[4])[1]] > 0
+            text, place = _cut_out(text, state[0][keep], self.h)
+            return [*_kept(text), _rising(place), *(_rising(x[keep]) for x in state[1:4])]
+
+        known = rows.select("batch", "text", "size", "place", "window", "row", "id", "block")
+        return self._joined(known, found, then, ["text", "size", "place", "window", "row", "id"])
 
     def _text(self, row: pa.RecordBatch) -> np.ndarray:
-        size = int(_unpack(row["size"][0].as_py())[0])
-        raw = np.frombuffer(pa.Codec("zstd").decompress(row["text"][0].as_py(), decompressed_size=size, asbytes=True), np.uint8)
-        return np.concatenate([raw, np.zeros(10 * self.s, np.uint8)])
+        return np.concatenate([_whole(row), np.zeros(10 * self.s, np.uint8)])
 
     def _sampled(self, row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of the windows, the places of classes 1 and 2 that their comparison needs, and those whose triples need names."""
         place, s = _risen(row["place"][0].as_py()), self.s
         kind = place // s % 3
-        sample = np.unique(np.concatenate([place[kind > 0], place[kind < 2] + s, place[kind != 1] + 2 * s]))
-        return place, sample, np.unique(np.concatenate([sample, sample + 3 * s, sample + 6 * s]))
+        sample = _different([place[kind > 0], place[kind < 2] + s, place[kind != 1] + 2 * s])
+        return place, sample, _different([sample, sample + 3 * s, sample + 6 * s])
 
     def _triples(self, row: pa.RecordBatch) -> _Keys:
         words = _at(self._text(row), self._sampled(row)[2], 3 * self.s)
-        return _Keys(words, _prefix(words, self.rest[1]), self.buckets)
+        return _Keys(words, self.rest[1] // 8, self.buckets)
 
     def named(self, rows: DataFrame) -> DataFrame:
         """Names of the sampled triples of letters, those of their beginnings beside them."""
-        dealt = self._mapped(rows.select("batch", "text", "size", "place"), lambda row: self._triples(row).dealt(row["batch"][0].as_py(), lambda k: _rows(k, 3 * self.s)))
+        dealt = self._mapped(rows.select("batch", "text", "size", "place"), lambda row: self._triples(row).dealt(lambda k: _rows(k, 3 * self.s)))
 
         def answer(keys: np.ndarray, _: None, bucket: int) -> tuple[np.ndarray, ...]:
             order, _ = _sorted_groups(keys)
@@ -393,45 +457,39 @@ class Repeats:
         found = _answered(dealt, self.buckets, lambda data, _: _words(data, 3 * self.s), answer, 3)
 
         def then(row: pa.RecordBatch, answers: pa.Table) -> list[bytes]:
-            keys, (_, sample, places) = self._triples(row), self._sampled(row)
+            keys, (place, sample, places) = self._triples(row), self._sampled(row)
             whole, more, less = (_collected(answers, 0, f"a{k}")[keys.which] for k in range(3))
             one, two, three = (np.searchsorted(places, sample + 3 * self.s * k) for k in range(3))
             few = _at(self._text(row), sample + 6 * self.s, 8)[:, 0] >> np.uint64(64 - 8 * self.rest[2]) if self.rest[2] else np.zeros(len(sample), np.uint64)
-            return [_columns(np.stack([whole[one], whole[two], more[three], less[three]], axis=1).astype(np.uint64)), _pack(few), *(row[n][0].as_py() for n in ("text", "size", "place", "window", "row", "id"))]
+            ids, own = np.full(len(sample), LAST), place // self.s % 3 > 0
+            ids[np.searchsorted(sample, place[own])] = _risen(row["id"][0].as_py())[own]  # only windows count
+            # a beginning before what it begins, so that sorted keys are sorted by all of them
+            suffixes = _Keys(np.stack([whole[one], whole[two], few.astype(np.int64), less[three], more[three]], axis=1).astype(np.uint64), 3, self.buckets, ids)
+            return [_pack(suffixes.which), _pack(suffixes.ids), suffixes.dealt(_columns)]
 
-        return self._joined(rows, found, then, ["names", "few", "text", "size", "place", "window", "row", "id"])
+        return self._joined(rows.select("batch", "text", "size", "place", "id"), found, then, ["which", "least"], dealt=True)
 
-    def _suffixes(self, row: pa.RecordBatch) -> _Keys:
-        """Keys of the sampled suffixes: three names. Only windows count for the least id."""
-        place, sample, _ = self._sampled(row)
-        names, few = _from_columns(row["names"][0].as_py()), _unpack(row["few"][0].as_py(), np.uint64)
-        ids = np.full(len(sample), LAST)
-        own = place[place // self.s % 3 > 0]
-        ids[np.searchsorted(sample, own)] = _risen(row["id"][0].as_py())[place // self.s % 3 > 0]
-        keys = np.concatenate([names[:, :2], few[:, None], names[:, 3:], names[:, 2:3]], axis=1)  # a beginning before what it begins
-        return _Keys(keys, keys[:, :3], self.buckets, ids)
-
-    def ranked(self, rows: DataFrame) -> DataFrame:
+    def ranked(self, rows: DataFrame, named: DataFrame) -> DataFrame:
         """Of the sampled windows, which are repeats of sampled ones; ranks by h - s and h - 2s bytes."""
-        dealt = self._mapped(rows.select("batch", "names", "few", "place", "id"), lambda row: self._suffixes(row).dealt(row["batch"][0].as_py(), _columns))
-
         def answer(keys: np.ndarray, ids: np.ndarray, bucket: int) -> tuple[np.ndarray, ...]:
             order, _ = _sorted_groups(keys)
             return _earlier(keys, ids), *(_names(order, keys[order][:, :k], bucket) for k in (4, 3))
 
-        found = _answered(dealt, self.buckets, lambda data, _: _from_columns(data), answer, 3)
+        found = _answered(named, self.buckets, lambda data, _: _from_columns(data), answer, 3)
 
         def then(row: pa.RecordBatch, answers: pa.Table) -> list[bytes]:
-            keys, (place, sample, _) = self._suffixes(row), self._sampled(row)
+            place, sample, _ = self._sampled(row)
+            every, least = _unpack(row["which"][0].as_py()), _unpack(row["least"][0].as_py())
             ids, rows_ = _risen(row["id"][0].as_py()), _risen(row["row"][0].as_py())
             earlier, longer, shorter = (_collected(answers, 0, f"a{k}") for k in range(3))
             own = np.flatnonzero(place // self.s % 3 > 0)
-            which = keys.which[np.searchsorted(sample, place[own])]
+            which = every[np.searchsorted(sample, place[own])]
             gone = np.zeros(len(place), np.int64)
-            gone[own] = _repeats(which, ids[own], rows_[own], earlier, keys.ids)
-            return [_pack(gone), _pack(longer[keys.which]), _pack(shorter[keys.which]), *(row[n][0].as_py() for n in ("text", "size", "place", "window", "row", "id"))]
+            gone[own] = _repeats(which, ids[own], rows_[own], earlier, least)
+            return [_pack(gone), _pack(longer[every]), _pack(shorter[every]), *(row[n][0].as_py() for n in ("text", "size", "place", "window", "row", "id"))]
 
-        return self._joined(rows, found, then, ["gone", "longer", "shorter", "text", "size", "place", "window", "row", "id"])
+        kept = named.select(F.col("batch").alias("b"), "which", "least")
+        return self._joined(rows.join(kept, F.col("b") == F.col("batch")).drop("b"), found, then, ["gone", "longer", "shorter", "text", "size", "place", "window", "row", "id"])
 
     def _merged(self, row: pa.RecordBatch) -> Iterator[tuple[np.ndarray, _Keys]]:
         """The two lists in which class 0 meets class 1 and class 2: their windows and their keys."""
@@ -441,14 +499,13 @@ class Repeats:
             own = np.flatnonzero(place // self.s % 3 != other)
             rank = _unpack(row[ranks][0].as_py(), np.uint64)[np.searchsorted(sample, place[own] + letters * self.s)]
             keys = np.concatenate([_at(data, place[own], letters * self.s), rank[:, None]], axis=1)
-            yield own, _Keys(keys, keys, self.buckets, ids[own])
+            yield own, _Keys(keys, keys.shape[1], self.buckets, ids[own])
 
     def repeats(self, rows: DataFrame) -> DataFrame:
         """For each batch the windows that are repeats, of those that were sorted."""
 
-        def emit(row: pa.RecordBatch) -> Iterator[tuple]:
-            for tag, (_, keys) in enumerate(self._merged(row)):
-                yield from keys.dealt(row["batch"][0].as_py(), lambda k: _rows(k, 8 * k.shape[1]), tag)
+        def emit(row: pa.RecordBatch) -> list[dict]:
+            return [x for tag, (_, keys) in enumerate(self._merged(row)) for x in keys.dealt(lambda k: _rows(k, 8 * k.shape[1]), tag)]
 
         dealt = self._mapped(rows.select("batch", "longer", "shorter", "text", "size", "place", "id"), emit)
         widths = [8 * (-(-k * self.s // 8) + 1) for k in (1, 2)]
@@ -477,9 +534,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of = Repeats(min_bytes, gram, batch_bytes, math.ceil(max(1, size) / bucket_bytes))
     held = written(of.held(rows))
     contested = written(of.contested(held))
-    named = written(of.named(contested))
-    ranked = written(of.ranked(named))
-    forget(named)
+    narrowed = written(of.narrowed(contested))
+    named = written(of.named(narrowed))
+    ranked = written(of.ranked(narrowed, named))
+    forget(narrowed, named)
     found = contested.select(F.col("batch").alias("b"), "copied", "copied_n").join(written(of.repeats(ranked)).withColumnRenamed("batch", "of"), F.col("b") == F.col("of")).drop("b")
     kind = rows.schema["doc"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("kept", T.BinaryType())])
@@ -507,7 +565,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         kept = [raw[e - n : e][~out[e - n : e]].tobytes() for e, n in zip(ends.tolist(), sizes.tolist())]
         return pa.table([row["docs"].slice(0, 1).flatten(), pa.array(sizes), pa.ListArray.from_arrays(pa.array(lists, pa.int32()), spans), pa.array(kept, pa.binary())], names=schema.names)
 
-    return held.groupBy("batch").cogroup(found.groupBy("of")).applyInArrow(run, schema)
+    return held.select("batch", "docs", "bytes", "size", "text").groupBy("batch").cogroup(found.groupBy("of")).applyInArrow(run, schema)
 
 
 def op12_suffixes(spark, sf_dir: str) -> DataFrame:
