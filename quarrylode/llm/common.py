@@ -38,6 +38,15 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, buckets: int, column: str) -> DataFrame:
+    """df as a table in the shared folder, in buckets by a column: groups and joins by it shuffle only
+    the other side. Its name is known to the session, its files are like those of written()."""
+    name = f"quarrylode_{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}"
+    df.write.format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing reads any more."""
     for df in tables:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylode.llm.common import forget, table, written
+from quarrylode.llm.common import bucketed, forget, table, written
 
 #: Bytes of a repeat, of a gram, of a batch of texts, of text for each bucket, and windows looked at together.
 H, GRAM, BATCH, BUCKET, STEP = 100, 24, 8 << 20, 16 << 20, 1 << 18
@@ -200,7 +200,7 @@ def _unique(keys: np.ndarray, buckets: int, lead: int) -> tuple[np.ndarray, np.n
     new = _changes(keys[order])
     first, number = order[new], np.cumsum(new) - 1
     by = (bucket[first] >> np.uint64(33)).astype(np.int64) % buckets
-    again = np.lexsort([keys[first, 0], by])  # in each bucket rows of like beginnings are together
+    again = np.lexsort([*keys[first].T[::-1], by])  # sorted rows of a bucket share their beginnings, which compresses them
     place = np.empty(len(again), np.int64)
     place[again] = np.arange(len(again))
     which = np.empty(len(order), np.int64)
@@ -532,7 +532,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     of = Repeats(min_bytes, gram, batch_bytes, math.ceil(max(1, size) / bucket_bytes))
-    held = written(of.held(rows))
+    # buckets by batch: the texts are joined twice with what is found, and never shuffled
+    held = bucketed(of.held(rows), max(of.buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "batch")
     contested = written(of.contested(held))
     narrowed = written(of.narrowed(contested))
     named = written(of.named(narrowed))
