@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,14 @@ def bucketed(df: DataFrame, buckets: int, column: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
+def swept(df: DataFrame) -> DataFrame:
+    """df, a table of written(), after shuffle files of what made it are let go: Spark's cleaner removes
+    them once the driver has collected its garbage, which it may not do for half an hour by itself."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing reads any more."""
     for df in tables:

@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylode.llm.common import bucketed, forget, table, written
+from quarrylode.llm.common import bucketed, forget, swept, table, written
 
 #: Bytes of a repeat, of a gram, of a batch of texts, of text for each bucket, and windows looked at together.
 H, GRAM, BATCH, BUCKET, STEP = 100, 24, 8 << 20, 16 << 20, 1 << 18
+#: Parts of the windows, by their grams, that are sorted one after another: the disk holds one of them.
+PARTS = 2
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
 #: Ids that are null come after all others.
@@ -399,21 +401,21 @@ class Repeats:
         known = held.select("batch", "size", "text", "start", "n", "which", "least", "row", "id")
         return self._joined(known, found, then, ["copied", "copied_n", "text", "size", "place", "window", "row", "id", "block"], dealt=True)
 
-    def _halves(self, text: np.ndarray, place: np.ndarray, block: np.ndarray) -> tuple[_Keys, np.ndarray]:
-        """Keys of the least grams of both halves of the windows, and which each window has. A key counts
+    def _halves(self, text: np.ndarray, place: np.ndarray, block: np.ndarray) -> tuple[_Keys, np.ndarray, np.ndarray]:
+        """Keys of the least grams of both halves of the windows, which each window has, and their hash. A key counts
         once for the windows of a block that follow one another: they all differ."""
         if not len(place):
-            return _Keys(np.empty((0, 1), np.uint64), 1, self.buckets, np.empty(0, np.int64)), np.empty(0, np.int64)
+            return _Keys(np.empty((0, 1), np.uint64), 1, self.buckets, np.empty(0, np.int64)), np.empty(0, np.int64), np.empty(0, np.uint64)
         h, width = gram_hashes(text, self.gram), self.h - self.gram + 1
         half = width // 2
         pair = _mixed(_sliding(h, half, np.minimum)[place] * BASE + _sliding(h, width - half, np.minimum)[place + half])
         first = np.r_[True, (pair[1:] != pair[:-1]) | (block[1:] != block[:-1])]
         keys = _Keys(pair[first][:, None], 1, self.buckets)
         keys.ids = np.bincount(keys.which, minlength=len(keys.rows))
-        return keys, keys.which[np.cumsum(first) - 1]
+        return keys, keys.which[np.cumsum(first) - 1], pair
 
-    def narrowed(self, rows: DataFrame) -> DataFrame:
-        """The windows whose halves' least grams another place has, with their text."""
+    def narrowed(self, rows: DataFrame, part: int, parts: int) -> DataFrame:
+        """Of one part of the windows, those whose halves' least grams another place has, with their text."""
 
         def answer(keys: np.ndarray, times: np.ndarray, _: int) -> tuple[np.ndarray]:
             order, group = _sorted_groups(keys)
@@ -425,7 +427,8 @@ class Repeats:
 
         def then(row: pa.RecordBatch, answers: pa.Table) -> list[bytes]:
             text, state = _whole(row), [_risen(row[c][0].as_py()) for c in ("place", "window", "row", "id", "block")]
-            keep = _collected(answers, 0, "a0")[self._halves(text, state[0], state[4])[1]] > 0
+            _, which, pair = self._halves(text, state[0], state[4])
+            keep = (_collected(answers, 0, "a0")[which] > 0) & ((pair >> np.uint64(7)) % np.uint64(parts) == part)
             text, place = _cut_out(text, state[0][keep], self.h)
             return [*_kept(text), _rising(place), *(_rising(x[keep]) for x in state[1:4])]
 
@@ -521,7 +524,7 @@ class Repeats:
         return self._joined(rows, found, then, ["windows"])
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_bytes: int = H, gram: int = GRAM, batch_bytes: int = BATCH, bucket_bytes: int = BUCKET) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_bytes: int = H, gram: int = GRAM, batch_bytes: int = BATCH, bucket_bytes: int = BUCKET, parts: int = PARTS) -> DataFrame:
     """doc_id, n_bytes, spans (start and length of what goes, in bytes) and kept (the other bytes).
 
     A byte goes if a string of min_bytes that covers it also starts in a row of a smaller id, or
@@ -534,19 +537,23 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of = Repeats(min_bytes, gram, batch_bytes, math.ceil(max(1, size) / bucket_bytes))
     # buckets by batch: the texts are joined twice with what is found, and never shuffled
     held = bucketed(of.held(rows), max(of.buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "batch")
-    contested = written(of.contested(held))
-    narrowed = written(of.narrowed(contested))
-    named = written(of.named(narrowed))
-    ranked = written(of.ranked(narrowed, named))
-    forget(narrowed, named)
-    found = contested.select(F.col("batch").alias("b"), "copied", "copied_n").join(written(of.repeats(ranked)).withColumnRenamed("batch", "of"), F.col("b") == F.col("of")).drop("b")
+    contested = swept(written(of.contested(held)))
+    found = contested.select(F.col("batch").alias("of"), "copied", "copied_n")
+    for part in range(parts):
+        narrowed = swept(written(of.narrowed(contested, part, parts)))
+        named = swept(written(of.named(narrowed)))
+        ranked = swept(written(of.ranked(narrowed, named)))
+        gone = swept(written(of.repeats(ranked)))
+        forget(narrowed, named, ranked)
+        found = found.join(gone.select(F.col("batch").alias("of"), F.col("windows").alias(f"windows{part}")), "of")
     kind = rows.schema["doc"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("kept", T.BinaryType())])
 
     def run(batch: pa.Table, gone: pa.Table) -> pa.Table:
         row, known = batch.combine_chunks().to_batches()[0], gone.combine_chunks().to_batches()[0]
         data = pa.Codec("zstd").decompress(row["text"][0].as_py(), decompressed_size=row["size"][0].as_py(), asbytes=True)
-        start = np.concatenate([_risen(known["copied"][0].as_py()), windows := _risen(known["windows"][0].as_py())])
+        windows = np.concatenate([_risen(known[f"windows{part}"][0].as_py()) for part in range(parts)])
+        start = np.concatenate([_risen(known["copied"][0].as_py()), windows])
         length = np.concatenate([_unpack(known["copied_n"][0].as_py()), np.ones(len(windows), np.int64)]) + min_bytes - 1
         cover = np.zeros(len(data) + 1, np.int32)
         np.add.at(cover, start, 1)
