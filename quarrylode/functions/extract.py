@@ -139,8 +139,10 @@ def _points(values: Column, element: str, method: str, confidence: float) -> Col
 
 
 def first_each(points: Column, key=lambda p: p["value"]) -> Column:
-    """Data points without those whose key came before."""
-    return F.filter(points, lambda p, i: F.array_position(F.transform(points, key), key(p)) == i + 1)
+    """Data points without those whose key came before; n of them are sorted, not compared in pairs."""
+    placed = F.array_sort(F.transform(points, lambda p, i: F.struct(key(p).alias("k"), i.alias("i"), p.alias("p"))))
+    firsts = F.transform(F.array(placed), lambda s: F.filter(s, lambda x, j: (j == 0) | ~F.get(s, j - 1)["k"].eqNullSafe(x["k"])))[0]
+    return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["p"].alias("p")))), lambda x: x["p"])
 
 
 def page_phones(html: Column) -> Column:
@@ -159,8 +161,8 @@ def page_socials(html: Column) -> Column:
     anchors = lambda part, e, m, c: F.filter(_points(part, e, m, c), lambda p: _own_page(p["value"]))
     og = all_of(html, r"(?is)<meta\b[^>]*\bproperty\s*=\s*[\"']og:[^\"']*[\"'][^>]*\bcontent\s*=\s*[\"']([^\"']+)[\"']", 1)
     points = F.concat(anchors(F.coalesce(anchors_of(footer_of(html)), nothing()), "footer a[href]", "footer_anchor", 0.95), anchors(anchors_of(html), "a[href]", "anchor_tag", 0.90), _points(og, "meta[property^=og:]", "meta_og", 0.85))
-    known = F.filter(points, lambda p: social_platform(p["value"]).isNotNull())
-    return F.map_from_entries(F.transform(first_each(known, lambda p: social_platform(p["value"])), lambda p: F.struct(social_platform(p["value"]), p)))
+    named = F.filter(F.transform(points, lambda p: F.struct(social_platform(p["value"]).alias("platform"), p.alias("p"))), lambda x: x["platform"].isNotNull())
+    return F.map_from_entries(first_each(named, lambda x: x["platform"]))
 
 
 def _own_page(url: Column) -> Column:

@@ -114,6 +114,11 @@ def page_of(df: DataFrame, page: int, size: int, *order) -> DataFrame:
     return df.orderBy(*order).offset(page * size).limit(size)
 
 
+def in_language(c: Column | str, locale: str = "UNICODE") -> Column:
+    """A key that orders texts as people do: by letters first, then accents, then small before capital."""
+    return F.collate(c, locale)
+
+
 def sorted_entries(m: Column) -> Column:
     """A map's entries, largest value first, ties by key."""
     return F.array_sort(F.map_entries(m), lambda a, b: F.when(a["value"] != b["value"], F.when(a["value"] > b["value"], -1).otherwise(1)).when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
@@ -125,5 +130,6 @@ def grouped_provenance(records: DataFrame) -> DataFrame:
     return records.groupBy("company_id", "field_name").agg(F.array_sort(F.collect_list(each)).alias("points"))
 
 
-def all_healthy(parts: DataFrame, ok: str = "ok") -> DataFrame:
-    return parts.agg(F.coalesce(F.bool_and(ok), F.lit(False)).alias("healthy"))
+def all_healthy(parts: DataFrame, ok: str = "ok", by: tuple[str, ...] = ()) -> DataFrame:
+    """Whether all parts are, of the whole table or of each group."""
+    return parts.groupBy(*by).agg(F.coalesce(F.bool_and(ok), F.lit(False)).alias("healthy"))

@@ -302,7 +302,7 @@ def scrapes(spark, d) -> DataFrame:
 
 
 _PHONE_LIST = S.phone_list("text")
-_EMAIL_LIST = "list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}'), lambda x: lower(x)))"
+_EMAIL_LIST = S.ordered_distinct("list_transform(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}'), lambda x: lower(x))")
 _SCRAPES = f"s as (select 'd' || doc_id || '.com' as domain, doc_id, text, lang, source, n_chars, doc_id % 10 > 0 as success, {_PHONE_LIST} as phones, {_EMAIL_LIST} as emails from documents)"
 
 
@@ -530,13 +530,12 @@ def weighted_confidence(spark, d):
 @query("select event_type, count(*)::bigint as n, round(sum(value), 4) as total from events group by 1")
 def stream_refresh(spark, d):
     """A file stream over the events table refreshes an aggregate; its result is read back."""
-    import tempfile
     import uuid
 
+    from quarrylode.operators.stored import shared_dir
     from quarrylode.streaming.refresh import refresh_on_change
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarrylode-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = t(spark, d, "events").schema
     total = lambda e: e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     refresh_on_change(spark, d, schema, total, f"{at}/out", f"{at}/log", once=True, pattern="events.parquet").awaitTermination()

@@ -181,17 +181,20 @@ def latest_run(spark, d):
     return A.latest(runs, 1, "o").drop("o")
 
 
-@query("select o_orderkey, o_orderpriority as field_name from orders where o_custkey = 7")
+@query("select o_custkey as company_id, count(*)::bigint as n, string_agg(o_orderpriority || ':' || o_orderkey, '|' order by o_orderpriority, o_orderkey) as listed from orders join customer on c_custkey = o_custkey where c_mktsegment = 'BUILDING' group by 1")
 def provenance_of_company(spark, d):
-    """A point read: the filter reaches the scan."""
-    return t(spark, d, "orders").filter("o_custkey = 7").orderBy("o_orderpriority").select("o_orderkey", F.col("o_orderpriority").alias("field_name"))
+    """The provenance records of every company of one kind, by field."""
+    companies = t(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("domain"), F.col("c_custkey").alias("id"))
+    records = t(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("domain"), F.col("o_orderpriority").alias("field_name"), "o_orderkey")
+    known = etl.attach_ids(records, companies)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("field_name", "o_orderkey"))), lambda r: F.concat_ws(":", r["field_name"], r["o_orderkey"]))
+    return known.groupBy("company_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(listed, "|").alias("listed"))
 
 
 @query("select l_returnflag as part, bool_and(l_quantity > 0) as healthy from lineitem group by 1")
 def health(spark, d):
     parts = t(spark, d, "lineitem").select("l_returnflag", (F.col("l_quantity") > 0).alias("ok"))
-    every = [A.all_healthy(parts.filter(F.col("l_returnflag") == f)).select(F.lit(f).alias("part"), "healthy") for f in ("A", "N", "R")]
-    return every[0].unionByName(every[1]).unionByName(every[2])
+    return A.all_healthy(parts.withColumnRenamed("l_returnflag", "part"), by=("part",))
 
 
 @query("select p_partkey, array_to_string(list_filter(string_split(lower(p_name || ' Services of Caf' || 'e ltd'), ' '), lambda w: w not in ('inc', 'llc', 'ltd', 'corp', 'co', 'pty', 'limited', 'holding', 'holdings', 'company', 'services', 'service')), ' ') as tokens from part")

@@ -23,6 +23,11 @@ def url(c: str) -> str:
     return f"case when length({host}) >= 4 and contains({host}, '.') and {host} not in ({generic}) then {host} end"
 
 
+def ordered_distinct(items: str) -> str:
+    """Each item of a list once, in the order of their first places (list_distinct keeps no order)."""
+    return f"(select list_filter(m, lambda x, i: list_position(m, x) = i) from (select {items} as m))"
+
+
 def phone(c: str) -> str:
     cleaned = cut(cut(f"trim({c})", r"\(\+", "+"), "[()]")
     kept = cut(cleaned, "[^0-9+]")
@@ -33,7 +38,7 @@ def phone(c: str) -> str:
 def phone_list(c: str) -> str:
     raw = f"list_concat(regexp_extract_all({c}, '(?:\\+?1[-.\\s]?)?\\(?\\d{{3}}\\)?[-.\\s]?\\d{{3}}[-.\\s]?\\d{{4}}'), regexp_extract_all({c}, '\\+1\\d{{10}}'))"
     digits = f"list_transform({raw}, lambda x: regexp_replace(x, '[^0-9]', '', 'g'))"
-    return f"list_distinct(list_transform(list_filter({digits}, lambda x: regexp_matches(x, '^1?{NANP}$')), lambda x: '+1' || right(x, 10)))"
+    return ordered_distinct(f"list_transform(list_filter({digits}, lambda x: regexp_matches(x, '^1?{NANP}$')), lambda x: '+1' || right(x, 10))")
 
 
 def facebook(c: str) -> str:

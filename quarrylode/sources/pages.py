@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: (status, html) of a url; raises on network failure.
-Fetch = Callable[[str], tuple[int, str | None]]
+#: (status, html) or (status, html, content type) of a url; raises on network failure.
+Fetch = Callable[[str], tuple]
 FETCHED = "url string, status int, html string, error string, time_ms long, attempts int"
 
 
@@ -23,8 +24,10 @@ def retried(fetch: Fetch, url: str, retries: int = 1, pause_s: float = 1.0) -> d
     began, out = time.monotonic(), {}
     for attempt in range(retries + 1):
         try:
-            status, html = fetch(url)
+            status, html, *kind = fetch(url)
             error = None if status < 400 else f"HTTP {status}"
+            if error is None and kind and not ("text/html" in (kind[0] or "") or "application/xhtml" in (kind[0] or "")):
+                error = f"Non-HTML content: {kind[0] or ''}"
         except Exception as e:  # the row carries what went wrong
             status, html, error = None, None, str(e)
         out = {"url": url, "status": status, "html": html if error is None else None, "error": error, "time_ms": int((time.monotonic() - began) * 1000), "attempts": attempt + 1}
@@ -35,19 +38,57 @@ def retried(fetch: Fetch, url: str, retries: int = 1, pause_s: float = 1.0) -> d
     return out
 
 
-def fetch_pages(urls: DataFrame, fetch: Fetch, url: str = "url", partitions: int | None = None, retries: int = 1, pause_s: float = 1.0) -> DataFrame:
-    """urls with status, html, error, time_ms and attempts, one row for each distinct url."""
+def fetch_pages(urls: DataFrame, fetch: Fetch, url: str = "url", partitions: int | None = None, retries: int = 1, pause_s: float = 1.0, parallel: int = 1, deadline_s: float | None = None) -> DataFrame:
+    """urls with status, html, error, time_ms and attempts, one row for each distinct url.
+
+    A task asks for so many urls in parallel. A url that has not answered, retries included, by the
+    deadline after its turn began gets a row that says so; what it still does is left behind."""
+
+    def asked_for(u: str, pool: ThreadPoolExecutor) -> dict:
+        late = {"url": u, "status": None, "html": None, "error": f"no answer within {deadline_s} s", "time_ms": int((deadline_s or 0) * 1000), "attempts": None}
+        try:
+            return pool.submit(retried, fetch, u, retries, pause_s).result(deadline_s)
+        except TimeoutError:
+            return late
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns, inner = ThreadPoolExecutor(parallel), ThreadPoolExecutor(1024)
         for b in batches:
-            rows = [retried(fetch, u, retries, pause_s) for u in b.column(0).to_pylist()]
+            if deadline_s is None:
+                rows = list(turns.map(lambda u: retried(fetch, u, retries, pause_s), b.column(0).to_pylist()))
+            else:
+                rows = list(turns.map(lambda u: asked_for(u, inner), b.column(0).to_pylist()))
             kinds = [("url", pa.string()), ("status", pa.int32()), ("html", pa.string()), ("error", pa.string()), ("time_ms", pa.int64()), ("attempts", pa.int32())]
             yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
+        for pool in (turns, inner):
+            pool.shutdown(wait=False, cancel_futures=True)
 
     asked = urls.select(F.col(url).alias("url")).filter("url is not null").distinct()
     return (asked.repartition(partitions) if partitions else asked).mapInArrow(run, FETCHED)
 
 
+def robots_verdicts(urls: DataFrame, fetch: Fetch, agent: str, url: str = "url", known: DataFrame | None = None, deadline_s: float | None = 3.0, parallel: int = 8) -> tuple[DataFrame, DataFrame]:
+    """urls with allowed and crawl_delay, and the robots texts (domain, text) for the next run's known.
+
+    Every domain's robots.txt is asked for once, however many urls it has, and not at all if known has
+    the domain; one that fails or is not there allows everything. Urls without a host are allowed. The
+    texts are stored before they are joined, so the join asks nobody again."""
+    from quarrylode.operators.crawl import path_allowed, robots_rules
+    from quarrylode.operators.stored import stored
+
+    named = urls.withColumn("_host", F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))))
+    domains = named.select(F.col("_host").alias("domain")).filter("domain is not null").distinct()
+    new = domains.join(known.select("domain"), "domain", "left_anti") if known is not None else domains
+    asked = new.select("domain", F.concat(F.lit("https://"), F.col("domain"), F.lit("/robots.txt")).alias("url"))
+    got = fetch_pages(asked, lambda u: fetch(u)[:2], retries=0, parallel=parallel, deadline_s=deadline_s)
+    texts = stored(got.select(F.regexp_extract("url", "^https://(.*)/robots\\.txt$", 1).alias("domain"), F.col("html").alias("text")))
+    every = texts if known is None else texts.unionByName(known.select("domain", "text"))
+    rules = every.select(F.col("domain").alias("_host"), robots_rules(F.col("text"), agent).alias("_rules"))
+    path = F.coalesce(F.nullif(F.try_parse_url(F.col(url), F.lit("PATH")), F.lit("")), F.lit("/"))
+    found = named.join(rules, "_host", "left").withColumns({"allowed": F.coalesce(path_allowed(path, F.col("_rules")), F.lit(True)), "crawl_delay": F.col("_rules.crawl_delay")})
+    return found.drop("_host", "_rules"), every
+
+
 def rendered_only(pages: DataFrame, html: str = "html") -> DataFrame:
     """Pages of a browser that loaded: status under 400 and 50 characters of text or more."""
     from quarrylode.functions.extract import body_of, text_of
