@@ -16,7 +16,6 @@ joined back to the batches.
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from collections.abc import Iterator
 from pathlib import Path
@@ -32,7 +31,7 @@ from quarrylode.llm.common import table, written
 
 TOKENIZERS = "/opt/tokenizers"
 #: Bytes of text in a batch (a document is never cut) and pieces that are encoded at once.
-BATCH, SLICE = 16 << 20, 1 << 13
+BATCH, SLICE = 8 << 20, 1 << 12
 #: Bits of an id pair that hold the B id.
 B_BITS = 32
 
@@ -57,10 +56,9 @@ class Bytes:
 
         self.model = Tokenizer.from_str(source.decode())
         self.model.encode_special_tokens = True
-        known, byte = json.loads(source), byte_level()
-        special = {x["id"] for x in known["added_tokens"]}
-        self.bytes = [b""] * (max(known["model"]["vocab"].values()) + 1)
-        for name, i in known["model"]["vocab"].items():
+        byte, special, known = byte_level(), self.model.get_added_tokens_decoder(), self.model.get_vocab()
+        self.bytes = [b""] * (max(known.values()) + 1)
+        for name, i in known.items():
             self.bytes[i] = name.encode() if i in special else bytes(byte[c] for c in name)
 
     def encode(self, pieces: list[str]) -> list[list[int]]:
@@ -173,9 +171,8 @@ def encoded(docs: DataFrame, kind: T.DataType, tokenizers: str, batch_bytes: int
         seqs = [np.empty(0, np.int32) if bad[s].any() else s for s in seqs]
         parts = np.array([len(s) for s in seqs], np.int32)
         sums = [[int(per[s].sum()) for s in seqs] for per in (found.n_a, found.n_b, found.n_groups)]
-        texts = [";".join([found.groups[i] for i in s.tolist()]) for s in seqs]
-        if digest:
-            texts = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
+        told = (lambda t: hashlib.sha256(t.encode()).hexdigest() if t else "") if digest else str
+        texts = [told(";".join([found.groups[i] for i in s.tolist()])) for s in seqs]
         seq = np.concatenate([*seqs, np.empty(0, np.int32)])
         codes, which = np.unique(found.codes, return_inverse=True)
         times = np.bincount(seq, minlength=len(pieces))
