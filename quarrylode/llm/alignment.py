@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from quarrylode.llm.common import table, written
 
 TOKENIZERS = "/opt/tokenizers"
 #: Bytes of text in a batch (a document is never cut) and pieces that are encoded at once.
-BATCH, SLICE = 8 << 20, 1 << 12
+BATCH, SLICE = 8 << 20, 1 << 13
 #: Bits of an id pair that hold the B id.
 B_BITS = 32
 
@@ -79,6 +81,16 @@ class Pieces:
         return self.model.encode([p[1:] for p in pieces], num_threads=1)
 
 
+def models_of(sources: list[bytes]) -> tuple[Bytes, Pieces]:
+    """Both tokenizers, loaded once in the life of a Python worker: made anew for every task they would
+    leave its memory in pieces."""
+    held = sys.modules.setdefault("quarrylode_models", SimpleNamespace(known={}))
+    key = tuple(hashlib.sha256(s).digest() for s in sources)
+    if key not in held.known:
+        held.known = {key: (Bytes(sources[0]), Pieces(sources[1]))}
+    return held.known[key]
+
+
 def cut(text: str) -> list[str]:
     """Pieces of a text that begins with a space, each of which begins with one: between two
     characters that are not white space, a space begins a piece."""
@@ -184,7 +196,7 @@ def encoded(docs: DataFrame, kind: T.DataType, tokenizers: str, batch_bytes: int
         return pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = Bytes(sources.value[0]), Pieces(sources.value[1])
+        models = models_of(sources.value)
         number = TaskContext.get().partitionId() << 32
         held, seqs, pieces, size = [], [], {}, 0
         name = pieces.setdefault
