@@ -13,6 +13,7 @@ from quarrylode.operators.stored import shared_dir
 from quarrylode.operators.versioned import VersionedTable
 from quarrylode.plans.queries import _SCRAPES, query, scrapes, t
 from quarrylode.sources import pages as P
+from quarrylode.sources.crawl_source import crawl_source, frontier, remaining
 
 #: Quiet time between bursts of a user's events, and how late they may come; events are hours apart.
 QUIET_H, LATE_H = 12, 24
@@ -115,3 +116,40 @@ def robots_once(spark, d):
     """Verdicts of robots files on all page urls; each domain's file is asked for once."""
     found, _ = P.robots_verdicts(t(spark, d, "pages").select("page_id", "url"), _robots, "quarrybot")
     return found.select("page_id", "allowed", "crawl_delay")
+
+
+def _answer(url: str) -> tuple:
+    """A stand-in for the network: what a url gets is told by its length."""
+    kind = len(url) % 5
+    if kind == 0:
+        raise OSError("unreachable")
+    return {1: (404, None, None), 2: (503, "busy", "text/html"), 3: (200, "%PDF", "application/pdf")}.get(kind, (200, f"<p>{len(url)}</p>", "text/html; charset=utf-8"))
+
+
+_ANSWERS = """case length(url) % 5 when 1 then 404 when 2 then 503 when 3 then 200 when 4 then 200 end::int as status, case when length(url) % 5 = 4 then '<p>' || length(url) || '</p>' end as html,
+case length(url) % 5 when 0 then 'unreachable' when 1 then 'HTTP 404' when 2 then 'HTTP 503' when 3 then 'Non-HTML content: application/pdf' end as error, case when length(url) % 5 in (0, 2) then 2 else 1 end::int as attempts"""
+
+
+def _crawl(spark, path: str):
+    spark.dataSource.register(crawl_source(_answer))
+    return spark.read.format("crawl").option("pause_s", "0").load(path)
+
+
+@query(f"select distinct url, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) as domain, {_ANSWERS} from pages")
+def crawl_outcomes(spark, d):
+    """All page urls through the crawl source, over a stand-in for the network."""
+    path = frontier(t(spark, d, "pages"), _folder(spark), 8)
+    return _crawl(spark, path).drop("time_ms")
+
+
+@query("select case length(url) % 5 when 0 then 'network' when 1 then '4xx' when 2 then '5xx' when 3 then 'not html' else 'page' end as outcome, count(distinct url)::bigint as n from pages group by 1")
+def crawl_resumed(spark, d):
+    """A crawl that stopped half way, resumed from what it got: the outcomes of one whole run."""
+    whole = frontier(t(spark, d, "pages"), _folder(spark), 8)
+    begun = frontier(t(spark, d, "pages").filter("page_id % 2 = 0"), _folder(spark), 8)
+    done, rest = _folder(spark), _folder(spark)
+    _crawl(spark, begun).write.parquet(done)
+    _crawl(spark, remaining(spark, whole, spark.read.parquet(done), _folder(spark), 8)).write.parquet(rest)
+    rows = spark.read.parquet(done).unionByName(spark.read.parquet(rest))
+    outcome = F.when(F.col("html").isNotNull(), "page").when(F.col("status").isNull(), "network").when(F.col("status") >= 500, "5xx").when(F.col("status") >= 400, "4xx").otherwise("not html")
+    return rows.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylode.functions import extract as X
 from quarrylode.sources import pages as P
+from quarrylode.sources.crawl_source import crawl_source, frontier
 
 
 def test_outcomes_by_kind(spark):
@@ -61,3 +62,28 @@ def test_first_each_keeps_order_and_first_points(spark):
     data = spark.createDataFrame([([("b", 1), ("a", 2), ("B", 3), ("a", 4), (None, 5), (None, 6)],), ([],), (None,)], "xs array<struct<value:string,n:int>>")
     got = [r[0] if r[0] is None else [x.n for x in r[0]] for r in data.select(X.first_each(F.col("xs"), lambda p: F.lower(p["value"]))).collect()]
     assert got == [[1, 2, 5], [], None]
+
+
+def test_crawl_source_asks_only_for_the_domains_of_a_filter_and_keeps_its_deadline(spark, tmp_path):
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def fetch(url):
+        (log / f"{time.time_ns()}").write_text(url)
+        if url.endswith("slow"):
+            time.sleep(4)
+        return 200, "<p>", "text/html"
+
+    urls = spark.createDataFrame([(f"https://{h}/{i}",) for h in ("a.org", "b.org", "C.org") for i in range(5)] + [("https://a.org/slow",), ("https://a.org/0",), (None,)], "url string")
+    path = frontier(urls, str(tmp_path / "frontier"), 3)
+    spark.dataSource.register(crawl_source(fetch, "own_crawl"))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    read = lambda: spark.read.format("own_crawl").options(deadline_s="1", parallel="4").load(path)
+    got = {r.url: r.error for r in read().filter("domain in ('a.org', 'c.org') and status is not null or domain = 'a.org'").collect()}
+    assert len(got) == 11 and got["https://a.org/slow"] == "no answer within 1 s"
+    for f in log.iterdir():
+        f.unlink()
+    assert read().filter(F.col("domain") == "c.org").count() == 5
+    assert sorted(f.read_text() for f in log.iterdir()) == [f"https://C.org/{i}" for i in range(5)]
+    empty = frontier(urls.limit(0), str(tmp_path / "empty"), 2)
+    assert spark.read.format("own_crawl").load(empty).count() == 0
