@@ -76,6 +76,23 @@ def success_rate(done: Column, total: Column) -> Column:
     return F.when(total > 0, 100 * done / total).otherwise(F.lit(0.0))
 
 
+def coverage(runs: DataFrame, order: str = "started_at") -> DataFrame:
+    """What the latest run covered: its counts, the per cent crawled to one decimal (0 for an empty
+    run), its seconds to one decimal and the mean milliseconds of a domain."""
+    total, done, ms = F.col("total_domains"), F.col("successful"), F.coalesce("total_time_ms", F.lit(0))
+    share, each = F.coalesce(percent(done, total), F.lit(0.0)), F.when(total > 0, F.round(ms / total)).otherwise(0)
+    return latest(runs, 1, order).select(order, "total_domains", F.col("successful").alias("crawled"), F.col("failed"), share.alias("coverage_pct"), F.round(ms / 1000, 1).alias("total_crawl_time_s"), each.cast("long").alias("avg_crawl_time_ms"))
+
+
+def probes(tables: dict[str, DataFrame]) -> DataFrame:
+    """part, n_rows, ok: which of a few named tables answer a count and have rows. No column is read."""
+    each = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("part"), "n_rows", (F.col("n_rows") > 0).alias("ok")) for name, df in tables.items()]
+    out = each[0]
+    for df in each[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 def latest(runs: DataFrame, n: int, order: str = "started_at") -> DataFrame:
     return runs.orderBy(F.desc(order)).limit(n)
 

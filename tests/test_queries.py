@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quarrylode.plans import live_queries, site_queries  # noqa: F401
+from quarrylode.plans import live_queries, report_queries, site_queries  # noqa: F401
 from quarrylode.plans.queries import ORACLES, QUERIES
 
 
