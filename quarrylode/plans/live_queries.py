@@ -13,7 +13,7 @@ from quarrylode.operators.stored import shared_dir
 from quarrylode.operators.versioned import VersionedTable
 from quarrylode.plans.queries import _SCRAPES, query, scrapes, t
 from quarrylode.sources import pages as P
-from quarrylode.sources.crawl_source import crawl_source, frontier, remaining
+from quarrylode.sources.crawl_source import frontier, register_crawl, remaining
 
 #: Quiet time between bursts of a user's events, and how late they may come; events are hours apart.
 QUIET_H, LATE_H = 12, 24
@@ -131,7 +131,7 @@ case length(url) % 5 when 0 then 'unreachable' when 1 then 'HTTP 404' when 2 the
 
 
 def _crawl(spark, path: str):
-    spark.dataSource.register(crawl_source(_answer))
+    register_crawl(spark, _answer)
     return spark.read.format("crawl").option("pause_s", "0").load(path)
 
 

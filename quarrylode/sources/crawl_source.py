@@ -15,7 +15,7 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from quarrylode.sources.pages import Fetch, retried
@@ -82,7 +82,7 @@ class CrawlReader(DataSourceReader):
 
 
 def crawl_source(fetch: Fetch, name: str = "crawl") -> type[DataSource]:
-    """The source for a fetch function, to be given to spark.dataSource.register()."""
+    """The source for a fetch function, as register_crawl() registers it."""
 
     class CrawlSource(DataSource):
         @classmethod
@@ -98,6 +98,13 @@ def crawl_source(fetch: Fetch, name: str = "crawl") -> type[DataSource]:
     return CrawlSource
 
 
+def register_crawl(spark: SparkSession, fetch: Fetch, name: str = "crawl") -> None:
+    """Makes spark.read.format(name) a crawl with this fetch function. Spark pushes filters down to
+    sources in Python only if the session says so, and refuses sources that take them if not."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(crawl_source(fetch, name))
+
+
 def frontier(urls: DataFrame, path: str, files: int, url: str = "url") -> str:
     """Writes each url once to so many files, dealt out by the whole url, so that a domain of very many
     urls is in all of them. The folder, for load()."""

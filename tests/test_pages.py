@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylode.functions import extract as X
 from quarrylode.sources import pages as P
-from quarrylode.sources.crawl_source import crawl_source, frontier
+from quarrylode.sources.crawl_source import frontier, register_crawl
 
 
 def test_outcomes_by_kind(spark):
@@ -76,8 +76,7 @@ def test_crawl_source_asks_only_for_the_domains_of_a_filter_and_keeps_its_deadli
 
     urls = spark.createDataFrame([(f"https://{h}/{i}",) for h in ("a.org", "b.org", "C.org") for i in range(5)] + [("https://a.org/slow",), ("https://a.org/0",), (None,)], "url string")
     path = frontier(urls, str(tmp_path / "frontier"), 3)
-    spark.dataSource.register(crawl_source(fetch, "own_crawl"))
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    register_crawl(spark, fetch, "own_crawl")
     read = lambda: spark.read.format("own_crawl").options(deadline_s="1", parallel="4").load(path)
     got = {r.url: r.error for r in read().filter("domain in ('a.org', 'c.org') and status is not null or domain = 'a.org'").collect()}
     assert len(got) == 11 and got["https://a.org/slow"] == "no answer within 1 s"
