@@ -13,6 +13,7 @@ from quarrylode.functions.normalize import normalize_company_name, normalize_fac
 from quarrylode.functions.quality import agreement, match_quality, squash, weighted_confidence
 from quarrylode.operators.stored import stored
 from quarrylode.operators.textindex import TextIndex, expand_fuzzy, grams, name_tokens
+from quarrylode.operators.topsearch import contenders
 
 #: Weights of the name fields, boosts of the clauses, thresholds of the two searches.
 FIELDS = {"commercial_name": 3.0, "legal_name": 2.0, "all_names": 1.0}
@@ -58,24 +59,23 @@ def best(candidates: DataFrame) -> DataFrame:
 
 
 def name_index(companies: DataFrame) -> TextIndex:
-    """The index of the name fields, written once: four searches read it."""
+    """The index of the name fields, written once: all searches read it."""
     tokens = {f: name_tokens(F.array_join(f, " ") if f == "all_names" else F.col(f)) for f in FIELDS}
-    index = TextIndex.build(companies, "domain", tokens | {"grams": grams(F.col("commercial_name"))})
-    return TextIndex(stored(index.postings), stored(index.terms))
+    return TextIndex.build(companies, "domain", tokens | {"grams": grams(F.col("commercial_name"))}).written()
 
 
-def name_relevance(keys: DataFrame, index: TextIndex, companies: DataFrame, prefix: int, boost: float, exact: bool) -> DataFrame:
-    """input_id, domain, score of the name clauses: best field of fuzzy terms, grams, whole name."""
+def name_terms(keys: DataFrame, index: TextIndex, prefix: int, boost: float) -> DataFrame:
+    """qid, field, token, weight of the name clauses: fuzzy terms of each field, grams."""
     named = keys.filter("name is not null").select(F.col("input_id").alias("qid"), "name")
     lists = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(w * boost).alias("weight")) for f, w in FIELDS.items()])
     terms = named.select("qid", F.explode(F.array_distinct(name_tokens(F.col("name")))).alias("token")).select("qid", "token", F.inline(lists))
-    fields = index.scores(expand_fuzzy(terms, index.terms, prefix)).groupBy("qid", "key").agg(F.max("score").alias("score"))
     runs = named.select("qid", F.lit("grams").alias("field"), F.explode(F.array_distinct(grams(F.col("name")))).alias("token"), F.lit(BOOST["grams"]).alias("weight"))
-    clauses = fields.unionByName(index.scores(runs).select("qid", "key", "score"))
-    if exact:
-        whole = companies.select(F.lower("commercial_name").alias("name"), F.col("domain").alias("key"))
-        clauses = clauses.unionByName(named.join(whole, "name").select("qid", "key", F.lit(BOOST["exact"]).alias("score")))
-    return clauses.groupBy(F.col("qid").alias("input_id"), F.col("key").alias("domain")).agg(F.sum("score").alias("score"))
+    return expand_fuzzy(terms, index.terms, prefix).unionByName(runs)
+
+
+def _contenders(terms: DataFrame, index: TextIndex, extra: DataFrame) -> DataFrame:
+    found = contenders(terms, index, {"name": tuple(FIELDS), "grams": ("grams",)}, extra)
+    return found.select(F.col("qid").alias("input_id"), F.col("key").alias("domain"), "score")
 
 
 def top_one(scored: DataFrame) -> DataFrame:
@@ -92,8 +92,8 @@ def by_composite(keys: DataFrame, companies: DataFrame, index: TextIndex) -> Dat
     total = companies.agg(F.count(F.lit(1)).alias("total"))  # one row
     owners = phones.join(spread, "phone").crossJoin(F.broadcast(total))
     idf = F.ln(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    hits = several.join(owners, "phone").select("input_id", F.col("key").alias("domain"), (F.lit(BOOST["phone"]) * idf).alias("score"))
-    scored = hits.unionByName(name_relevance(several, index, companies, 0, BOOST["name"], False)).groupBy("input_id", "domain").agg(F.sum("score").alias("score"))
+    hits = several.join(owners, "phone").select(F.col("input_id").alias("qid"), "key", (F.lit(BOOST["phone"]) * idf).alias("score"))
+    scored = _contenders(name_terms(several, index, 0, BOOST["name"]), index, hits)
     found = top_one(scored).join(several.select("input_id", "phone", "name"), "input_id").join(companies.select("domain", "phone_numbers"), "domain")
     same = F.coalesce(F.array_contains("phone_numbers", F.col("phone")), F.lit(False))
     fields = F.array_compact(F.array(F.when(same, F.lit("phone")), F.when(F.col("name").isNotNull(), F.lit("name"))))
@@ -105,7 +105,9 @@ def by_composite(keys: DataFrame, companies: DataFrame, index: TextIndex) -> Dat
 def by_name(keys: DataFrame, companies: DataFrame, index: TextIndex) -> DataFrame:
     """Name as the only usable field."""
     alone = keys.filter((F.size("usable") == 1) & F.col("name").isNotNull())
-    found = top_one(name_relevance(alone, index, companies, 1, 1.0, True))
+    whole = companies.select(F.lower("commercial_name").alias("name"), F.col("domain").alias("key"))
+    same = alone.join(whole, "name").select(F.col("input_id").alias("qid"), "key", F.lit(BOOST["exact"]).alias("score"))
+    found = top_one(_contenders(name_terms(alone, index, 1, 1.0), index, same))
     c = squash(F.col("score"))
     return found.filter(c > NAME_ONLY).select(*_candidate(5, F.array(F.lit("name")), F.create_map(F.lit("company_name"), c), "fuzzy_name"))
 
@@ -119,7 +121,7 @@ def match_companies(inputs: DataFrame, companies: DataFrame, fuzzy: bool = True)
     exact = best(by_domain(keys, companies).unionByName(by_phone(keys, companies)).unionByName(by_facebook(keys, companies)))
     found = exact
     if fuzzy:
-        left = keys.join(exact.select("input_id"), "input_id", "left_anti")
+        left = stored(keys.join(exact.select("input_id"), "input_id", "left_anti"))
         index = name_index(companies)
         found = exact.unionByName(best(by_composite(left, companies, index).unionByName(by_name(left, companies, index))))
     out = keys.select("input_id").join(found, "input_id", "left")

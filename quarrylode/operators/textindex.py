@@ -7,12 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylode.operators.stored import stored
+
 #: Words that the name analyzer drops.
 STOP = ("inc", "llc", "ltd", "corp", "co", "pty", "limited", "holding", "holdings", "company", "services", "service")
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
 #: Letters from which a word meets others by its pieces, and their number.
 LONG, PIECES = 40, 5
+#: Postings of a term that give a search its first good guess.
+CHAMPIONS = 16
 ACCENTS, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 
@@ -30,12 +34,22 @@ def grams(c: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.transform(words, lambda w: F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.length(w)), lambda n: cut(w, n)))))
 
 
+def _champions(postings: DataFrame) -> DataFrame:
+    """By buckets, so that no task sorts or holds the postings of a common term."""
+    bucket = F.pmod(F.xxhash64("key"), F.lit(CHAMPIONS))
+    best = postings.groupBy("field", "token", bucket.alias("b")).agg(F.max(F.struct("impact", "key")).alias("p"))
+    return best.select("field", "token", "p.key", "p.impact")
+
+
 @dataclass
 class TextIndex:
-    """postings(field, token, key, tf, dl) and terms(field, token, idf, avgdl)."""
+    """postings(field, token, key, impact), terms(field, token, df, idf, top) and, for each term, its
+    champions(field, token, key, impact): the postings that weigh most, one of each of CHAMPIONS hash
+    buckets. A term adds weight x idf x impact to a score, and top is the highest impact it has."""
 
     postings: DataFrame
     terms: DataFrame
+    champions: DataFrame
 
     @staticmethod
     def build(docs: DataFrame, key: str, fields: dict[str, Column]) -> TextIndex:
@@ -44,17 +58,24 @@ class TextIndex:
         each = docs.select(F.col(key).alias("key"), F.inline(listed))
         each = each.withColumn("dl", F.size("tokens")).filter("dl > 0")
         stats = each.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-        postings = each.select("field", "key", "dl", F.explode("tokens").alias("token")).groupBy("field", "token", "key", "dl").agg(F.count(F.lit(1)).alias("tf"))
-        seen = postings.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"))
+        counted = each.select("field", "key", "dl", F.explode("tokens").alias("token")).groupBy("field", "token", "key", "dl").agg(F.count(F.lit(1)).alias("tf"))
         # stats has one row for each field of the index
-        terms = seen.join(F.broadcast(stats), "field").select("field", "token", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
-        return TextIndex(postings, terms)
+        impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        postings = counted.join(F.broadcast(stats.drop("n")), "field").select("field", "token", "key", impact.alias("impact"))
+        seen = postings.groupBy("field", "token").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("top"))
+        idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        terms = seen.join(F.broadcast(stats.drop("avgdl")), "field").select("field", "token", "df", idf.alias("idf"), "top")
+        return TextIndex(postings, terms, _champions(postings))
+
+    def written(self) -> TextIndex:
+        """The index in stored tables, for searches that read it more than once."""
+        postings = stored(self.postings)
+        return TextIndex(postings, stored(self.terms), stored(_champions(postings)))
 
     def scores(self, queries: DataFrame) -> DataFrame:
         """queries(qid, field, token, weight) -> qid, field, key, score: weighted BM25 sums."""
-        tf, norm = F.col("tf"), 1 - B + B * F.col("dl") / F.col("avgdl")
+        part = F.col("weight") * F.col("idf") * F.col("impact")
         known = queries.join(self.terms, ["field", "token"])
-        part = F.col("weight") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * norm)
         return known.join(self.postings, ["field", "token"]).groupBy("qid", "field", "key").agg(F.sum(part).alias("score"))
 
 
