@@ -13,6 +13,7 @@ from quarrylode.operators.stored import shared_dir
 from quarrylode.operators.versioned import VersionedTable
 from quarrylode.plans.queries import _SCRAPES, query, scrapes, t
 from quarrylode.sources import pages as P
+from quarrylode.sources import refine
 from quarrylode.sources.crawl_source import frontier, register_crawl, remaining
 
 #: Quiet time between bursts of a user's events, and how late they may come; events are hours apart.
@@ -153,3 +154,39 @@ def crawl_resumed(spark, d):
     rows = spark.read.parquet(done).unionByName(spark.read.parquet(rest))
     outcome = F.when(F.col("html").isNotNull(), "page").when(F.col("status").isNull(), "network").when(F.col("status") >= 500, "5xx").when(F.col("status") >= 400, "4xx").otherwise("not html")
     return rows.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+class _Busy(Exception):
+    def __init__(self, status: int):
+        super().__init__(f"status {status}")
+        self.status = status
+
+
+class _Model:
+    """A stand-in for a language model: what it does is told by the length of the page it is shown,
+    and it refuses some pages twice before it answers."""
+
+    def __init__(self):
+        self.last, self.times = "", 0
+
+    def __call__(self, question: str) -> str:
+        self.times = self.times + 1 if question == self.last else 1
+        self.last = question
+        n = len(question.split("\nPage:\n", 1)[1])
+        if n % 5 == 0 or (n % 5 == 1 and self.times < 3):
+            raise _Busy(400 if n % 5 == 0 else 429 if n % 2 else 503)
+        return "Sorry" if n % 5 == 2 else f'```json\n{{"company_name": "C{n}", "emails": ["{n}@c.com", 5]}}\n```'
+
+
+@query("""with p as (select page_id, length(left(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script\\b[^>]*>.*?</script>', '', 'gis'), '<style\\b[^>]*>.*?</style>', '', 'gis'), '<noscript\\b[^>]*>.*?</noscript>', '', 'gis'), 60000)) as n from pages)
+select page_id, case n % 5 when 0 then 'failed' when 2 then 'not json' else 'answered' end as outcome, case n % 5 when 1 then 3 else 1 end::int as calls, case when n % 5 not in (0, 2) then 'C' || n end as company, case when n % 5 not in (0, 2) then n || '@c.com' end as email from p""")
+def refinement_calls(spark, d):
+    """Every page put to a stand-in for a language model, refusals tried again; its answers read."""
+    pages = t(spark, d, "pages")
+    prompts = pages.select("page_id", refine.prompt(F.col("url"), F.col("html"), F.struct(F.col("url").alias("url"))).alias("prompt"))
+    at = _folder(spark)
+    refine.ask(prompts, _Model(), "page_id", pause_s=0.0).write.parquet(at)
+    done = spark.read.parquet(at)
+    read = P.refinements(done.filter("outcome = 'answered'").select("page_id", "answer"))
+    fields = read.select("page_id", F.col("company_name").alias("company"), F.array_join("emails", ",").alias("email"))
+    return done.select("page_id", "outcome", "calls").join(fields, "page_id", "left")
