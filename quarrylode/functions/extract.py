@@ -8,8 +8,9 @@ joins neighbouring elements without a space.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylode.functions.normalize import blank_to_null, nanp_e164, strip
@@ -145,9 +146,38 @@ def first_each(points: Column, key=lambda p: p["value"]) -> Column:
     return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["p"].alias("p")))), lambda x: x["p"])
 
 
-def page_phones(html: Column) -> Column:
+@dataclass
+class Page:
+    """A page and the parts of it that several fields read."""
+
+    html: Column
+    body: Column
+    text: Column
+    footer: Column
+    footer_text: Column
+    items: Column
+    companies: Column
+
+    @staticmethod
+    def of(html: Column | Page) -> Page:
+        if isinstance(html, Page):
+            return html
+        body, footer, items = body_of(html), footer_of(html), json_ld_items(html)
+        return Page(html, body, text_of(body), footer, text_of(footer), items, companies_of(items))
+
+    @staticmethod
+    def cut(pages: DataFrame, html: str = "html") -> tuple[DataFrame, Page]:
+        """pages with the parts as columns, which are cut once however many fields read them."""
+        c = lambda n: f"_page_{n}"
+        first = pages.withColumns({c("body"): body_of(F.col(html)), c("footer"): footer_of(F.col(html)), c("items"): json_ld_items(F.col(html))})
+        then = first.withColumns({c("text"): text_of(F.col(c("body"))), c("footer_text"): text_of(F.col(c("footer"))), c("companies"): companies_of(F.col(c("items")))})
+        return then, Page(F.col(html), *[F.col(c(n)) for n in ("body", "text", "footer", "footer_text", "items", "companies")])
+
+
+def page_phones(html: Column | Page) -> Column:
     """Data points of phones: links first, then the footer's text, then all text; each once."""
-    return first_each(F.concat(_points(tel_links(html), "a[href^=tel:]", "tel_link", 0.95), _points(F.coalesce(phones_in(text_of(footer_of(html))), nothing()), "footer_text", "footer_regex", 0.88), _points(phones_in(text_of(body_of(html))), "body_text", "regex", 0.80)))
+    p = Page.of(html)
+    return first_each(F.concat(_points(tel_links(p.html), "a[href^=tel:]", "tel_link", 0.95), _points(F.coalesce(phones_in(p.footer_text), nothing()), "footer_text", "footer_regex", 0.88), _points(phones_in(p.text), "body_text", "regex", 0.80)))
 
 
 def social_platform(url: Column) -> Column:
@@ -156,11 +186,13 @@ def social_platform(url: Column) -> Column:
     return F.try_element_at(hosts, F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))))
 
 
-def page_socials(html: Column) -> Column:
+def page_socials(html: Column | Page) -> Column:
     """map platform -> data point: footer links, then all links, then og: contents; first wins."""
+    page = Page.of(html)
+    html = page.html
     anchors = lambda part, e, m, c: F.filter(_points(part, e, m, c), lambda p: _own_page(p["value"]))
     og = all_of(html, r"(?is)<meta\b[^>]*\bproperty\s*=\s*[\"']og:[^\"']*[\"'][^>]*\bcontent\s*=\s*[\"']([^\"']+)[\"']", 1)
-    points = F.concat(anchors(F.coalesce(anchors_of(footer_of(html)), nothing()), "footer a[href]", "footer_anchor", 0.95), anchors(anchors_of(html), "a[href]", "anchor_tag", 0.90), _points(og, "meta[property^=og:]", "meta_og", 0.85))
+    points = F.concat(anchors(F.coalesce(anchors_of(page.footer), nothing()), "footer a[href]", "footer_anchor", 0.95), anchors(anchors_of(html), "a[href]", "anchor_tag", 0.90), _points(og, "meta[property^=og:]", "meta_og", 0.85))
     named = F.filter(F.transform(points, lambda p: F.struct(social_platform(p["value"]).alias("platform"), p.alias("p"))), lambda x: x["platform"].isNotNull())
     return F.map_from_entries(first_each(named, lambda x: x["platform"]))
 
@@ -182,11 +214,12 @@ def tidy(points: Column) -> Column:
     return first_each(F.filter(clean, lambda p: F.length(p["value"]) > 5), lambda p: F.lower(p["value"]))
 
 
-def page_addresses(html: Column) -> Column:
+def page_addresses(html: Column | Page) -> Column:
     """Data points of addresses: structured data, <address> elements, then text."""
-    tagged = F.filter(F.transform(all_of(html, r"(?is)<address\b[^>]*>(.*?)</address>", 1), lambda a: strip(F.regexp_replace(text_of(a), r"\s+", " "))), lambda a: (F.length(a) > 10) & (F.length(a) < 300))
-    structured = F.flatten(F.transform(json_ld_items(html), lambda i: _json_addresses(i, 5)))
-    return tidy(F.concat(_points(structured, "script[type=application/ld+json]", "json_ld", 0.95), _points(tagged, "address", "html_address_tag", 0.85), addresses_in(text_of(body_of(html)))))
+    page = Page.of(html)
+    tagged = F.filter(F.transform(all_of(page.html, r"(?is)<address\b[^>]*>(.*?)</address>", 1), lambda a: strip(F.regexp_replace(text_of(a), r"\s+", " "))), lambda a: (F.length(a) > 10) & (F.length(a) < 300))
+    structured = F.flatten(F.transform(page.items, lambda i: _json_addresses(i, 5)))
+    return tidy(F.concat(_points(structured, "script[type=application/ld+json]", "json_ld", 0.95), _points(tagged, "address", "html_address_tag", 0.85), addresses_in(page.text)))
 
 
 def _variants(v: Column, path: str) -> Column:
@@ -212,10 +245,15 @@ def _json_addresses(item: Column, parts: int) -> Column:
     return F.array_compact(F.transform(found, lambda a: F.when(F.startswith(F.schema_of_variant(a), F.lit("OBJECT")), joined(a)).otherwise(F.try_variant_get(a, "$", "string"))))
 
 
-def json_ld_organisation(html: Column, current_year: int) -> Column:
-    """struct(name, description, phones, founded, addresses, emails, same_as) of a page's companies."""
+def companies_of(items: Column) -> Column:
+    """The items of structured data whose type is a company's."""
     kinds = lambda i: F.transform(_variants(i, '$["@type"]'), lambda t: F.try_variant_get(t, "$", "string"))
-    orgs = F.filter(json_ld_items(html), lambda i: F.arrays_overlap(kinds(i), F.array(*[F.lit(o) for o in ORGANISATIONS])))
+    return F.filter(items, lambda i: F.arrays_overlap(kinds(i), F.array(*[F.lit(o) for o in ORGANISATIONS])))
+
+
+def json_ld_organisation(html: Column | Page, current_year: int) -> Column:
+    """struct(name, description, phones, founded, addresses, emails, same_as) of a page's companies."""
+    orgs = Page.of(html).companies
     first = lambda path: F.try_element_at(F.array_compact(F.transform(orgs, lambda i: _string(i, path))), F.lit(1))
     strings = lambda path: F.flatten(F.transform(orgs, lambda i: F.array_compact(F.transform(_variants(i, path), lambda v: F.try_variant_get(v, "$", "string")))))
     year = F.transform(orgs, lambda i: F.try_to_number(F.left(_string(i, "$.foundingDate"), F.lit(4)), F.lit("9999")).cast("int"))
@@ -271,17 +309,20 @@ def accepted_emails(found: Column) -> Column:
     return F.array_distinct(F.filter(clean, lambda e: F.contains(e, F.lit("@")) & ~is_junk_email(e)))
 
 
-def raw_emails(html: Column, limit: int | None = None) -> Column:
-    """All e-mail strings of a fragment: links, encoded ones, text (the first so many), hidden."""
+def raw_emails(html: Column, limit: int | None = None, shown: Column | None = None) -> Column:
+    """All e-mail strings of a fragment: links, encoded ones, text (the first so many), hidden. Its
+    text is made here if it is not at hand."""
+    shown = text_of(html) if shown is None else shown
     links = F.filter(anchors_of(html), lambda h: F.startswith(h, F.lit("mailto:")))
     links = F.transform(links, lambda h: F.regexp_replace(F.regexp_replace(h, r"(?i)^mailto:\s*", ""), r"(?s)\?.*\z", ""))
     coded = F.array_compact(F.transform(all_of(html, r"(?is)\bdata-cfemail\s*=\s*[\"']([^\"']*)[\"']", 1), decode_cf_email))
-    text = all_of(text_of(html), EMAIL)
-    return F.concat(links, coded, F.slice(text, 1, limit) if limit else text, hidden_emails(text_of(html)))
+    text = all_of(shown, EMAIL)
+    return F.concat(links, coded, F.slice(text, 1, limit) if limit else text, hidden_emails(shown))
 
 
-def page_emails(html: Column) -> Column:
-    return accepted_emails(F.concat(raw_emails(body_of(html), 5), json_ld_organisation(html, 9999)["emails"], F.coalesce(raw_emails(footer_of(html)), nothing())))
+def page_emails(html: Column | Page) -> Column:
+    p = Page.of(html)
+    return accepted_emails(F.concat(raw_emails(p.body, 5, p.text), json_ld_organisation(p, 9999)["emails"], F.coalesce(raw_emails(p.footer, shown=p.footer_text), nothing())))
 
 
 def year_founded(text: Column, current_year: int) -> Column:
@@ -299,21 +340,22 @@ def company_name_of(title: Column) -> Column:
     return blank_to_null(F.regexp_replace(title, r"(?i)\s*[|–—-]\s*(home|welcome|official|main).*$", ""))
 
 
-def page_fields(html: Column, current_year: int) -> dict[str, Column]:
-    """All that a page says about its company, by field."""
-    org, text = json_ld_organisation(html, current_year), text_of(body_of(html))
+def page_fields(html: Column | Page, current_year: int) -> dict[str, Column]:
+    """All that a page says about its company, by field; over a table, see Page.cut."""
+    page = Page.of(html)
+    org, html = json_ld_organisation(page, current_year), page.html
     described = F.coalesce(blank_to_null(meta_of(html, "name", "description")), blank_to_null(meta_of(html, "property", "og:description")), org["description"])
     return {
         "company_name": F.coalesce(org["name"], blank_to_null(meta_of(html, "property", "og:site_name")), company_name_of(title_of(html))),
-        "phone_numbers": page_phones(html),
+        "phone_numbers": page_phones(page),
         "jsonld_phones": org["phones"],
-        "emails": page_emails(html),
-        "addresses": page_addresses(html),
-        "social_links": page_socials(html),
+        "emails": page_emails(page),
+        "addresses": page_addresses(page),
+        "social_links": page_socials(page),
         "same_as": org["same_as"],
         "short_description": F.substring(described, 1, 500),
         "technologies": technologies_in(html),
         "logo_url": F.coalesce(link_of(html, "icon"), link_of(html, "shortcut icon"), meta_of(html, "property", "og:image")),
         "industry_keywords": keywords(meta_of(html, "name", "keywords")),
-        "year_founded": F.coalesce(org["founded"], year_founded(text, current_year)),
+        "year_founded": F.coalesce(org["founded"], year_founded(page.text, current_year)),
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylode.functions.extract import page_fields
+from quarrylode.functions.extract import Page, page_fields
 from quarrylode.functions.normalize import strip
 
 
@@ -117,7 +117,8 @@ def assemble(pages: DataFrame, current_year: int, most: int = 3) -> DataFrame:
     # pages beyond the most that any crawl reads are dropped before anything is read from them
     place = Window.partitionBy("domain").orderBy("rank")
     pages = pages.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= most + 1)
-    read = pages.select("domain", "url", "rank", *[c.alias(n) for n, c in page_fields(F.col("html"), current_year).items()])
+    parts, page = Page.cut(pages)
+    read = parts.select("domain", "url", "rank", *[c.alias(n) for n, c in page_fields(page, current_year).items()])
     flags = {f"_{c}": F.size(c) > 0 for c in ("phone_numbers", "emails", "addresses")}
     read = pages_needed(read.withColumns(flags), "domain", "rank", tuple(flags), most).drop(*flags)
     own = ("company_name", "short_description", "logo_url", "year_founded", "technologies", "industry_keywords")

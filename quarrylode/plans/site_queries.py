@@ -79,8 +79,9 @@ coalesce(nullif(regexp_extract(html, 'rel="icon" href="([^"]*)"', 1), ''), nulli
 (select string_agg(value, ',' order by value) from ph where ph.c_custkey = b.c_custkey) as phones, (select string_agg(value, ',' order by value) from em where em.c_custkey = b.c_custkey) as emails from b""")
 def page_assembly(spark, d):
     """All that a page says about its company, in one projection."""
-    fields = X.page_fields(F.col("html"), YEAR)
-    read = sites(spark, d).select("c_custkey", *[fields[c].alias(c) for c in ("company_name", "short_description", "logo_url", "phone_numbers", "emails")])
+    pages, page = X.Page.cut(sites(spark, d))
+    fields = X.page_fields(page, YEAR)
+    read = pages.select("c_custkey", *[fields[c].alias(c) for c in ("company_name", "short_description", "logo_url", "phone_numbers", "emails")])
     return read.select("c_custkey", "company_name", F.col("short_description").alias("description"), "logo_url", F.array_join(F.array_sort(F.transform("phone_numbers", lambda p: p["value"])), ",").alias("phones"), F.array_join(F.array_sort("emails"), ",").alias("emails"))
 
 
