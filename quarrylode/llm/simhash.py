@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylode.llm.common import table, written
+from quarrylode.llm.common import forget, table, written
 from quarrylode.llm.components import connected_components
 
 WORDS, SEED, SEGMENTS = 3, 42, 16
@@ -27,8 +27,10 @@ CROWD = 32
 SHINGLE, SIMILAR = 5, (4, 5)
 #: Texts sampled to tell frequent shingles, and how many of those are known to every task.
 ORDER_SAMPLE, ORDERED = 20_000, 100_000
-#: Rounds that compare a crowded cell with one of its own, and sides of the blocks of what is left.
+#: Members of a crowded cell that all of it is compared with, and sides of the blocks of what is left.
 ROUNDS, BLOCK = 3, 512
+#: Sizes in one band differ by less than this factor; it is over 1 / SIMILAR, so similar sizes have bands next to each other.
+BAND = 1.26
 #: Ids of at most so many rows are broadcast, so that texts need not be shuffled for them.
 BROADCAST_ROWS = 1_000_000
 #: Hashes whose bits are counted at once.
@@ -203,18 +205,25 @@ def _sizes_fit(a: Column, b: Column) -> Column:
     return SIMILAR[1] * F.least(a, b) >= SIMILAR[0] * F.greatest(a, b)
 
 
+def _places_fit(na: Column, ia: Column, nb: Column, ib: Column) -> Column:
+    """Whether sets of na and nb shingles can be similar if the first one in common is at places ia
+    and ib of their prefixes. Similar sets pass at their first common shingle, if not at others."""
+    return sum(SIMILAR) * F.least(na - ia, nb - ib) >= SIMILAR[0] * (na + nb)
+
+
 def sketches_fit(links: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) whose sets can be similar as far as sizes and sketches tell."""
+    """Links (a, b) whose sets can be similar as far as sizes and sketches tell, and hashes ta, tb of
+    their texts."""
 
     @F.arrow_udf("long")
     def apart(x: pa.Array, y: pa.Array) -> pa.Array:
         counts = [np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, 64).astype(np.int64) for v in (x, y)]
         return pa.array(np.abs(counts[0] - counts[1]).sum(1))
 
-    side = lambda k: classes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    side = lambda k: classes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"), F.col("text_hash").alias(f"t{k}"))
     both = links.join(side("a"), "a").join(side("b"), "b").filter(_sizes_fit(F.col("na"), F.col("nb")))
     may = (sum(SIMILAR)) * F.col("apart") <= (SIMILAR[1] - SIMILAR[0]) * (F.col("na") + F.col("nb"))
-    return both.select("a", "b", "na", "nb", apart("sa", "sb").alias("apart")).filter(may).select("a", "b")
+    return both.select("a", "b", "ta", "tb", "na", "nb", apart("sa", "sb").alias("apart")).filter(may).select("a", "b", "ta", "tb")
 
 
 def verified(links: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -228,52 +237,62 @@ def verified(links: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
         return pa.array([shingle_set(t.as_py()).view(np.int64) for t in texts], pa.list_(pa.int64()))
 
     links = written(sketches_fit(links, classes))
-    ids = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
-    linked = _small(written(ids.join(classes.select("id", "text_hash"), "id")))
-    sets = written(texts.join(linked, "text_hash").dropDuplicates(["id"]).select("id", of(F.col("text")).alias("s")))
-    both = links.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    ends = links.select(F.col("a").alias("id"), F.col("ta").alias("text_hash")).unionByName(links.select(F.col("b").alias("id"), F.col("tb").alias("text_hash")))
+    linked = written(ends.distinct())
+    sets = written(texts.join(_small(linked), "text_hash").dropDuplicates(["id"]).select("id", of(F.col("text")).alias("s")))
+    both = links.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return written(both.filter(SIMILAR[1] * common >= SIMILAR[0] * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+    out = written(both.filter(SIMILAR[1] * common >= SIMILAR[0] * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+    forget(links, linked, sets)
+    return out
 
 
 def _across(crowds: DataFrame) -> DataFrame:
-    """(a, b): all pairs of a cell from different groups, dealt in blocks of BLOCK by BLOCK."""
-    blocks = F.ceil(F.col("m") / BLOCK).cast("long")
-    own, all_ = F.pmod(F.xxhash64("id"), blocks), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    left = crowds.select("cell", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), own.alias("i"), all_.alias("j"))
-    right = crowds.select("cell", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), own.alias("j"), all_.alias("i"))
-    return left.join(right, ["cell", "i", "j"]).filter("a < b and ra <> rb").filter(_sizes_fit(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    """(a, b): pairs of a cell from different groups whose sizes and places in the prefix let them be
+    similar. A band of sizes meets itself and its neighbours only, in blocks of BLOCK by BLOCK."""
+    crowds = crowds.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND)))).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("long"))
+    own, all_ = F.pmod(F.xxhash64("id"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    side = lambda k, i, j, band: crowds.withColumn("band", band).select("cell", "band", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("at").alias(f"i{k}"), F.col("root").alias(f"r{k}"), own.alias(i), all_.alias(j))
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    met = side("a", "i", "j", F.col("band")).join(side("b", "j", "i", near), ["cell", "band", "i", "j"]).filter("a < b and ra <> rb")
+    return met.filter(_sizes_fit(F.col("na"), F.col("nb")) & _places_fit(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"))).select("a", "b").distinct()
 
 
 def similar_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): links that connect all classes (id, text_hash, n, sketch, prefix) similar to each other.
 
     Similar ones meet in the cell of a shingle of their prefixes. In cells of up to CROWD all are
-    compared. In larger ones each is compared with one of the cell, another in each round, as long
-    as links do not connect them; what ROUNDS rounds leave unconnected is compared pair by pair.
+    compared. In larger ones that links do not connect, all are compared with ROUNDS of the cell, and
+    what is still unconnected pair by pair. Groups that are known go on as one link for each member.
     """
-    filed = classes.select("id", "n", F.explode("prefix").alias("cell"))
+    filed = classes.select("id", "n", F.posexplode("prefix").alias("at", "cell"))
     filed = filed.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("cell")))
     met = written(filed.filter("m > 1"))
-    few = met.filter(F.col("m") <= CROWD).groupBy("cell").agg(F.collect_list(F.struct("id", "n")).alias("all"))
-    pairs = few.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", lambda b: (b["id"] > F.col("a.id")) & _sizes_fit(b["n"], F.col("a.n")))).alias("b"))
+    few = met.filter(F.col("m") <= CROWD).groupBy("cell").agg(F.collect_list(F.struct("id", "n", "at")).alias("all"))
+    fits = lambda b: (b["id"] > F.col("a.id")) & _sizes_fit(b["n"], F.col("a.n")) & _places_fit(F.col("a.n"), F.col("a.at"), b["n"], b["at"])
+    pairs = few.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", fits)).alias("b"))
     found = verified(pairs.select("a.id", "b.id").toDF("a", "b").distinct(), classes, texts)
-    crowds = written(met.filter(F.col("m") > CROWD))
-    for k in range(ROUNDS + 1):
-        if crowds.isEmpty():
-            break
-        roots = connected_components(found)
-        named = crowds.select("cell", "id", "n", "m").join(roots, crowds["id"] == roots["node"], "left").select("cell", "id", "n", "m", F.coalesce("root", "id").alias("root"))
-        named = written(named)
-        cells = named.groupBy("cell").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "root")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high"))
-        cells = _small(written(cells.filter("low < high").select("cell", "p")))
-        crowds = written(named.join(cells, "cell").select("cell", "id", "n", "m", "root", F.col("p.id").alias("pivot"), F.col("p.root").alias("proot")))
-        if k < ROUNDS:
-            tried = crowds.filter("root <> proot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        else:
-            tried = _across(crowds)
-        found = written(found.unionByName(verified(tried, classes, texts)))
-    return found
+    crowds = met.filter(F.col("m") > CROWD)
+    if crowds.isEmpty():
+        return found
+    if ROUNDS:
+        found, open_ = _grouped(crowds, found)
+        chosen = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "root")) for k in range(ROUNDS)]
+        pivots = _small(written(open_.groupBy("cell").agg(F.array(*chosen).alias("pivots"))))
+        tried = open_.join(pivots, "cell").select("id", "root", F.explode("pivots").alias("p")).filter("root <> p.root")
+        tried = tried.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
+        found = found.unionByName(verified(tried, classes, texts))
+    found, open_ = _grouped(crowds, found)
+    return found.unionByName(verified(_across(open_), classes, texts))
+
+
+def _grouped(crowds: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of every class to the root of its group, and the rows, with their roots, of crowded
+    cells that have more than one group."""
+    roots = written(connected_components(links))
+    named = written(crowds.join(roots, crowds["id"] == roots["node"], "left").select("cell", "id", "n", "at", "m", F.coalesce("root", "id").alias("root")))
+    cells = named.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("cell")
+    return roots.filter("node <> root").toDF("a", "b"), named.join(_small(written(cells)), "cell")
 
 
 def alike_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
