@@ -134,3 +134,10 @@ def test_small_aggregates(spark):
     assert A.all_healthy(empty).first()[0] is False and A.match_summary(empty).first()[:] == (0, 0, 0.0, 0.0)
     b = [A.bucket(F.lit(c)) for c in (0.71, 0.7, 0.41, 0.2, None)]
     assert list(one(spark, "", *b)) == ["high", "medium", "medium", "none", "none"]
+
+
+def test_a_coded_address_reads_its_code_once(spark):
+    rows = spark.createDataFrame([(CODED.upper(),), (None,), ("42",), (CODED[:-1],), ("42" + CODED[4:6] * 4,), ("6b" * 3,)], "code string")
+    found = rows.select(X.decode_cf_email(F.trim("code")).alias("x"))
+    assert [r["x"] for r in found.collect()] == ["joe@acme.org", None, None, None, None, None]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("trim(code") == 1  # not once for each letter, and again for each letter of those
