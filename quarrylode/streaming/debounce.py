@@ -4,52 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-BURST = "key string, first_change timestamp, last_change timestamp, n_changes long"
-_STATE = "first long, last long, n long"
+_BURST = "key string, first_ms long, last_ms long, n_changes long"
+_STATE = "first array<long>, last array<long>, n array<long>"
 
 
 class Debouncer(StatefulProcessor):
     """Open bursts of a key as (first, last, n) in milliseconds, kept merged: a change belongs to a
-    burst if less than the quiet time lies between them. Each burst has a timer at its last change
-    plus the quiet time, which a further change moves; when it fires the burst is told and dropped."""
+    burst if less than the quiet time lies between them. A key has one timer, at the last change of its
+    earliest burst plus the quiet time, which a further change of that burst moves; when it fires, all
+    bursts that the watermark has passed are told and dropped, and the timer moves on to the next."""
 
     def __init__(self, quiet_ms: int):
         self.quiet = quiet_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", _STATE)
+        self.open = handle.getValueState("open", _STATE)
 
-    def _kept(self, bursts: list[tuple[int, int, int]]) -> None:
-        self.open.put([(int(a), int(b), int(n)) for a, b, n in bursts]) if bursts else self.open.clear()
+    def _held(self) -> list[tuple[int, int, int]]:
+        held = self.open.get()
+        return list(zip(*held)) if held else []
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in self.open.get()] if self.open.exists() else []
-        for _, last, _ in held:
-            self.handle.deleteTimer(last + self.quiet)
-        fresh = [(t, t, 1) for frame in rows for t in (frame["at"].astype("datetime64[ms]").astype("int64")).tolist()]
+    def _keep(self, bursts: list[tuple[int, int, int]]) -> None:
+        self.open.update(tuple([list(c) for c in zip(*bursts)]))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self._held()
+        fresh = [(r["ms"], r["ms"], 1) for r in rows]
         merged: list[tuple[int, int, int]] = []
         for first, last, n in sorted([*held, *fresh]):
             if merged and first - merged[-1][1] < self.quiet:
                 merged[-1] = (merged[-1][0], max(last, merged[-1][1]), merged[-1][2] + n)
             else:
                 merged.append((first, last, n))
-        for _, last, _ in merged:
-            self.handle.registerTimer(last + self.quiet)
-        self._kept(merged)
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in self.open.get()] if self.open.exists() else []
-        due = [b for b in held if b[1] + self.quiet <= expiredTimerInfo.getExpiryTimeInMs()]
-        self._kept([b for b in held if b not in due])
-        if due:
-            at = lambda k: pd.to_datetime([b[k] for b in due], unit="ms")
-            yield pd.DataFrame({"key": [key[0]] * len(due), "first_change": at(0), "last_change": at(1), "n_changes": [b[2] for b in due]})
+        if merged:
+            self._keep(merged)
+            if not held or held[0][1] != merged[0][1]:
+                if held:
+                    self.handle.deleteTimer(held[0][1] + self.quiet)
+                self.handle.registerTimer(merged[0][1] + self.quiet)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self._held()
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        due = [b for b in held if b[1] + self.quiet <= passed]
+        if due and len(due) < len(held):
+            self._keep(held[len(due) :])
+            self.handle.registerTimer(held[len(due)][1] + self.quiet)
+        elif due:
+            self.open.clear()
+        return iter([Row(key=key[0], first_ms=a, last_ms=b, n_changes=n) for a, b, n in due])
 
     def close(self) -> None:
         pass
@@ -60,4 +68,6 @@ def debounced(changes: DataFrame, key: str, at: str, quiet_ms: int = 2000, late:
     watermark has passed its last change by the quiet time; changes that are later than that are left
     out. A stream of rows of which time and key are read; keys and times that are null tell nothing."""
     named = changes.selectExpr(f"cast({key} as string) as key", f"cast({at} as timestamp) as at").filter("key is not null and at is not null")
-    return named.withWatermark("at", late).groupBy("key").transformWithStateInPandas(statefulProcessor=Debouncer(quiet_ms), outputStructType=BURST, outputMode="Append", timeMode="EventTime")
+    marked = named.withWatermark("at", late).selectExpr("key", "at", "unix_millis(at) as ms")
+    told = marked.groupBy("key").transformWithState(statefulProcessor=Debouncer(quiet_ms), outputStructType=_BURST, outputMode="Append", timeMode="EventTime")
+    return told.selectExpr("key", "timestamp_millis(first_ms) as first_change", "timestamp_millis(last_ms) as last_change", "n_changes")

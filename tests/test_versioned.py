@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylode.operators import versioned
 from quarrylode.operators.versioned import Conflict, VersionedTable
-from quarrylode.streaming.debounce import debounced
+from quarrylode.streaming.debounce import Debouncer, debounced
 from quarrylode.streaming.increments import keep_up
 
 
@@ -98,3 +98,42 @@ def test_bursts_are_told_once_over_batches_with_late_and_repeated_changes(spark,
         query.trigger(availableNow=True).start().awaitTermination()
     seconds = lambda t: (t - zero).total_seconds()
     assert sorted((r.key, seconds(r.first_change), seconds(r.last_change), r.n_changes) for r in out) == [("a", 0.0, 1.5, 4), ("a", 6.0, 7.9, 2), ("b", 1.0, 1.0, 1), ("b", 4.0, 4.0, 1), ("b", 12.0, 12.0, 1), ("c", 30.0, 30.0, 1)]
+
+
+def test_a_key_of_many_bursts_has_one_timer():
+    class Handle:
+        def __init__(self):
+            self.timers, self.asked, self.value = [], 0, None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+        def registerTimer(self, t):
+            self.asked += 1
+            self.timers.append(t)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    handle, bursts = Handle(), Debouncer(10)
+    bursts.init(handle)
+    list(bursts.handleInputRows(("k",), iter([{"ms": 100 * i} for i in range(1, 51)]), At(0)))
+    assert handle.asked == 1 and handle.timers == [110]
+    list(bursts.handleInputRows(("k",), iter([{"ms": 105}]), At(0)))
+    assert handle.timers == [115]
+    handle.timers.clear()
+    assert [tuple(r) for r in bursts.handleExpiredTimer(("k",), At(2010), At(115))] == [("k", 100, 105, 2)] + [("k", 100 * i, 100 * i, 1) for i in range(2, 21)]
+    assert handle.timers == [2110] and [len(c) for c in handle.value] == [30] * 3
