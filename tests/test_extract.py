@@ -8,6 +8,8 @@ from quarrylode.functions import extract as X
 from quarrylode.functions import quality as Q
 from quarrylode.operators import analytics as A
 from quarrylode.operators import crawl, etl, match
+from quarrylode.plans import site_queries  # noqa: F401
+from quarrylode.plans.queries import QUERIES
 from quarrylode.sources import files, pages
 from quarrylode.streaming.refresh import refresh_on_change
 
@@ -141,3 +143,10 @@ def test_a_coded_address_reads_its_code_once(spark):
     found = rows.select(X.decode_cf_email(F.trim("code")).alias("x"))
     assert [r["x"] for r in found.collect()] == ["joe@acme.org", None, None, None, None, None]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("trim(code") == 1  # not once for each letter, and again for each letter of those
+
+
+@pytest.mark.parametrize("name", ["page_assembly", "cf_email_decode"])
+def test_pages_of_one_small_file_are_made_in_many_tasks(spark, tmp_path, name):
+    ids = spark.range(12_000).select(F.col("id").alias("c_custkey"), F.concat(F.lit("C"), "id").alias("c_name"), F.lit("AUTO").alias("c_mktsegment"))
+    ids.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    assert QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 3
