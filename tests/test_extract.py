@@ -145,7 +145,7 @@ def test_a_coded_address_reads_its_code_once(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("trim(code") == 1  # not once for each letter, and again for each letter of those
 
 
-@pytest.mark.parametrize("name", ["page_assembly", "page_address_points", "page_email_points", "cf_email_decode"])
+@pytest.mark.parametrize("name", ["page_assembly", "page_address_points", "page_email_points", "json_ld_org", "cf_email_decode"])
 def test_pages_of_one_small_file_are_made_in_many_tasks(spark, tmp_path, name):
     ids = spark.range(12_000).select(F.col("id").alias("c_custkey"), F.concat(F.lit("C"), "id").alias("c_name"), F.lit("AUTO").alias("c_mktsegment"))
     ids.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
