@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylode.llm.common import forget, table, written
+from quarrylode.llm.common import forget, swept, table, written
 from quarrylode.llm.components import connected_components
 
 WORDS, SEED, SEGMENTS = 3, 42, 16
@@ -115,7 +115,9 @@ def links(fps: DataFrame) -> DataFrame:
     few = met.filter(F.col("n") <= CROWD).groupBy("cell").agg(F.array_sort(F.collect_list("fp")).alias("all"))
     pairs = few.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", _close)).alias("b"))
     crowds = met.filter(F.col("n") > CROWD).select("fp").distinct()
-    return pairs.unionByName(close_in_crowds(crowds)).distinct()
+    out = written(pairs.unionByName(close_in_crowds(crowds)).distinct())
+    forget(met)
+    return out
 
 
 def _close(b: Column) -> Column:
@@ -183,9 +185,10 @@ def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.nd
 
 
 def shingled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, text_hash, id (a hash of the set of shingles), n (its size), sketch and prefix."""
-    names = ["doc_id", "text_hash", "id", "n", "sketch", "prefix"]
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *[T.StructField(k, T.LongType()) for k in names[1:4]], T.StructField("sketch", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    """doc_id, text_hash, id (a hash of the set of shingles), n (its size), fp (the fingerprint),
+    sketch and prefix."""
+    names = ["doc_id", "text_hash", "id", "n", "fp", "sketch", "prefix"]
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *[T.StructField(k, T.LongType()) for k in names[1:5]], T.StructField("sketch", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
     frequent = frequent_shingles(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +198,8 @@ def shingled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             sets = [shingle_set(t.as_py()) for t in b.column(2)]
             ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             cut = [prefix(x, frequent).view(np.int64) for x in sets]
-            columns = [pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary()), pa.array(cut, pa.list_(pa.int64()))]
+            marks = [fingerprint(t.as_py()) for t in b.column(2)]
+            columns = [pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), pa.array(marks, pa.int64()), pa.array([sketch(x) for x in sets], pa.binary()), pa.array(cut, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names)
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).mapInArrow(run, schema)
@@ -258,8 +262,23 @@ def _across(crowds: DataFrame) -> DataFrame:
     return met.filter(_sizes_fit(F.col("na"), F.col("nb")) & _places_fit(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"))).select("a", "b").distinct()
 
 
-def similar_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): links that connect all classes (id, text_hash, n, sketch, prefix) similar to each other.
+def simhash_links(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): classes (id) whose fingerprints (fp, of rows) are equal or meet in the grid within two
+    bits, and whose texts are similar: a fingerprint alone may be decided by one repeated line."""
+    marks = written(rows.select("id", "fp").distinct())
+    first = marks.groupBy("fp").agg(F.min("id").alias("first"))
+    equal = marks.join(first, "fp").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    side = lambda k: first.select(F.col("fp").alias(k), F.col("first").alias(f"id_{k}"))
+    grid = links(first.select("fp"))
+    near = grid.join(side("a"), "a").join(side("b"), "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    found = swept(verified(equal.unionByName(near).filter("a <> b").distinct(), classes, texts))
+    forget(marks, grid)
+    return found
+
+
+def similar_links(classes: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): links that connect all classes (id, text_hash, n, sketch, prefix) similar to each other,
+    among them known ones, whose pairs are not compared again.
 
     Similar ones meet in the cell of a shingle of their prefixes. In cells of up to CROWD all are
     compared. In larger ones that links do not connect, all are compared with ROUNDS of the cell, and
@@ -271,7 +290,8 @@ def similar_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     few = met.filter(F.col("m") <= CROWD).groupBy("cell").agg(F.collect_list(F.struct("id", "n", "at")).alias("all"))
     fits = lambda b: (b["id"] > F.col("a.id")) & _sizes_fit(b["n"], F.col("a.n")) & _places_fit(F.col("a.n"), F.col("a.at"), b["n"], b["at"])
     pairs = few.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", fits)).alias("b"))
-    found = verified(pairs.select("a.id", "b.id").toDF("a", "b").distinct(), classes, texts)
+    new = pairs.select("a.id", "b.id").toDF("a", "b").distinct().join(known, ["a", "b"], "left_anti")
+    found = verified(new, classes, texts).unionByName(known)
     crowds = met.filter(F.col("m") > CROWD)
     if crowds.isEmpty():
         return found
@@ -297,12 +317,12 @@ def _grouped(crowds: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]
 
 def alike_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, component_id for every row: groups of texts linked by a similarity of 0.8 or more of
-    their different five-word shingles. Texts of equal sets are one class; all links are found.
-    Nulls and repeated rows as in near_duplicates()."""
+    their different five-word shingles. Texts of equal sets are one class; links are looked for by
+    fingerprints on the grid first, then by prefixes, which find all that are left. Nulls and repeated rows as in near_duplicates()."""
     rows = written(shingled(docs, doc_id, text))
     classes = written(rows.groupBy("id").agg(F.min("doc_id").alias("low"), F.min("text_hash").alias("text_hash"), *[F.first(k).alias(k) for k in ("n", "sketch", "prefix")]))
     texts = docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    roots = connected_components(similar_links(classes, texts))
+    roots = connected_components(similar_links(classes, texts, simhash_links(rows, classes, texts)))
     named = classes.join(roots, classes["id"] == roots["node"], "left").select("id", "low", F.coalesce("root", "id").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_id = named.join(lows, "root").select(F.col("id").alias("_ql_key"), "component_id")

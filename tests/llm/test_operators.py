@@ -201,6 +201,22 @@ def test_near_copies_of_one_decisive_line_are_not_merged(spark):
     assert got == {k: k for k in range(4)}
 
 
+def test_near_copies_are_looked_for_by_fingerprints_first(spark, monkeypatch):
+    words = [f"w{i * i % 997}" for i in range(400)]
+    base = " ".join(words)
+    changed = [" ".join(words[:i] + ["new"] + words[i + 1 :]) for i in range(400)]
+    bits = [(simhash.fingerprint(base) ^ simhash.fingerprint(c)).bit_count() for c in changed]
+    close = [c for c, d in zip(changed, bits) if 0 < d <= 2][:2] + [base + " " + base]  # the last one has another set of shingles
+    assert len(close) == 3
+    line = "one line of seven words said again"
+    rows = list(enumerate([base, *close, *[" ".join([line] * 60 + [f"u{k}{i}" for i in range(40)]) for k in range(2)]]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r["doc_id"]: r["component_id"] for r in simhash.alike_groups(docs).collect()}
+    monkeypatch.setattr(simhash, "similar_links", lambda classes, texts, known: known)
+    first = {r["doc_id"]: r["component_id"] for r in simhash.alike_groups(docs).collect()}
+    assert [first[i] for i in (0, 1, 2, 4, 5)] == [0, 0, 0, 4, 5] and whole == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 5}
+
+
 def test_near_copies_at_the_edge_are_all_found(spark):
     rng, rows = np.random.default_rng(11), []
     for g in range(150):
