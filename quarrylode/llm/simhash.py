@@ -27,10 +27,8 @@ CROWD = 32
 SHINGLE, SIMILAR = 5, (4, 5)
 #: Texts sampled to tell frequent shingles, and how many of those are known to every task.
 ORDER_SAMPLE, ORDERED = 20_000, 100_000
-#: Members of a crowded cell that all of it is compared with, and sides of the blocks of what is left.
-ROUNDS, BLOCK = 3, 512
-#: Sizes in one band differ by less than this factor; it is over 1 / SIMILAR, so similar sizes have bands next to each other.
-BAND = 1.26
+#: Members of a crowded cell that all of it is compared with, those its centre is told from, and sides of the blocks of what is left.
+ROUNDS, SAMPLED, BLOCK = 3, 24, 512
 #: Ids of at most so many rows are broadcast, so that texts need not be shuffled for them.
 BROADCAST_ROWS = 1_000_000
 #: Hashes whose bits are counted at once.
@@ -236,14 +234,10 @@ def verified(links: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
     Only the texts of linked classes that their sketches leave are read, one for each class.
     """
 
-    @F.arrow_udf("array<long>")
-    def of(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t.as_py()).view(np.int64) for t in texts], pa.list_(pa.int64()))
-
     links = written(sketches_fit(links, classes))
     ends = links.select(F.col("a").alias("id"), F.col("ta").alias("text_hash")).unionByName(links.select(F.col("b").alias("id"), F.col("tb").alias("text_hash")))
     linked = written(ends.distinct())
-    sets = written(texts.join(_small(linked), "text_hash").dropDuplicates(["id"]).select("id", of(F.col("text")).alias("s")))
+    sets = written(_sets(linked, texts))
     both = links.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     out = written(both.filter(SIMILAR[1] * common >= SIMILAR[0] * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
@@ -251,15 +245,102 @@ def verified(links: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
     return out
 
 
-def _across(crowds: DataFrame) -> DataFrame:
-    """(a, b): pairs of a cell from different groups whose sizes and places in the prefix let them be
-    similar. A band of sizes meets itself and its neighbours only, in blocks of BLOCK by BLOCK."""
-    crowds = crowds.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND)))).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("long"))
+def _sets(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, s: the sets of shingles of ids (id, text_hash), a table of written()."""
+
+    @F.arrow_udf("array<long>")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t.as_py()).view(np.int64) for t in texts], pa.list_(pa.int64()))
+
+    return texts.join(_small(ids), "text_hash").dropDuplicates(["id"]).select("id", of(F.col("text")).alias("s"))
+
+
+def centre(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that over half of the sets have, or two of them, and for each how many of the sets differ in
+    it from the centre, the set of those that over half have; for those in the centre it is -1 less that number."""
+    hashes, n = np.unique(np.concatenate(sets), return_counts=True)
+    in_, known = 2 * n > len(sets), (2 * n > len(sets)) | (n > 1)
+    return hashes[known], np.where(in_, n - len(sets) - 1, n)[known]
+
+
+def differences(hashes: np.ndarray, known: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """What only a set or only the centre() has, in one order for all sets: the rarest differences first."""
+    mid = known[often < 0]
+    out = np.concatenate([np.setdiff1d(hashes, mid, assume_unique=True), np.setdiff1d(mid, hashes, assume_unique=True)])
+    rank = np.zeros(len(out), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, out), len(known) - 1)
+        rank = np.where(known[at] == out, np.where(often[at] < 0, -1 - often[at], often[at]), 0)
+    return out[np.lexsort((out, rank))]
+
+
+def _apart(open_: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """lead, id, n, root, d, cut: what members of crowded cells have that their family's centre has not, or
+    the other way round: how many (d), and the first of them. Cells with the same lead, their member of
+    the smallest hash, are a family, as the cells of near copies have nearly the same members."""
+
+    @F.arrow_udf("struct<h:array<long>,often:array<long>>")
+    def mid(families: pa.Array) -> pa.Array:
+        found = [centre([np.asarray(s, np.int64).view(np.uint64) for s in f]) for f in families.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([h.view(np.int64) for h, _ in found], pa.list_(pa.int64())), pa.array([n for _, n in found], pa.list_(pa.int64()))], names=["h", "often"])
+
+    @F.arrow_udf("struct<d:long,cut:array<long>>")
+    def told(sets: pa.Array, h: pa.Array, often: pa.Array) -> pa.Array:
+        d, cut = [], []
+        for s, known, n in zip(sets, h, often, strict=True):
+            s, known, n = (x.values.to_numpy() for x in (s, known, n))
+            found = differences(s.view(np.uint64), known.view(np.uint64), n)
+            d.append(len(found))
+            # a similar set lacks (1 - SIMILAR) / SIMILAR of this one's size at most, and has the other differences too
+            cut.append(found[: len(s) * (SIMILAR[1] - SIMILAR[0]) // SIMILAR[0] + 1].view(np.int64))
+        return pa.StructArray.from_arrays([pa.array(d, pa.int64()), pa.array(cut, pa.list_(pa.int64()))], names=["d", "cut"])
+
+    leads = written(open_.groupBy("cell").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("lead")))
+    rows = written(open_.join(_small(leads), "cell").select("lead", "id", "n", "root").distinct())
+    ids = written(rows.select("id").distinct())
+    named = written(classes.select("id", "text_hash").join(_small(ids), "id"))
+    sets = written(_sets(named, texts))
+    some = rows.groupBy("lead").agg(F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id")) for k in range(SAMPLED)]).alias("some"))
+    some = some.select("lead", F.explode(F.array_distinct("some.id")).alias("id")).join(sets, "id")
+    centres = written(some.groupBy("lead").agg(F.collect_list("s").alias("sets")).select("lead", mid("sets").alias("c")))
+    out = rows.join(sets, "id").join(centres, "lead").select("lead", "id", "n", "root", told("s", "c.h", "c.often").alias("f"))
+    out = written(out.select("lead", "id", "n", "root", "f.d", "f.cut"))
+    forget(leads, rows, ids, named, sets, centres)
+    return out
+
+
+def _across(open_: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b), and pairs (a, b) to be verified, of members of crowded cells from different groups.
+
+    Sets similar to each other differ in few members, and what they differ in is what one of them alone
+    has among the differences from a centre, whatever set that is. So sets with few differences are
+    similar to the one with the fewest (links), and all other similar ones have differences in common:
+    they meet by the rarest of these, like sets by their prefixes. A cell of more than BLOCK sets is
+    compared in blocks of BLOCK by BLOCK."""
+    whole, part = sum(SIMILAR), SIMILAR[1] - SIMILAR[0]
+    apart = _apart(open_, classes, texts).withColumn("slack", part * F.col("n") - whole * F.col("d"))
+    most = written(apart.groupBy("lead").agg(F.max(F.struct("slack", "id")).alias("most")).select("lead", F.col("most.slack").alias("top"), F.col("most.id").alias("mid")))
+    apart = apart.join(_small(most), "lead").withColumn("sure", F.col("slack") + F.col("top") >= 0)
+    sure = written(apart.filter("sure and id <> mid").select(F.least("id", "mid").alias("a"), F.greatest("id", "mid").alias("b")).distinct())
+    # sets that are not linked have slacks below zero in sum, which tells how many differences must be common
+    common = F.greatest(F.lit(1), F.ceil(F.when(F.col("sure"), F.col("top") - F.col("slack")).otherwise(-F.col("top") - F.col("slack")) / (2 * whole)))
+    first = F.slice("cut", 1, F.greatest(F.lit(0), F.col("d") - common + 1).cast("int"))
+    filed = apart.select("lead", "id", "n", "root", "d", "slack", "sure", F.posexplode(first).alias("at", "e"))
+    filed = filed.select(F.xxhash64("lead", "e").alias("cell"), "id", "n", "root", "d", "slack", "sure", "at")
+    met = written(filed.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("cell"))).filter("m > 1"))
+
+    def fits(a, b) -> Column:
+        new = (b["id"] > a["id"]) & (a["root"] != b["root"]) & ~(a["sure"] & b["sure"]) & _sizes_fit(a["n"], b["n"])
+        return new & (2 * whole * F.least(a["d"] - a["at"], b["d"] - b["at"]) >= -a["slack"] - b["slack"])
+
+    each = F.struct("id", "n", "root", "d", "slack", "sure", "at")
+    few = met.filter(F.col("m") <= CROWD).groupBy("cell").agg(F.collect_list(each).alias("all"))
+    pairs = few.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", lambda b: fits(F.col("a"), b))).alias("b"))
+    crowds = met.filter(F.col("m") > CROWD).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("long"))
     own, all_ = F.pmod(F.xxhash64("id"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    side = lambda k, i, j, band: crowds.withColumn("band", band).select("cell", "band", F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("at").alias(f"i{k}"), F.col("root").alias(f"r{k}"), own.alias(i), all_.alias(j))
-    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
-    met = side("a", "i", "j", F.col("band")).join(side("b", "j", "i", near), ["cell", "band", "i", "j"]).filter("a < b and ra <> rb")
-    return met.filter(_sizes_fit(F.col("na"), F.col("nb")) & _places_fit(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"))).select("a", "b").distinct()
+    side = lambda k, i, j: crowds.select("cell", each.alias(k), own.alias(i), all_.alias(j))
+    more = side("a", "i", "j").join(side("b", "j", "i"), ["cell", "i", "j"]).filter(fits(F.col("a"), F.col("b")))
+    return sure, pairs.select("a.id", "b.id").toDF("a", "b").unionByName(more.select("a.id", "b.id").toDF("a", "b")).distinct()
 
 
 def simhash_links(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -282,7 +363,7 @@ def similar_links(classes: DataFrame, texts: DataFrame, known: DataFrame) -> Dat
 
     Similar ones meet in the cell of a shingle of their prefixes. In cells of up to CROWD all are
     compared. In larger ones that links do not connect, all are compared with ROUNDS of the cell, and
-    what is still unconnected pair by pair. Groups that are known go on as one link for each member.
+    what is still unconnected by what tells it from the cell's centre. Groups that are known go on as one link for each member.
     """
     filed = classes.select("id", "n", F.posexplode("prefix").alias("at", "cell"))
     filed = filed.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("cell")))
@@ -303,7 +384,10 @@ def similar_links(classes: DataFrame, texts: DataFrame, known: DataFrame) -> Dat
         tried = tried.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
         found = found.unionByName(verified(tried, classes, texts))
     found, open_ = _grouped(crowds, found)
-    return found.unionByName(verified(_across(open_), classes, texts))
+    if open_.isEmpty():
+        return found
+    sure, pairs = _across(open_, classes, texts)
+    return found.unionByName(sure).unionByName(verified(pairs, classes, texts))
 
 
 def _grouped(crowds: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:

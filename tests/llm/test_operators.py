@@ -251,6 +251,31 @@ def test_near_copies_in_crowded_cells_are_all_found(spark, monkeypatch, rounds):
     assert {r["doc_id"]: r["component_id"] for r in simhash.alike_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == wanted
 
 
+def test_a_family_of_near_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    rng, rows = np.random.default_rng(21), []
+    for k in range(240):
+        text = [f"w{i}" for i in range(150)]
+        for i in rng.choice(150, rng.integers(0, 9), replace=False):
+            text[i] = f"n{rng.integers(10**7)}"
+        rows.append((k, " ".join(text)))
+    sets = {k: shared_shingles(t) for k, t in rows}
+    wanted = plain_components(sorted(sets), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    assert 20 < len(set(wanted.values())) < 220
+    monkeypatch.setattr(simhash, "ROUNDS", 0)
+    compared, verified = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda links, *more: compared.append(links.count()) or verified(links, *more))
+    assert {r["doc_id"]: r["component_id"] for r in simhash.alike_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == wanted
+    assert compared[-1] < 240 * 5  # of 28,680 pairs
+
+
+def test_differences_from_a_centre_are_ordered_by_rarity():
+    sets = [np.array(s, np.uint64) for s in ([1, 2, 3, 4], [1, 2, 3, 5], [1, 2, 4, 5], [1, 2, 3, 4, 9])]
+    known, often = simhash.centre(sets)
+    assert known.tolist() == [1, 2, 3, 4, 5] and often.tolist() == [-1, -1, -2, -2, 2]
+    assert simhash.differences(np.array([2, 5, 7], np.uint64), known, often).tolist() == [1, 7, 3, 4, 5]
+    assert simhash.differences(sets[0], known, often).tolist() == []
+
+
 def test_links_of_crowds_connect_what_pairs_connect(spark, monkeypatch):
     rng = np.random.default_rng(5)
     fps = set()
