@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 (pa.compute, which a worker may not have loaded)
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ from quarrylode.llm.common import bucketed, forget, swept, table, written
 H, GRAM, BATCH, BUCKET, STEP = 100, 24, 8 << 20, 16 << 20, 1 << 18
 #: Parts of the windows, by their grams, that are sorted one after another: the disk holds one of them.
 PARTS = 2
+#: How hard rows of letters, the most of what is shuffled, are compressed.
+LEVEL = 3
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
 #: Ids that are null come after all others.
@@ -132,7 +135,7 @@ def _rows(words: np.ndarray, width: int) -> bytes:
     """Rows of big-endian words, of which width bytes count, compressed row by row: sorted rows share
     their beginnings."""
     raw = np.ascontiguousarray(words.astype(">u8").view(np.uint8).reshape(len(words), -1)[:, :width])
-    return len(words).to_bytes(8, "little") + pa.Codec("zstd").compress(raw.tobytes(), asbytes=True)
+    return len(words).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(raw.tobytes(), asbytes=True)
 
 
 def _words(data: bytes, width: int) -> np.ndarray:
