@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval and exact checks.
 
 Terms are the words of the benchmark's items; their document frequencies are counted over all
-documents. A randomised SVD of the TF-IDF passages of all items and of a bounded sample of
-documents, its products summed by Spark, gives a latent space. Every passage of every document is
+documents. A randomised SVD of the TF-IDF passages of all items and of all documents, its products
+summed by Spark, gives a latent space. Every passage of every document is
 compared there with every part of an item, in matrix products over a batch of documents; those of a
 high enough cosine are candidates, and only they are verified, by the longest common subsequence of
 words and by the item's answer, its rarest words.
@@ -12,10 +12,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylode.llm.common import table, written
+from quarrylode.llm.common import forget, table, written
+from quarrylode.llm.suffixes import _pack, _unpack
 
 WORD = re.compile(r"[^\W_]+")
 #: Words of half a passage; a passage is two neighbouring halves, so passages overlap by one.
 HALF = 16
-#: Dimensions of the latent space and more of the sketch; documents of the sample for the SVD.
-DIMENSIONS, MORE, SAMPLE = 96, 16, 3000
+#: Dimensions of the latent space and more of the sketch; terms of passages multiplied at once.
+DIMENSIONS, MORE, PIECE = 96, 16, 8192
 #: Terms in more than this share of documents carry no weight in the latent space. Items whose words
 #: are on average no rarer than that are searched by their words instead.
 COMMON = 0.1
@@ -44,8 +44,16 @@ ITEMS, ITEM_BYTES = 20_000, 64 << 20
 TEXTS, PRODUCT = 256, 1 << 21
 
 
+#: Latin-1 with a space for each character that is of no word.
+LATIN = bytes(c if WORD.match(chr(c)) else 32 for c in range(256))
+
+
 def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    text = (text or "").lower()
+    try:
+        return text.encode("latin-1").translate(LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return WORD.findall(text)
 
 
 def common_length(a: list[str], b: list[str]) -> int:
@@ -133,8 +141,9 @@ class Index:
         enough words of the item for the common subsequence. No cosine tells them apart."""
         found, starts = [], np.arange(0, len(at), HALF)
         for i, own in self.common.items():
-            n = len(self.items[i])
-            sums = np.concatenate([[0], np.cumsum(np.isin(at, own))])
+            n, mark = len(self.items[i]), np.zeros(len(self.terms) + 1, bool)
+            mark[own] = True  # an unknown term's -1 is the last place
+            sums = np.concatenate([[0], np.cumsum(mark[at])])
             there = sums[np.minimum(starts + 2 * HALF + n, len(at))] - sums[np.maximum(starts - n, 0)]
             found += [(i, 0.0, int(p)) for p in starts[there >= OVERLAP * n]]
         return found
@@ -161,7 +170,7 @@ class Index:
             passages = passages[:rows]
             norm = np.sqrt((passages**2).sum(1)) + 1e-12
             dots = passages @ self.vectors.T
-            p, i = np.nonzero(dots >= COVER * self.length)
+            p, i = np.divmod(np.flatnonzero(dots >= COVER * self.length), len(self.owner))
             near = dots[p, i] >= COSINE * norm[p]
             p, i = p[near], i[near]
             d = doc[cut[k + p]]
@@ -188,43 +197,82 @@ class Index:
         return [{"item_id": self.ids[i], "overlap": o, "cosine": c, "answer": g} for i, (o, c, g) in sorted(best.items())]
 
 
-def _frequencies(docs: DataFrame, text: str, terms: dict[str, int]) -> tuple[int, dict[int, int]]:
-    """Documents, and how many have each term: at most a row for a term comes to the driver."""
+#: A row of passages(): of some texts in order, the different terms of each passage, by passage, and how
+#: often it has them; how many each passage has; how many passages each text has.
+PASSAGES = T.StructType([T.StructField(n, T.BinaryType()) for n in ("term", "times", "size", "held")])
+
+
+def counted(texts: list[list[str]], terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A row of passages() for texts given by their words."""
+    sizes = np.array([len(ws) for ws in texts], np.int64)
+    held, begin = -(-sizes // (2 * HALF)), np.cumsum(sizes) - sizes
+    at = np.fromiter(map(terms.get, chain.from_iterable(texts), repeat(-1)), np.int64, sizes.sum())
+    passage = np.repeat(np.cumsum(held) - held, sizes) + (np.arange(len(at)) - np.repeat(begin, sizes)) // (2 * HALF)
+    key, times = np.unique((passage * len(terms) + at)[at >= 0], return_counts=True)
+    passage, term = np.divmod(key, len(terms))
+    return term, times, np.bincount(passage, minlength=held.sum()), held
+
+
+def passages(docs: DataFrame, text: str, terms: dict[str, int]) -> DataFrame:
+    """The terms of all passages of all documents, TEXTS documents in a row at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, seen, known = 0, Counter(), terms.keys()
         for b in batches:
-            for t in b.column(0):
-                n += 1
-                seen.update(known & set(words(t.as_py())))
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *(terms[w] for w in seen)], pa.int32()), pa.array([n, *seen.values()], pa.int64())], ["term", "n"])
+            for k in range(0, b.num_rows, TEXTS):
+                row = counted([words(t) for t in b.column(0).slice(k, TEXTS).to_pylist()], terms)
+                yield pa.RecordBatch.from_arrays([pa.array([_pack(x)], pa.binary()) for x in row], PASSAGES.names)
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = {r["term"]: r["n"] for r in rows}
-    return found.pop(-1, 0), found
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, PASSAGES)
 
 
-def _passages(index: Index, tokens: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(terms, weights) of a text's passages, each of length one."""
-    places, terms = index.placed(tokens)
-    for k in np.unique(places // (2 * HALF)):
-        t, n = np.unique(terms[places // (2 * HALF) == k], return_counts=True)
-        w = n * index.weight[t]
-        yield t, w / np.sqrt((w**2).sum())
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield tuple(_unpack(c[i].as_py()) for c in b.columns)
 
 
-def _product(rows: DataFrame, index: Index, basis: np.ndarray) -> np.ndarray:
-    """A'A basis for the TF-IDF passages A of rows: partial products, summed by term."""
-    width = basis.shape[1]
+def _frequencies(rows: DataFrame, terms: int) -> tuple[int, dict[int, int]]:
+    """Documents, and how many have each term: at most a row for a term comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for text in b.column(0):
-                for t, w in _passages(index, words(text.as_py())):
-                    for k, x in zip(t.tolist(), np.outer(w, w @ basis[t]), strict=True):
-                        total[k] = total[k] + x if k in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], ["term", "x"])
+        n, seen = 0, np.zeros(terms, np.int64)
+        for term, _, size, held in _read(batches):
+            n += len(held)
+            doc = np.repeat(np.repeat(np.arange(len(held)), held), size)
+            seen += np.bincount(np.unique(doc * terms + term) % terms, minlength=terms)
+        there = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, there], pa.int32()), pa.array(np.r_[n, seen[there]], pa.int64())], ["term", "n"])
+
+    found = {r["term"]: r["n"] for r in rows.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    return found.pop(-1, 0), found
+
+
+def _product(rows: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A'A basis for the TF-IDF passages A of rows, each of length one: partial products, summed by term."""
+    width, scaled = basis.shape[1], (weight[:, None] * basis).astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, there = np.zeros(basis.shape), np.zeros(len(weight), bool)
+        for term, times, size, _ in _read(batches):
+            on = weight[term] > 0
+            passage, term, times = (x[on] for x in (np.repeat(np.arange(len(size)), size), term, times))
+            there[term] = True
+            starts, ends = _runs(passage)
+            square = np.add.reduceat((times * weight[term]) ** 2, starts) if len(starts) else starts
+            # a term as often as a passage has it, so that sums need no factors
+            bounds = np.r_[0, np.cumsum(times)]
+            term, starts, ends = np.repeat(term, times), bounds[starts], bounds[ends]
+            cuts = [*np.flatnonzero(np.diff(starts // PIECE, prepend=-1)).tolist(), len(starts)]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                s, e = starts[i], ends[j - 1]
+                sums = np.add.reduceat(scaled[term[s:e]], starts[i:j] - s, axis=0) / square[i:j, None].astype(np.float32)
+                order = np.argsort(term[s:e], kind="stable")
+                first = _runs(term[s:e][order])[0]
+                total[term[s:e][order[first]]] += np.add.reduceat(sums[np.repeat(np.arange(j - i), ends[i:j] - starts[i:j])[order]], first, axis=0)
+        total *= weight[:, None]
+        found = np.flatnonzero(there)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * width, pa.int32()), pa.array(total[found].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), lists], ["term", "x"])
 
     sums = rows.mapInArrow(run, "term int, x array<double>").groupBy("term").agg(F.array(*[F.sum(F.col("x")[i]) for i in range(width)]).alias("x"))
     out = np.zeros_like(basis)
@@ -233,30 +281,30 @@ def _product(rows: DataFrame, index: Index, basis: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_index(docs: DataFrame, items: list[tuple], text: str = "text", sample: int = SAMPLE) -> Index | None:
+def fit_index(docs: DataFrame, items: list[tuple], text: str = "text") -> Index | None:
     """The index of a block of (id, text) items; None if no item has a word."""
     texts = [(k, words(t)) for k, t in items]
     texts = [(k, ws) for k, ws in texts if ws]
     if not texts:
         return None
     terms = {w: i for i, w in enumerate(sorted({w for _, ws in texts for w in ws}))}
-    n, seen = _frequencies(docs, text, terms)
+    own = written(passages(docs, text, terms))
+    n, seen = _frequencies(own, len(terms))
     share = np.array([(seen.get(i, 0) + 1) / (n + 2) for i in range(len(terms))])
     weight = np.where((share <= COMMON) | (n < 1 / COMMON), -np.log(share), 0.0)
     index = Index([k for k, _ in texts], [ws for _, ws in texts], terms, weight, -np.log(share))
     index.ask()
-    spark = docs.sparkSession
-    key = F.xxhash64(text)
-    bound = docs.select(key.alias("k")).orderBy("k").limit(sample).agg(F.max("k")).first()[0]
-    chosen = docs.filter(key <= bound).select(F.col(text).alias("text")).limit(sample) if bound is not None else docs.select(F.col(text).alias("text")).limit(0)
-    asked = spark.createDataFrame([(" ".join(ws),) for _, ws in texts], "text string")
-    rows = written(chosen.unionByName(asked))
+    asked = [tuple(map(_pack, counted([ws for _, ws in texts[k : k + TEXTS]], terms))) for k in range(0, len(texts), TEXTS)]
+    rows = own.unionByName(docs.sparkSession.createDataFrame(asked, PASSAGES))
     width = min(DIMENSIONS + MORE, len(terms))
     basis = np.linalg.qr(np.random.default_rng(7).standard_normal((len(terms), width)))[0]
-    for _ in range(2):
-        basis = np.linalg.qr(_product(rows, index, basis))[0]
-    values, turn = np.linalg.eigh(basis.T @ _product(rows, index, basis))
-    latent = basis @ turn[:, np.argsort(-values)[:DIMENSIONS]]
+    basis = np.linalg.qr(_product(rows, weight, basis))[0]
+    # A'A by its product with the basis (Nystrom): as near as a further pass would bring the basis itself
+    product = _product(rows, weight, basis)
+    forget(own)
+    values, turn = np.linalg.eigh((basis.T @ product + product.T @ basis) / 2)
+    some = values > 1e-9 * max(values.max(), 1e-9)
+    latent = np.linalg.svd(product @ (turn[:, some] / np.sqrt(values[some])), full_matrices=False)[0][:, :DIMENSIONS]
     index.latent = (weight[:, None] * latent).astype(np.float32)
     parts = [(i, part) for i, (_, ws) in enumerate(texts) for part in np.array_split(ws, math.ceil(len(ws) / (2 * HALF)))]
     index.owner = np.array([i for i, _ in parts])

@@ -739,6 +739,27 @@ def test_the_cosine_excludes_most_pairs_and_decides(spark, sf_dir, monkeypatch):
     assert not any(x for x in index.search(texts) if index.common == {})
 
 
+def test_the_latent_space_is_that_of_all_documents(spark):
+    rng = np.random.default_rng(3)
+    texts = lambda k, n: [" ".join(f"{k}{3 * topic + x}" for x in rng.integers(0, 3, 16)) for topic in rng.integers(0, 40, n)]
+    hashed = lambda t: {r["text"]: r["h"] for r in spark.createDataFrame([(x,) for x in t], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    few, more = hashed(texts("a", 6000)), hashed(texts("b", 6000))
+    low = sorted(few, key=few.get)[:3100]
+    rows = low + [t for t in more if more[t] > few[low[-1]]]  # the least 3000 hashes have no word of b
+    items = [(k, " ".join(f"{k}{x}" for x in range(120))) for k in "ab"]
+    index = decontamination.fit_index(spark.createDataFrame([(t,) for t in rows], "text string"), items)
+    a = []
+    for text in [*rows, *(t for _, t in items)]:
+        ws = text.split()
+        for k in range(0, len(ws), 32):
+            v = np.bincount([index.terms[w] for w in ws[k : k + 32]], minlength=len(index.terms)) * index.weight
+            if v.any():
+                a.append(v / np.linalg.norm(v))
+    gram = np.array(a).T @ np.array(a)
+    axes = (index.latent / np.where(index.weight > 0, index.weight, 1)[:, None]).astype(float)
+    assert np.trace(axes.T @ gram @ axes) >= 0.97 * np.linalg.eigvalsh(gram)[-axes.shape[1] :].sum()
+
+
 def test_decontamination_of_odd_rows(spark, docs, nothing):
     items = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (3, "null id a"), (3, "null id a")], "item_id long, text string")
     rows = decontamination.with_leaks(docs, items).collect()
