@@ -9,7 +9,9 @@ within distance 1 of either. Each fingerprint is filed under its own cell and th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,10 @@ ORDER_SAMPLE, ORDERED = 20_000, 100_000
 ROUNDS, SAMPLED, BLOCK = 3, 24, 512
 #: Ids of at most so many rows are broadcast, so that texts need not be shuffled for them.
 BROADCAST_ROWS = 1_000_000
-#: Hashes whose bits are counted at once.
-STEP = 1 << 15
+#: Hashes whose bits are counted at once, and texts that are shingled at once.
+STEP, TEXTS = 1 << 15, 256
+#: Links are verified in parts: the sets of a part's ends are such a share of all sets, or have so many shingles.
+SHARE, LEAST = 0.25, 4 << 20
 
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -149,6 +153,10 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.minimum(np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(k, TEXTS) for b in batches for k in range(0, b.num_rows, TEXTS))
+
+
 def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, in order, and counts of the shingles met most in a sample of the texts.
 
@@ -158,7 +166,7 @@ def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarra
     some = docs.select(F.col(text).alias("text")).filter(F.pmod(F.xxhash64("text", F.lit(part)), F.lit(part)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _sliced(batches):
             found = [shingle_set(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64))], ["h"])
 
@@ -192,7 +200,7 @@ def shingled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in batches:
+        for b in _sliced(batches):
             sets = [shingle_set(t.as_py()) for t in b.column(2)]
             ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             cut = [prefix(x, frequent).view(np.int64) for x in sets]
@@ -214,8 +222,8 @@ def _places_fit(na: Column, ia: Column, nb: Column, ib: Column) -> Column:
 
 
 def sketches_fit(links: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) whose sets can be similar as far as sizes and sketches tell, and hashes ta, tb of
-    their texts."""
+    """Links (a, b) whose sets can be similar as far as sizes and sketches tell, hashes ta, tb of
+    their texts, and the sizes na, nb."""
 
     @F.arrow_udf("long")
     def apart(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -225,23 +233,38 @@ def sketches_fit(links: DataFrame, classes: DataFrame) -> DataFrame:
     side = lambda k: classes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"), F.col("text_hash").alias(f"t{k}"))
     both = links.join(side("a"), "a").join(side("b"), "b").filter(_sizes_fit(F.col("na"), F.col("nb")))
     may = (sum(SIMILAR)) * F.col("apart") <= (SIMILAR[1] - SIMILAR[0]) * (F.col("na") + F.col("nb"))
-    return both.select("a", "b", "ta", "tb", "na", "nb", apart("sa", "sb").alias("apart")).filter(may).select("a", "b", "ta", "tb")
+    return both.select("a", "b", "ta", "tb", "na", "nb", apart("sa", "sb").alias("apart")).filter(may).select("a", "b", "ta", "tb", "na", "nb")
 
 
 def verified(links: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) of classes whose texts share SIMILAR or more of their five-word shingles.
 
-    Only the texts of linked classes that their sketches leave are read, one for each class.
+    Only the texts of linked classes that their sketches leave are read, one for each class. Links are
+    verified in parts, each deleted with its sets before the next, so however many links there are, the
+    disk holds the sets of a share of all classes.
     """
+    links = swept(written(sketches_fit(links, classes)))
+    out = [_verified_part(part, texts) for part in _parts(links, F.col("na") + F.col("nb"), ["a", "b"], classes)]
+    forget(links)
+    return reduce(DataFrame.unionByName, out)
+
 
-    links = written(sketches_fit(links, classes))
+def _parts(rows: DataFrame, size: Column, by: list[str], classes: DataFrame) -> list[DataFrame]:
+    """rows, a table of written(), in parts by a hash, so that what their sets have, in all size of
+    shingles, is SHARE of what all classes have, or LEAST."""
+    all_, own = (df.agg(F.coalesce(F.sum(c), F.lit(0))).first()[0] for df, c in ((classes, F.col("n")), (rows, size)))
+    parts = max(1, math.ceil(own / max(SHARE * all_, LEAST)))
+    return [rows.filter(F.pmod(F.xxhash64(*by), F.lit(parts)) == k) for k in range(parts)]
+
+
+def _verified_part(links: DataFrame, texts: DataFrame) -> DataFrame:
     ends = links.select(F.col("a").alias("id"), F.col("ta").alias("text_hash")).unionByName(links.select(F.col("b").alias("id"), F.col("tb").alias("text_hash")))
     linked = written(ends.distinct())
     sets = written(_sets(linked, texts))
-    both = links.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    both = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")).join(_small(links.select("a", "b")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    out = written(both.filter(SIMILAR[1] * common >= SIMILAR[0] * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
-    forget(links, linked, sets)
+    out = swept(written(both.filter(SIMILAR[1] * common >= SIMILAR[0] * (F.size("sa") + F.size("sb") - common)).select("a", "b")))
+    forget(linked, sets)
     return out
 
 
@@ -297,16 +320,23 @@ def _apart(open_: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
 
     leads = written(open_.groupBy("cell").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"].alias("lead")))
     rows = written(open_.join(_small(leads), "cell").select("lead", "id", "n", "root").distinct())
-    ids = written(rows.select("id").distinct())
-    named = written(classes.select("id", "text_hash").join(_small(ids), "id"))
-    sets = written(_sets(named, texts))
-    some = rows.groupBy("lead").agg(F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id")) for k in range(SAMPLED)]).alias("some"))
-    some = some.select("lead", F.explode(F.array_distinct("some.id")).alias("id")).join(sets, "id")
-    centres = written(some.groupBy("lead").agg(F.collect_list("s").alias("sets")).select("lead", mid("sets").alias("c")))
-    out = rows.join(sets, "id").join(centres, "lead").select("lead", "id", "n", "root", told("s", "c.h", "c.often").alias("f"))
-    out = written(out.select("lead", "id", "n", "root", "f.d", "f.cut"))
-    forget(leads, rows, ids, named, sets, centres)
-    return out
+    some = rows.groupBy("lead").agg(F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "n")) for k in range(SAMPLED)]).alias("some"))
+    some = written(some.select("lead", F.explode(F.array_distinct("some")).alias("s")).select("lead", "s.id", "s.n").distinct())
+
+    def with_sets(part: DataFrame, then) -> DataFrame:
+        ids = written(part.select("id").distinct())
+        named = written(classes.select("id", "text_hash").join(_small(ids), "id"))
+        sets = written(_sets(named, texts))
+        out = swept(written(then(part.join(sets, "id"))))
+        forget(ids, named, sets)
+        return out
+
+    mids = [with_sets(part, lambda x: x.groupBy("lead").agg(F.collect_list("s").alias("sets")).select("lead", mid("sets").alias("c"))) for part in _parts(some, F.col("n"), ["lead"], classes)]
+    centres = reduce(DataFrame.unionByName, mids)
+    away = lambda x: x.join(centres, "lead").select("lead", "id", "n", "root", told("s", "c.h", "c.often").alias("f")).select("lead", "id", "n", "root", "f.d", "f.cut")
+    out = [with_sets(part, away) for part in _parts(rows, F.col("n"), ["lead", "id"], classes)]
+    forget(leads, rows, some, *mids)
+    return reduce(DataFrame.unionByName, out)
 
 
 def _across(open_: DataFrame, classes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -367,7 +397,7 @@ def similar_links(classes: DataFrame, texts: DataFrame, known: DataFrame) -> Dat
     """
     filed = classes.select("id", "n", F.posexplode("prefix").alias("at", "cell"))
     filed = filed.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("cell")))
-    met = written(filed.filter("m > 1"))
+    met = swept(written(filed.filter("m > 1")))
     few = met.filter(F.col("m") <= CROWD).groupBy("cell").agg(F.collect_list(F.struct("id", "n", "at")).alias("all"))
     fits = lambda b: (b["id"] > F.col("a.id")) & _sizes_fit(b["n"], F.col("a.n")) & _places_fit(F.col("a.n"), F.col("a.at"), b["n"], b["at"])
     pairs = few.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", fits)).alias("b"))
@@ -403,8 +433,10 @@ def alike_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """doc_id, component_id for every row: groups of texts linked by a similarity of 0.8 or more of
     their different five-word shingles. Texts of equal sets are one class; links are looked for by
     fingerprints on the grid first, then by prefixes, which find all that are left. Nulls and repeated rows as in near_duplicates()."""
-    rows = written(shingled(docs, doc_id, text))
-    classes = written(rows.groupBy("id").agg(F.min("doc_id").alias("low"), F.min("text_hash").alias("text_hash"), *[F.first(k).alias(k) for k in ("n", "sketch", "prefix")]))
+    each = swept(written(shingled(docs, doc_id, text)))
+    classes = written(each.groupBy("id").agg(F.min("doc_id").alias("low"), F.min("text_hash").alias("text_hash"), *[F.first(k).alias(k) for k in ("n", "sketch", "prefix")]))
+    rows = swept(written(each.select("doc_id", "id", "fp")))  # prefixes and sketches are in the classes
+    forget(each)
     texts = docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     roots = connected_components(similar_links(classes, texts, simhash_links(rows, classes, texts)))
     named = classes.join(roots, classes["id"] == roots["node"], "left").select("id", "low", F.coalesce("root", "id").alias("root"))

@@ -276,6 +276,22 @@ def test_differences_from_a_centre_are_ordered_by_rarity():
     assert simhash.differences(sets[0], known, often).tolist() == []
 
 
+def test_sets_are_never_on_disk_for_all_links_at_once(spark, monkeypatch):
+    texts = {k: " ".join(f"w{k // 3}x{i}" for i in range(30 + (0, 4, 10)[k % 3])) + " end" * (k % 2) for k in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    classes = common.written(simhash.shingled(docs, "doc_id", "text"))
+    ids = {r["doc_id"]: r["id"] for r in classes.collect()}
+    links = {tuple(sorted((ids[a], ids[b]))) for a in range(60) for b in range(a) if a // 3 == b // 3}
+    sets = {ids[k]: set(simhash.shingle_set(t).tolist()) for k, t in texts.items()}
+    true = {(a, b) for a, b in links if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    held, of = [], simhash._sets
+    monkeypatch.setattr(simhash, "_sets", lambda ids, texts: held.append(ids.count()) or of(ids, texts))
+    monkeypatch.setattr(simhash, "LEAST", 1, raising=False)
+    monkeypatch.setattr(simhash, "SHARE", 0.8, raising=False)
+    got = simhash.verified(spark.createDataFrame(list(links), "a long, b long"), classes, docs.select(F.xxhash64("text").alias("text_hash"), "text"))
+    assert {(r["a"], r["b"]) for r in got.collect()} == true and 0 < len(true) < len(links) and max(held) < 50
+
+
 def test_links_of_crowds_connect_what_pairs_connect(spark, monkeypatch):
     rng = np.random.default_rng(5)
     fps = set()
