@@ -96,8 +96,10 @@ def blocks(data: np.ndarray, ends: np.ndarray, size: int, gram: int) -> tuple[np
         mark = _sliding(np.concatenate([pad, least, pad]), width, np.maximum) == h
         chosen = np.flatnonzero(mark)
         own = np.cumsum(mark)[: len(least)] - mark[: len(least)]  # the first chosen place not before each window
-        while (late := h[chosen[own]] != least).any():
-            own += late
+        late = np.flatnonzero(h[chosen[own]] != least)
+        while len(late):
+            own[late] += 1
+            late = late[h[chosen[own[late]]] != least[late]]
         ok = valid[at : at + len(least)]
         edge = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (ok[1:] != ok[:-1])])
         n = np.diff(np.r_[edge, len(least)])
@@ -191,6 +193,26 @@ def _changes(rows: np.ndarray) -> np.ndarray:
     return np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)][: len(rows)]
 
 
+def _order(columns: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by their columns, the first one first; equal rows in any order. Later columns are
+    only looked at for rows that earlier ones leave equal, and sorted as numbers of one word."""
+    order = np.argsort(columns[0])
+    new = np.r_[True, columns[0][order][1:] != columns[0][order][:-1]][: len(order)]
+    for column in columns[1:]:
+        at = np.flatnonzero(~(new & np.r_[new[1:], True][: len(new)]))
+        if not len(at):
+            break
+        value, group = column[order[at]], np.cumsum(new)[at]
+        by = np.argsort(value)
+        rank = np.empty(len(at), np.int64)
+        rank[by] = np.cumsum(np.r_[True, value[by][1:] != value[by][:-1]])
+        key = (group << 32) + rank
+        by = np.argsort(key)
+        order[at] = order[at][by]
+        new[at] = np.r_[True, key[by][1:] != key[by][:-1]]
+    return order
+
+
 def _unique(keys: np.ndarray, buckets: int, lead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of different rows by bucket, each row's number among them, and their buckets, which a
     hash of the first lead columns decides. Rows are told apart by their hash; if two different rows
@@ -201,11 +223,11 @@ def _unique(keys: np.ndarray, buckets: int, lead: int) -> tuple[np.ndarray, np.n
         bucket = mix if k == lead else bucket
     order = np.argsort(mix)
     if (same := mix[order][1:] == mix[order][:-1]).any() and (same & _changes(keys[order])[1:]).any():
-        order = np.lexsort([*keys.T[::-1], mix])
+        order = _order([mix, *keys.T])
     new = _changes(keys[order])
     first, number = order[new], np.cumsum(new) - 1
     by = (bucket[first] >> np.uint64(33)).astype(np.int64) % buckets
-    again = np.lexsort([*keys[first].T[::-1], by])  # sorted rows of a bucket share their beginnings, which compresses them
+    again = _order([by, *keys[first].T])  # sorted rows of a bucket share their beginnings, which compresses them
     place = np.empty(len(again), np.int64)
     place[again] = np.arange(len(again))
     which = np.empty(len(order), np.int64)
@@ -276,7 +298,7 @@ def _collected(found: pa.Table, tag: int, field: str) -> np.ndarray:
 
 def _sorted_groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of the rows, and the number of the group of equal rows of each in that order."""
-    order = np.lexsort(keys.T[::-1])
+    order = _order([*keys.T])
     return order, np.cumsum(_changes(keys[order])) - 1
 
 
@@ -299,7 +321,7 @@ def _names(order: np.ndarray, sorted_rows: np.ndarray, bucket: int) -> np.ndarra
 def _repeats(which: np.ndarray, ids: np.ndarray, rows: np.ndarray, earlier: np.ndarray, least: np.ndarray) -> np.ndarray:
     """Of places in order, those whose string also starts earlier: in a smaller id, here or in
     another batch, or earlier in the same row."""
-    order = np.lexsort((np.arange(len(which)), rows, which))
+    order = _order([which, rows, np.arange(len(which))])
     again = np.zeros(len(which), bool)
     same = (which[order][1:] == which[order][:-1]) & (rows[order][1:] == rows[order][:-1])
     again[order[1:][same]] = True

@@ -89,3 +89,15 @@ def test_op12_over_the_whole_table(spark, sf_dir):
     got = sorted(tuple(r) for r in QUERIES["op12_suffixes"](spark, sf_dir).collect())
     assert got == sorted((i, n, sum(k for _, k in spans), len(spans), hashlib.sha256(kept).hexdigest()) for i, n, spans, kept in plain(rows, 100))
     assert sum(r[2] for r in got) > 1000
+
+
+def test_rows_are_ordered_as_by_their_columns_and_looked_at_no_further_than_they_are_equal(monkeypatch):
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        rows = rng.integers(0, 3, (rng.integers(0, 40), rng.integers(1, 5))).astype(np.uint64) << np.uint64(62)
+        assert np.array_equal(rows[suffixes._order([*rows.T])], rows[np.lexsort(rows.T[::-1])])
+    sorted_, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: sorted_.append(len(x)) or argsort(x, *a, **k))
+    rows = np.stack([np.r_[np.arange(1000), 5], np.arange(1001), np.arange(1001)], axis=1).astype(np.uint64)
+    order, _ = suffixes._sorted_groups(rows)
+    assert order.tolist() == [*range(6), 1000, *range(6, 1000)] and sorted_ == [1001, 2, 2]
