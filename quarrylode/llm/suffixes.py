@@ -568,8 +568,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         narrowed = swept(written(of.narrowed(contested, part, parts)))
         named = swept(written(of.named(narrowed)))
         ranked = swept(written(of.ranked(narrowed, named)))
+        forget(narrowed, named)
         gone = swept(written(of.repeats(ranked)))
-        forget(narrowed, named, ranked)
+        forget(ranked)
         found = found.join(gone.select(F.col("batch").alias("of"), F.col("windows").alias(f"windows{part}")), "of")
     kind = rows.schema["doc"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("kept", T.BinaryType())])
